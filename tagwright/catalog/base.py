@@ -100,7 +100,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
           FROM (SELECT item_id, {tokens('item_description', fixed.BRAND_WORD)} AS w FROM clean WHERE brand_name = ''))
         WHERE word <> ''"""),
     "found": (("candidates", "brands"), """
-        SELECT item_id, arg_min(c.word, stage * 1000000000 + pos) AS word
+        SELECT item_id, arg_min(c.word, CAST(stage AS BIGINT) * 1000000000 + pos) AS word
         FROM candidates c JOIN brands b ON c.word = b.word AND b.multiword = (stage <= 2) GROUP BY item_id"""),
     "imputed": (("clean", "found"), """
         SELECT c.* REPLACE (coalesce(f.word, c.brand_name) AS brand_name) FROM clean c LEFT JOIN found f USING (item_id)"""),
@@ -210,7 +210,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     # stand-in predictions: mean log price of train listings by one column
     **{
         f"mean_{c}": (("t",), f"""
-        SELECT x.item_id, expm1(coalesce(m.m, (SELECT avg(ln(1 + price)) FROM t WHERE split = 'train' AND price <> 0))) AS pred
+        SELECT x.item_id, exp(coalesce(m.m, (SELECT avg(ln(1 + price)) FROM t WHERE split = 'train' AND price <> 0))) - 1 AS pred
         FROM t x LEFT JOIN (SELECT {c} AS k, avg(ln(1 + price)) AS m FROM t WHERE split = 'train' AND price <> 0
                             GROUP BY 1) m ON m.k = x.{c}
         WHERE x.split = 'test'""") for c in ("category_name", "brand_name", "item_condition_id")

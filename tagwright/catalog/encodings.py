@@ -12,14 +12,13 @@ from tagwright.catalog.base import query, rounded
 from tagwright.catalog.lookups import _index, _is_train, _tree_long, _usable
 from tagwright.functions import category
 from tagwright.functions import text as X
-from tagwright.operators import brands, clean, encode, features, models, vocabulary
+from tagwright.operators import clean, encode, features, models, vocabulary
 from tagwright.operators.stages import CountBlock, DropByDf
 from tagwright.plans import flows
 
 
 def _linear_long(t: DataFrame) -> DataFrame:
-    rows = brands.name_with_brand(brands.impute_brands(clean.clean_linear(t)))
-    return features.explode_blocks(rows, features.linear_entries("md5"), ("item_id", "split"))
+    return flows.linear_long(t, "md5", ("item_id", "split"), scope=())
 
 
 def _summary(long: DataFrame, *keys: str) -> DataFrame:
@@ -40,9 +39,7 @@ def _summary_sql(source: str, keys: str) -> str:
 SELECT item_id, block, count(*) AS n, round(sum(value), 6) AS total, CAST(sum(CAST(feature AS BIGINT)) AS BIGINT) AS sum_buckets,
        round(sum(value * (CAST(feature AS BIGINT) % 1000)), 6) AS weighted FROM hashed GROUP BY item_id, block""", "hashed")
 def hashed_features(t: DataFrame) -> DataFrame:
-    rows = brands.name_with_brand(brands.impute_brands(clean.clean_linear(t)))
-    entries = features.linear_entries("md5")
-    long = features.explode_blocks(rows, {b: entries[b] for b in ("name", "category_name", "item_description")})
+    long = _linear_long(t).where(F.col("block").isin("name", "category_name", "item_description"))
     bucket = F.col("feature").cast("bigint")
     return long.groupBy("item_id", "block").agg(
         F.count("*").alias("n"), rounded(F.sum("value"), "total"), F.sum(bucket).alias("sum_buckets"),
@@ -78,9 +75,7 @@ def tfidf_description(t: DataFrame) -> DataFrame:
 
 @query("tfidf_all_features", _summary_sql("linear_weighted", "item_id"), "linear_weighted")
 def tfidf_all_features(t: DataFrame) -> DataFrame:
-    long = _linear_long(t)
-    fitted = features.fit_linear_features(_is_train(long), _is_train(t).agg(F.count("*")).scalar())
-    items = features.row_unit(features.weighted(long.drop("split"), fitted, ("item_id",)))
+    items = flows.linear_items_of(_linear_long(t), _is_train(t), ("item_id",)).rows
     return _summary(items.select("item_id", F.explode("entries").alias("e")).select("item_id", "e.value"), "item_id")
 
 
@@ -217,7 +212,7 @@ def model_input_row(t: DataFrame) -> DataFrame:
 SELECT item_id, count(*) AS n_nonzero, CAST(1 AS DOUBLE) AS length FROM linear_weighted GROUP BY item_id""", "linear_weighted")
 def assemble_sparse_vector(t: DataFrame) -> DataFrame:
     items = flows.linear_items_of(_linear_long(t), _is_train(t), ("item_id",))
-    stats = F.udf(lambda v: (v.numNonzeros(), float(v.norm(2))), T.StructType([
+    stats = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2))), T.StructType([
         T.StructField("n_nonzero", T.LongType()), T.StructField("length", T.DoubleType())]))
     vectors = models.assemble(items.rows, items.size).select("item_id", stats("features").alias("s"))
     return vectors.select("item_id", "s.n_nonzero", rounded("s.length", "length"))

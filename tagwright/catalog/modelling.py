@@ -107,7 +107,7 @@ def blend_query(t: DataFrame) -> DataFrame:
 
 
 def _snapshot_sql(seed: int) -> str:
-    return f"""(SELECT x.item_id, expm1(coalesce(m.m, o.m)) AS pred FROM t x
+    return f"""(SELECT x.item_id, exp(coalesce(m.m, o.m)) - 1 AS pred FROM t x
 LEFT JOIN (SELECT category_name AS k, avg(ln(1 + price)) AS m FROM {_sample_sql(seed)} WHERE price <> 0 GROUP BY 1) m
 ON m.k = x.category_name CROSS JOIN (SELECT avg(ln(1 + price)) AS m FROM {_sample_sql(seed)} WHERE price <> 0) o
 WHERE x.split = 'test')"""

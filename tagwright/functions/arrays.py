@@ -28,7 +28,7 @@ def run_starts(ordered: Column, key: Callable[[Column], Column]) -> Column:
 def counted(tokens: Column) -> Column:
     """``array<string>`` -> ``array<struct<token, tf>>``, one entry per different token."""
     return let(
-        F.array_sort(tokens),
+        F.sort_array(tokens),
         lambda s: let(
             run_starts(s, lambda t: t),
             lambda p: F.transform(
@@ -45,7 +45,7 @@ def counted(tokens: Column) -> Column:
 def summed(entries: Column) -> Column:
     """``array<struct<feature, value>>`` with repeated features -> the same with values added up per feature."""
     return let(
-        F.array_sort(entries),
+        F.sort_array(entries),
         lambda s: let(
             run_starts(s, lambda e: e["feature"]),
             lambda p: F.transform(
@@ -63,18 +63,17 @@ def summed(entries: Column) -> Column:
     )
 
 
-def unit_length(entries: Column) -> Column:
-    """Divide the values of ``array<struct<feature, value>>`` by their L2 norm; a zero row stays as it is."""
+def unit_length(entries: Column, shape: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Divide the values of ``array<struct<feature, value>>`` by their L2 norm; a zero row stays as it is.
+
+    ``shape`` builds the output entry from feature and value, to spare a second pass over the array.
+    """
+    shape = shape or (lambda feature, value: F.struct(feature.alias("feature"), value.alias("value")))
     return let(
         entries,
         lambda e: let(
             F.sqrt(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["value"] * x["value"])),
             lambda norm: F.transform(
-                e,
-                lambda x: F.struct(
-                    x["feature"].alias("feature"),
-                    F.when(norm > 0, x["value"] / norm).otherwise(x["value"]).alias("value"),
-                ),
-            ),
+                e, lambda x: shape(x["feature"], F.when(norm > 0, x["value"] / norm).otherwise(x["value"]))),
         ),
     )

@@ -74,11 +74,12 @@ def remove_stopwords(tokens: Column, stop_words: tuple[str, ...] = fixed.STOP_WO
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n + 1
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Each step puts the next token behind the grams of one token less."""
+    grams = tokens
+    for k in range(2, n + 1):
+        left = F.greatest(F.size(tokens) - k + 1, F.lit(0))
+        grams = F.zip_with(F.slice(grams, 1, left), F.slice(tokens, k, left), lambda g, t: F.concat(g, F.lit(" "), t))
+    return grams
 
 
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:

@@ -59,7 +59,7 @@ def brand_lookup(
     candidates: DataFrame, dictionary: DataFrame, scope: tuple[str, ...] = (), max_bytes: int | None = None
 ) -> DataFrame:
     """Keep the candidates that are known brands of the wanted kind."""
-    return lookup_join(candidates, dictionary, [*scope, "word", "multiword"], "left_semi", max_bytes)
+    return lookup_join(candidates, dictionary, [*scope, "word", "multiword"], "left_semi", max_bytes=max_bytes)
 
 
 def imputed_brands(
@@ -83,10 +83,15 @@ def impute_brands(
     rows: DataFrame,
     brands_from: DataFrame | None = None,
     scope: tuple[str, ...] = (),
+    keep: tuple[str, ...] | None = None,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """Fill empty brands of cleaned listings. Listings that have a brand are not shuffled."""
+    """Fill empty brands of cleaned listings. Listings that have a brand are not shuffled.
+
+    ``keep`` names the columns wanted in the result; the fewer, the less the join moves.
+    """
     found = imputed_brands(rows, brands_from, scope, max_bytes).withColumnRenamed("brand_name", "_found")
+    rows = rows.select(*keep) if keep else rows
     empty = (
         rows.where(F.col("brand_name") == "")
         .join(found, "item_id", "left")

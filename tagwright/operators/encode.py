@@ -37,7 +37,7 @@ def label_codes(
         keyed = rows.withColumn("_label", F.col(c).cast("string"))
         unseen = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.coalesce("_label", F.lit("null"))))
         rows = (
-            lookup_join(keyed, own, ["_label"], "left", max_bytes)
+            lookup_join(keyed, own, ["_label"], "left", max_bytes=max_bytes)
             .withColumn(c + suffix, F.when(F.col("_code").isNull(), unseen.cast("int")).otherwise(F.col("_code")))
             .drop("_label", "_code")
         )
@@ -70,11 +70,11 @@ def one_hot(rows: DataFrame, code: str, block: str) -> DataFrame:
 
 def positioned_tokens(rows: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ("item_id",)) -> DataFrame:
     """Long table ``(*keep, field, pos, token)``; an item without tokens gets one row with an empty token."""
-    per_field = [
-        F.transform(sequence_tokens(c), lambda t, i, c=c: F.struct(
-            F.lit(c).alias("field"), i.alias("pos"), t.alias("token")))
-        for c in columns
-    ]
+    def placed(column: str) -> Column:
+        return F.transform(sequence_tokens(column), lambda t, i: F.struct(
+            F.lit(column).alias("field"), i.alias("pos"), t.alias("token")))
+
+    per_field = [placed(c) for c in columns]
     rows = rows.select(*keep, F.explode_outer(F.concat(*per_field)).alias("t"))
     return rows.select(*keep, "t.field", "t.pos", F.coalesce("t.token", F.lit("")).alias("token"))
 
@@ -87,10 +87,10 @@ def texts_to_sequences(
 
     All columns share one lookup and one grouping, and each row's words are gathered before the shuffle.
     """
-    hit = lookup_join(positioned_tokens(rows, columns, keep), index, ["token"], "left", max_bytes)
+    hit = lookup_join(positioned_tokens(rows, columns, keep), index, ["token"], "left", max_bytes=max_bytes)
     place = F.struct("pos", "idx")
     grouped = hit.groupBy(*keep).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull() & (F.col("field") == c), place))).alias(c)
+        F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull() & (F.col("field") == c), place))).alias(c)
         for c in columns
     ])
     return grouped.select(*keep, *[F.transform(c, lambda e: e["idx"]).alias(f"{c}_seq") for c in columns])

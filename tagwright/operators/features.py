@@ -22,18 +22,21 @@ TREE_LIMITS = {"name": fixed.NAME_TERMS, "item_description": fixed.DESCRIPTION_T
 _ENTRY = "array<struct<block:string,feature:string,value:double>>"
 
 
-def _block(block: str, entries: Column, feature: str = "feature", value: str = "value") -> Column:
-    return F.transform(entries, lambda e: F.struct(
-        F.lit(block).alias("block"), e[feature].cast("string").alias("feature"), e[value].cast("double").alias("value"),
-    ))
+def _entry(block: str, feature: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(block).alias("block"), feature.cast("string").alias("feature"), value.cast("double").alias("value"))
 
 
 def count_block(block: str, tokens: Column) -> Column:
-    return _block(block, counted(tokens), "token", "tf")
+    return F.transform(counted(tokens), lambda e: _entry(block, e["token"], e["tf"]))
+
+
+def hashed_block(block: str, tokens: Column, buckets: int, method: str, value_type: str = "double") -> Column:
+    return hashed(tokens, buckets, method, lambda feature, value: _entry(block, feature, value.cast(value_type)))
 
 
 def one_hot_block(block: str, code: Column) -> Column:
-    return F.array(F.struct(F.lit(block).alias("block"), code.cast("string").alias("feature"), F.lit(1.0).alias("value")))
+    return F.array(_entry(block, code, F.lit(1.0)))
 
 
 def text_ngrams(column: str) -> Column:
@@ -43,18 +46,13 @@ def text_ngrams(column: str) -> Column:
 
 def linear_entries(method: str = "md5", buckets: int = fixed.HASH_BUCKETS) -> dict[str, Column]:
     """The linear model's blocks, each an array of entries, for cleaned rows with imputed brands."""
-    float_block = F.transform(
-        hashed(text_ngrams("item_description"), buckets, method),
-        lambda e: F.struct(e["feature"].alias("feature"), e["value"].cast("float").alias("value")),
-    )
     return {
-        "name": _block("name", hashed(text_ngrams("name"), buckets, method)),
-        "category_name": _block(
-            "category_name", hashed(category.path_tokens(F.col("category_name")), buckets, method)),
+        "name": hashed_block("name", text_ngrams("name"), buckets, method),
+        "category_name": hashed_block("category_name", category.path_tokens(F.col("category_name")), buckets, method),
         **{b: count_block(b, text.whole_value_tokens(F.col(b)))
            for b in ("brand_name", "gencat_cond", "subcat_1_cond", "subcat_2_cond")},
         **{b: one_hot_block(b, F.col(b)) for b in ONE_HOT_BLOCKS},
-        "item_description": _block("item_description", float_block),
+        "item_description": hashed_block("item_description", text_ngrams("item_description"), buckets, method, "float"),
     }
 
 
@@ -100,16 +98,19 @@ def fit_tree_features(
     return store(fitted.withColumn("idf", idf), "tree-features")
 
 
-def weighted(long: DataFrame, features: DataFrame, keep: tuple[str, ...], max_bytes: int | None = None) -> DataFrame:
+def weighted(
+    long: DataFrame, features: DataFrame, keep: tuple[str, ...], stored: bool = False, max_bytes: int | None = None
+) -> DataFrame:
     """Long table -> ``(*keep, entries)``: per item the surviving features as ``(block, feature id, value * idf)``.
 
     The lookup is left outer and the grouping collects only hits, so an item without any surviving feature stays.
-    Entries of an item lie together after the explode, so the partial aggregation hands one row per item to the shuffle.
+    Entries of an item lie together in a long table, so under a broadcast lookup the partial aggregation hands one row
+    per item to the shuffle.
     """
     table = features.select("block", "feature", "fid", "idf")
-    hit = lookup_join(long, table, ["block", "feature"], "left", max_bytes)
+    hit = lookup_join(long, table, ["block", "feature"], "left", stored, max_bytes)
     entry = F.struct("block", F.col("fid").alias("feature"), (F.col("value") * F.col("idf")).alias("value"))
-    return hit.groupBy(*keep).agg(F.array_sort(F.collect_list(F.when(F.col("fid").isNotNull(), entry))).alias("entries"))
+    return hit.groupBy(*keep).agg(F.sort_array(F.collect_list(F.when(F.col("fid").isNotNull(), entry))).alias("entries"))
 
 
 def _plain(entries: Column) -> Column:
@@ -132,7 +133,7 @@ def description_unit(items: DataFrame) -> DataFrame:
 def row_l2_norm(long: DataFrame) -> DataFrame:
     """Divide the values of each ``(item_id, block)`` by their L2 norm."""
     entry = F.struct("feature", "value")
-    grouped = long.groupBy("item_id", "block").agg(unit_length(F.array_sort(F.collect_list(entry))).alias("entries"))
+    grouped = long.groupBy("item_id", "block").agg(unit_length(F.sort_array(F.collect_list(entry))).alias("entries"))
     return grouped.select("item_id", "block", F.explode("entries").alias("e")).select("item_id", "block", "e.*")
 
 
@@ -143,7 +144,7 @@ def feature_ids(long: DataFrame) -> DataFrame:
 
 def feature_union(long: DataFrame, ids: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Put blocks side by side: give each entry its global feature id."""
-    return lookup_join(long, ids, ["block", "feature"], "inner", max_bytes)
+    return lookup_join(long, ids, ["block", "feature"], "inner", max_bytes=max_bytes)
 
 
 def folded(entries: Column, buckets: int = 4096) -> Column:

@@ -40,16 +40,19 @@ def _heavy_keys(big: DataFrame, on: list[str]) -> DataFrame:
 
 
 def lookup_join(
-    big: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_bytes: int | None = None
+    big: DataFrame, table: DataFrame, on: list[str], how: str = "left", stored: bool = False,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``big`` to a stored ``table`` that is unique on ``on``; keys of ``big`` are not null.
 
     A table measured within ``max_bytes`` is broadcast, so ``big`` is not shuffled. Beyond it, the hot keys of ``big``
     (a bounded list) meet their table rows by broadcast and the rest by a shuffle join, so no task gets a hot key.
+    That way reads ``big`` several times: it is stored first unless the caller says it is ``stored`` already.
     """
     limit = BROADCAST_BYTES if max_bytes is None else max_bytes
     if measured_bytes(table) <= limit:
         return big.join(F.broadcast(table), on, how)
+    big = big if stored else store(big, "lookup-rows")
     heavy = F.broadcast(_heavy_keys(big, on))
     hot = big.join(heavy, on, "left_semi").join(F.broadcast(table.join(heavy, on, "left_semi")), on, how)
     cold = big.join(heavy, on, "left_anti").join(table.hint("merge"), on, how)

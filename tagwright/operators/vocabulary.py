@@ -70,7 +70,7 @@ def features_in_range(df: DataFrame, min_df: int = 1, max_df: float = 1.0, rows:
 
 def keep_features(long: DataFrame, kept: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Rows of the long table whose feature is in ``kept``."""
-    return lookup_join(long, store(kept.select("block", "feature"), "kept"), ["block", "feature"], "left_semi", max_bytes)
+    return lookup_join(long, store(kept.select("block", "feature"), "kept"), ["block", "feature"], "left_semi", max_bytes=max_bytes)
 
 
 def drop_features_by_df(
@@ -95,8 +95,9 @@ def intersect_features(
         .intersect(features_in_range(document_frequency(valid), min_df).select("block", "feature"))
     )
     both = store(both, "features")
-    on = ["block", "feature"]
-    return lookup_join(train, both, on, "left_semi", max_bytes), lookup_join(valid, both, on, "left_semi", max_bytes)
+    train, valid = [
+        lookup_join(part, both, ["block", "feature"], "left_semi", max_bytes=max_bytes) for part in (train, valid)]
+    return train, valid
 
 
 def vocabulary_ranks(counts: DataFrame) -> DataFrame:

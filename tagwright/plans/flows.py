@@ -23,8 +23,11 @@ def with_label(rows: DataFrame) -> DataFrame:
 
 # ---- linear model ----
 
-def linear_long(rows: DataFrame, method: str = "xxhash64", max_bytes: int | None = None) -> DataFrame:
-    """All blocks of the linear model, each part imputing brands from its own listings.
+def linear_long(
+    rows: DataFrame, method: str = "xxhash64", keep: tuple[str, ...] = CARRIED, scope: tuple[str, ...] = ("split",),
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """All blocks of the linear model, each value of ``scope`` imputing brands from its own listings.
 
     Only name and brand depend on the imputed brand, so the join that fills it moves those two columns and never the
     descriptions; both halves meet again in the grouping by item.
@@ -33,15 +36,9 @@ def linear_long(rows: DataFrame, method: str = "xxhash64", max_bytes: int | None
     entries = features.linear_entries(method)
     early = {b: e for b, e in entries.items() if b not in _BRAND_BLOCKS}
     late = {b: e for b, e in entries.items() if b in _BRAND_BLOCKS}
-    found = brands.imputed_brands(cleaned, scope=("split",), max_bytes=max_bytes)
-    narrow = cleaned.select(*CARRIED, "name", "brand_name")
-    known = narrow.where("brand_name <> ''")
-    filled = (
-        narrow.where("brand_name = ''").join(found.withColumnRenamed("brand_name", "_found"), "item_id", "left")
-        .withColumn("brand_name", F.coalesce("_found", "brand_name")).drop("_found")
-    )
-    named = brands.name_with_brand(known.unionByName(filled))
-    return features.explode_blocks(cleaned, early, CARRIED).unionByName(features.explode_blocks(named, late, CARRIED))
+    named = brands.name_with_brand(
+        brands.impute_brands(cleaned, scope=scope, keep=(*keep, "name", "brand_name"), max_bytes=max_bytes))
+    return features.explode_blocks(cleaned, early, keep).unionByName(features.explode_blocks(named, late, keep))
 
 
 @dataclass
@@ -57,14 +54,16 @@ def linear_items_of(
 ) -> Items:
     """hash -> L2 per block -> drop rare -> stack -> idf -> L2 per row; everything is fitted on train rows.
 
-    ``long`` carries ``split``; ``train`` is the train part of the listings it was made from.
+    ``long`` carries ``split``; ``train`` is the train part of the listings it was made from. The long table is written
+    once: making it costs more than reading it, and both the fit and the lookup need it.
     """
+    long = store(long, "linear-long", ["split"])
     table = features.fit_linear_features(long.where("split = 'train'"), train.agg(F.count("*")).scalar())
-    return Items(features.row_unit(features.weighted(long, table, keep, max_bytes)), table.count())
+    return Items(features.row_unit(features.weighted(long, table, keep, True, max_bytes)), table.count())
 
 
 def linear_items(rows: DataFrame, method: str = "xxhash64", max_bytes: int | None = None) -> Items:
-    return linear_items_of(linear_long(rows, method, max_bytes), rows.where("split = 'train'"), max_bytes=max_bytes)
+    return linear_items_of(linear_long(rows, method, max_bytes=max_bytes), rows.where("split = 'train'"), max_bytes=max_bytes)
 
 
 def ridge_predictions(rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -78,12 +77,11 @@ def ridge_predictions(rows: DataFrame, max_bytes: int | None = None) -> DataFram
 # ---- tree model ----
 
 def tree_items(train: DataFrame, others: DataFrame) -> Items:
-    """Counts and description tf-idf; vocabularies are fitted on ``train``."""
-    entries = features.tree_entries()
-    n = train.agg(F.count("*")).scalar()
-    table = features.fit_tree_features(features.explode_blocks(clean.clean_tree(train), entries), n)
-    long = features.explode_blocks(clean.clean_tree(train.unionByName(others)), entries, CARRIED)
-    items = features.description_unit(features.weighted(long, table, CARRIED))
+    """Counts and description tf-idf; vocabularies are fitted on ``train``, the rows marked so by ``split``."""
+    rows = clean.clean_tree(train.unionByName(others))
+    long = store(features.explode_blocks(rows, features.tree_entries(), CARRIED), "tree-long", ["split"])
+    table = features.fit_tree_features(long.where("split = 'train'"), train.agg(F.count("*")).scalar())
+    items = features.description_unit(features.weighted(long, table, CARRIED, True))
     return Items(items, table.count())
 
 
