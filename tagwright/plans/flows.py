@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright import fixed
-from tagwright.operators import blend, brands, clean, encode, features, models, split, vocabulary
+from tagwright.operators import blend, brands, clean, encode, features, models, ridge, split, vocabulary
 from tagwright.storage import store
 
 CARRIED = ("item_id", "split", "label")
@@ -69,9 +69,8 @@ def linear_items(rows: DataFrame, method: str = "xxhash64", max_bytes: int | Non
 def ridge_predictions(rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``(item_id, pred)`` of the linear model for test listings."""
     items = linear_items(with_label(rows), max_bytes=max_bytes)
-    stored = store(models.assemble(items.rows, items.size), "linear-items", ["split"])
-    train, test = split.head_tail_split(stored)
-    return models.predicted_price(models.fit_ridge(train), test)
+    train, test = split.head_tail_split(store(items.rows, "linear-items", ["split"]))
+    return models.predicted_price(ridge.fit_ridge(train, items.size), test)
 
 
 # ---- tree model ----
