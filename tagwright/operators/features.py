@@ -6,6 +6,7 @@ All blocks of a listing are built inside its row and exploded once: one scan and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagwright import fixed
@@ -76,26 +77,31 @@ def explode_blocks(rows: DataFrame, entries: dict[str, Column], keep: tuple[str,
 
 
 def fit_linear_features(train_long: DataFrame, n_rows: Column, min_df: int = fixed.MIN_DF) -> DataFrame:
-    """Stored ``(block, feature, df, fid, idf)`` of the features that survive ``min_df``; one-hot blocks all survive."""
+    """``(block, feature, df, fid, idf)`` of the features that survive ``min_df``; one-hot blocks all survive."""
     df = train_long.where("value <> 0").groupBy("block", "feature").agg(F.count("*").alias("df"))
     kept = df.where((F.col("df") >= min_df) | F.col("block").isin(*ONE_HOT_BLOCKS))
-    return store(with_rank(kept, ["block", "feature"], "fid", 0).withColumn("idf", smooth_idf(F.col("df"), n_rows)),
-                 "linear-features")
+    return with_rank(kept, ["block", "feature"], "fid", 0).withColumn("idf", smooth_idf(F.col("df"), n_rows))
 
 
 def fit_tree_features(
     train_long: DataFrame, n_rows: Column, limits: dict[str, int] | None = None
 ) -> DataFrame:
-    """Stored ``(block, feature, cnt, df, fid, idf)``: per block the most frequent terms, idf 1 outside descriptions."""
+    """``(block, feature, cnt, df, fid, idf)``: per block the most frequent terms, idf 1 outside descriptions."""
     limits = TREE_LIMITS if limits is None else limits
     counts = train_long.groupBy("block", "feature").agg(
         F.sum("value").cast("bigint").alias("cnt"), F.count("*").alias("df"))
     ranked = with_rank_within(counts, ["block"], [F.desc("cnt"), "feature"], "place")
     limit = F.coalesce(*[F.when(F.col("block") == b, F.lit(k)) for b, k in limits.items()], F.lit(2**62))
-    top = store(ranked.where(F.col("place") <= limit), "tree-terms")
-    fitted = with_rank(top, ["block", "place"], "fid", 0).drop("place")
+    top = ranked.where(F.col("place") <= limit)
+    sizes = top.groupBy("block").agg(F.count("*").alias("n"))  # one row per block
+    before = F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("block", F.coalesce(before, F.lit(0)).alias("_offset"))
     idf = F.when(F.col("block") == "item_description", smooth_idf(F.col("df"), n_rows)).otherwise(1.0)
-    return store(fitted.withColumn("idf", idf), "tree-features")
+    return (
+        top.join(F.broadcast(offsets), "block")
+        .withColumns({"fid": F.col("_offset") + F.col("place") - 1, "idf": idf})
+        .drop("place", "_offset")
+    )
 
 
 def weighted(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,14 +49,15 @@ def with_rank_within(
     )
 
 
-def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
-    """The k-th smallest (from 1) value of an integer column, exact.
+def kth_smallest(df: DataFrame, column: str, place: int | Callable[[int], int]) -> int | None:
+    """The value of an integer column at a place (from 1) in ascending order, exact.
 
-    Each pass counts the values into at most 4096 equal ranges and goes on inside the one that holds the answer; a
-    range of few rows is sorted. Only range counts reach the driver.
+    ``place`` may be a function of the number of rows. Each pass counts the values into at most 4096 equal ranges and
+    goes on inside the one that holds the answer; a range of few rows is sorted. Only range counts reach the driver.
     """
     values = df.select(F.col(column).cast("bigint").alias("v"))
     low, high, rows = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    k = place(rows) if callable(place) else place
     if k < 1 or k > rows:
         return None
     while low < high:
