@@ -16,9 +16,6 @@ from tagwright.sources import tsv
 
 # ---- stacking, splits and samples ----
 
-_STACK_FILE = "name, item_condition_id, category_name, brand_name, {price}shipping, item_description"
-
-
 @query("stack_train_test", """
 SELECT item_id, split, name, CASE WHEN split = 'train' THEN price END AS price, shipping FROM t""")
 def stack_train_test(t: DataFrame) -> DataFrame:
