@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard
+from tagwright.llm import jaccard, quality, repeats
 from tagwright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,114 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.k >= 85 * (x.k + y.k - p.k)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.k), 0) AS n_shingles, min(r.b) AS component_id
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+""")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, 85).drop("n_links")
+
+
+@query("""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+w AS (SELECT row, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+line AS (
+  SELECT row, i, s FROM (
+    SELECT row, unnest(string_split(t, chr(10))) AS s, unnest(range(len(string_split(t, chr(10))))) AS i FROM d)
+  WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]')),
+lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT s) AS n_dup_lines FROM line GROUP BY row),
+win AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, g) AS again FROM (
+    SELECT row, i, array_to_string(words[i:i + 4], ' ') AS g
+    FROM (SELECT row, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5))),
+hit AS (SELECT DISTINCT row, i + k AS p FROM win, (SELECT unnest(range(5)) AS k) WHERE again > 1),
+hits AS (SELECT row, count(*) AS n_repeat_words FROM hit GROUP BY row),
+base AS (
+  SELECT d.row, doc_id, lang, source, len(words) AS n_words,
+         length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d JOIN w USING (row) LEFT JOIN lines USING (row) LEFT JOIN hits USING (row)),
+m AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         CASE WHEN word_chars = 0 THEN 0 ELSE n_symbols * 1000 // word_chars END AS symbol_share,
+         CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines * 1000 // n_lines END AS dup_line_share,
+         CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 1000 // n_words END AS word_length
+  FROM base),
+long AS (UNPIVOT (SELECT row, lang, source, symbol_share, dup_line_share, word_length FROM m WHERE NOT base_failed)
+         ON symbol_share, dup_line_share, word_length INTO NAME measure VALUE v),
+cells AS (
+  SELECT lang, source, measure, (v >> k) << k AS cell
+  FROM (SELECT *, greatest(length(bin(v)) - 8, 0)::INT AS k FROM long)),
+levels AS (
+  SELECT 2 AS depth, lang, source, measure, cell FROM cells
+  UNION ALL SELECT 1, lang, NULL, measure, cell FROM cells
+  UNION ALL SELECT 0, NULL, NULL, measure, cell FROM cells),
+ranked AS (
+  SELECT DISTINCT depth, lang, source, measure, cell,
+         count(*) OVER (PARTITION BY depth, lang, source, measure ORDER BY cell) AS upto,
+         count(*) OVER (PARTITION BY depth, lang, source, measure) AS docs
+  FROM levels),
+q AS (
+  SELECT depth, lang, source, measure, docs, min(cell) FILTER (4 * upto >= docs) AS q1,
+         min(cell) FILTER (4 * upto >= 3 * docs) AS q3
+  FROM ranked GROUP BY ALL),
+lim AS (
+  SELECT depth, lang, source, max(docs) AS docs,
+    max(least(250, greatest(50, q3 + 6 * (q3 - q1)))) FILTER (measure = 'symbol_share') AS symbol_share_high,
+    max(least(700, greatest(400, q3 + 6 * (q3 - q1)))) FILTER (measure = 'dup_line_share') AS dup_line_share_high,
+    max(least(20000, greatest(12000, q3 + 6 * (q3 - q1)))) FILTER (measure = 'word_length') AS word_length_high,
+    max(least(2500, greatest(1500, q1 - 6 * (q3 - q1)))) FILTER (measure = 'word_length') AS word_length_low
+  FROM q GROUP BY ALL),
+j AS (
+  SELECT m.*, coalesce(a.symbol_share_high, b.symbol_share_high, c.symbol_share_high) AS symbol_share_high,
+    coalesce(a.dup_line_share_high, b.dup_line_share_high, c.dup_line_share_high) AS dup_line_share_high,
+    coalesce(a.word_length_high, b.word_length_high, c.word_length_high) AS word_length_high,
+    coalesce(a.word_length_low, b.word_length_low, c.word_length_low) AS word_length_low
+  FROM m
+  LEFT JOIN lim a ON a.depth = 2 AND a.docs >= 200 AND a.lang IS NOT DISTINCT FROM m.lang
+    AND a.source IS NOT DISTINCT FROM m.source
+  LEFT JOIN lim b ON b.depth = 1 AND b.docs >= 200 AND b.lang IS NOT DISTINCT FROM m.lang
+  LEFT JOIN lim c ON c.depth = 0)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  symbol_share, dup_line_share, word_length, symbol_share_high::BIGINT AS symbol_share_high,
+  dup_line_share_high::BIGINT AS dup_line_share_high, word_length_high::BIGINT AS word_length_high,
+  word_length_low::BIGINT AS word_length_low,
+  coalesce(NOT base_failed AND symbol_share <= symbol_share_high AND dup_line_share <= dup_line_share_high
+    AND word_length BETWEEN word_length_low AND word_length_high, false) AS kept
+FROM j
+""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
+
+
+@query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS rn
+  FROM (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS g
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20))),
+hit AS (SELECT DISTINCT doc_id, i + k AS p FROM win, (SELECT unnest(range(20)) AS k) WHERE rn > 1),
+word AS (SELECT doc_id, unnest(words) AS s, unnest(range(1, len(words) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(s, ' ' ORDER BY p) AS t FROM word ANTI JOIN hit USING (doc_id, p)
+         GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.drop_repeats(table(spark, sf_dir, "documents"), 20)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
