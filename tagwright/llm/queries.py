@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard, quality, repeats
+from tagwright.llm import jaccard, quality, repeats, spaced
 from tagwright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.drop_repeats(table(spark, sf_dir, "documents"), 20)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
