@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard, quality, repeats, sharding, spaced
+from tagwright.llm import jaccard, packing, quality, repeats, sharding, spaced
 from tagwright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +146,9 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 @query()
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 8)
+
+
+@query()
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
