@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard, packing, quality, repeats, sharding, spaced
+from tagwright.llm import jaccard, packing, pii, quality, repeats, sharding, spaced
 from tagwright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,9 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).withColumn(
+        "base_sha256", F.sha2(F.encode("base", "UTF-8"), 256)).drop("base")
