@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard, packing, pii, quality, repeats, sharding, spaced
+from tagwright.llm import html_text, jaccard, packing, pii, quality, repeats, sharding, spaced
 from tagwright.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,8 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents")).withColumn(
         "base_sha256", F.sha2(F.encode("base", "UTF-8"), 256)).drop("base")
+
+
+@query()
+def op2_nearest_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
