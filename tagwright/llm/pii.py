@@ -185,7 +185,7 @@ def learn(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
         scored = hits.groupBy("instance", "said").agg((1 - doubt).alias("score")).where(F.col("score") >= MIN_SCORE)
         best = scored.groupBy("instance").agg(F.max(F.struct("score", "said")).alias("b"))
-        fits = F.udf(_fits, "boolean")  # one call per newly taken instance
+        fits = F.udf(_fits, "boolean", useArrow=False)  # one call per newly taken instance
         new = best.select("instance", F.col("b.said").alias("taken")).where(fits("taken", "instance"))
         new = store(new, "pii-new")
         if new.isEmpty():

@@ -21,8 +21,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
-from tagwright.llm.shared import map_batches
-from tagwright.operators.lookup import lookup_join
+from tagwright.llm.shared import attach, map_batches
 from tagwright.storage import store
 
 MIN_DOCS = 200
@@ -156,25 +155,38 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
                        F.col(source).cast("string").alias("source"))
     measured = store(_measures(base_counts(rows, carry=("lang", "source"))), "quality-measures")
+    names = [f"{m.name}_{side}" for m in MEASURES for side, bound in (("high", m.upper), ("low", m.lower)) if bound]
+    columns = ["lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+               "base_failed", *[m.name for m in MEASURES], *names]
+    out = _verdicts(measured, store(thresholds(sketches(measured)), "quality-limits"), names)
+    return out.select(F.col("doc_id").alias(key), *columns, "kept")
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, unchanged; texts are read twice, for the limits and for the verdict."""
+    rows = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row"),
+                       F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
+    measured = store(_measures(base_counts(rows, carry=("lang", "source"))), "quality-measures")
+    names = [f"{m.name}_{side}" for m in MEASURES for side, bound in (("high", m.upper), ("low", m.lower)) if bound]
     limits = store(thresholds(sketches(measured)), "quality-limits")
-    names = [c for c in limits.columns if c not in ("depth", "lang", "source", "docs")]
+    again = _measures(base_counts(rows, carry=("lang", "source", "row")))
+    return _verdicts(again, limits, names).where("kept").select("row.*")
+
+
+def _verdicts(measured: DataFrame, limits: DataFrame, names: list[str]) -> DataFrame:
     out = measured.withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")),
                                 "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
     for depth, keys in ((2, ["g_lang", "g_source"]), (1, ["g_lang"])):
         part = limits.where(f"depth = {depth} and docs >= {MIN_DOCS}").select(
             *[F.coalesce(F.concat(F.lit("="), k[2:]), F.lit("")).alias(k) for k in keys],
             *[F.col(c).alias(f"{c}_{depth}") for c in names])
-        out = lookup_join(out, store(part, "quality-part"), keys, "left")
-    whole = limits.where("depth = 0").select(*[F.col(c).alias(f"{c}_0") for c in names])  # one row or none
-    top = whole.first()
-    out = out.withColumns({c: F.coalesce(f"{c}_2", f"{c}_1", F.lit(top[f"{c}_0"] if top else None).cast("bigint"))
-                           for c in names})
+        out = attach(out, store(part, "quality-part"), keys)
+    top = limits.where("depth = 0").select(*names).first()  # one row or none
+    out = out.withColumns({c: F.coalesce(f"{c}_2", f"{c}_1", F.lit(top[c] if top else None).cast("bigint")) for c in names})
     good = ~F.col("base_failed")
     for m in MEASURES:
         if m.upper:
             good = good & (F.col(m.name) <= F.col(f"{m.name}_high"))
         if m.lower:
             good = good & (F.col(m.name) >= F.col(f"{m.name}_low"))
-    columns = ["lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-               "base_failed", *[m.name for m in MEASURES], *names]
-    return out.select(F.col("doc_id").alias(key), *columns, F.coalesce(good, F.lit(False)).alias("kept"))
+    return out.withColumn("kept", F.coalesce(good, F.lit(False)))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import chats, html_text, jaccard, packing, pii, quality, repeats, sharding, spaced
-from tagwright.llm.shared import table
+from tagwright.llm import chats, html_text, jaccard, packing, pii, quality, repeats, rollups, sharding, spaced
+from tagwright.llm.shared import map_batches, table
+from tagwright.llm.tokens import byte_pairs
+from tagwright.storage import scratch_path, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,3 +200,41 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tree").alias("conv_id"), F.size(chats.turns_of(F.col("formatted"))).cast("bigint").alias("n_turns"),
         F.sha2(F.encode(told, "UTF-8"), 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),
         F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+def _line_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, ``source``, ``lang``, ``text_key``, ``tokens``, and ``lean``: tokens without lines that repeat an earlier one."""
+
+    def work(batch: pa.RecordBatch):
+        encoder = byte_pairs(path, public_tokenizers.PATTERN)
+        tokens, lean = [], []
+        for text in batch.column(4):
+            text = text.as_py() or ""
+            lines = text.split("\n")
+            once = list(dict.fromkeys(lines))
+            tokens.append(len(encoder.encode_ordinary(text)))
+            lean.append(tokens[-1] if len(once) == len(lines) else len(encoder.encode_ordinary("\n".join(once))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(tokens, pa.int64()), pa.array(lean, pa.int64())],
+                                         ["doc_id", "source", "lang", "text_key", "tokens", "lean"])
+
+    rows = docs.select("doc_id", "source", "lang", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_key"), "text")
+    return map_batches(rows, work, "doc_id bigint, source string, lang string, text_key string, tokens bigint, lean bigint")
+
+
+@query()
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, then copies of an earlier text deleted (sent twice), then counts without repeated
+    lines revised."""
+    name = "byte_bpe_50k"
+    counted = store(_line_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(f"{name}.tiktoken")), "rollup-counts")
+    counted = counted.withColumn("tokenizer", F.lit(f"{name}@1"))
+    first = store(counted.groupBy("text_key").agg(F.min("doc_id").alias("first")), "rollup-first")
+    copies = counted.join(first, "text_key").where("doc_id != first")
+    lean = counted.where("lean != tokens").join(copies.select("doc_id"), "doc_id", "left_anti")
+    rollup = rollups.TokenRollup(spark, scratch_path(spark, "rollup"))
+    deleted = copies.withColumn("op", F.lit("delete"))
+    rollup.commit(1, counted.withColumn("op", F.lit("insert")))
+    rollup.commit(2, deleted)
+    rollup.commit(2, deleted)
+    rollup.commit(3, lean.withColumn("tokens", F.col("lean")).withColumn("op", F.lit("revise")))
+    return rollup.totals()

@@ -1,22 +1,53 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes what the stage before kept and returns the columns of ``documents``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import jaccard
-from tagwright.llm.shared import attach
+from tagwright.llm import jaccard, packing, pii, quality, spaced
+from tagwright.llm.shared import attach, table
 from tagwright.storage import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_ID = f"coalesce(doc_id, {-(2**63) + 1}L)"  # a null id is an id like others
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, 0.8): the one with the smallest id."""
-    groups = jaccard.near_duplicates(docs, 5, 80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return attach(docs, store(stay, "stay"), ["doc_id"], "left_semi").select(*COLUMNS)
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents whose id is (``left_semi``) or is not (``left_anti``) among stored ``ids``."""
+    return attach(docs.withColumn("id", F.expr(_ID)), ids, ["id"], how).select(*COLUMNS)
 
 
-STAGES = [("near_duplicates", one_of_each)]
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the limits of their language and source go."""
+    return quality.keep_good(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates (shingles of five words, similarity 0.8) the smallest id stays."""
+    groups = jaccard.near_duplicates(docs.select(F.expr(_ID).alias("doc_id"), "text"), 5, 80)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    return _by_id(docs, store(stay, "pipeline-stay"), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    found = spaced.contaminated(docs.select(F.expr(_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _by_id(docs, store(found.select(F.col("doc_id").alias("id")).distinct(), "pipeline-leaks"), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind in brackets; ``n_chars`` follows."""
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("personal_data", personal_data), ("packing", packed),
+]

@@ -76,7 +76,7 @@ class WordTokenizer:
         return ids
 
 
-_MADE: dict[tuple, WordTokenizer] = {}
+_MADE: dict[tuple, object] = {}
 
 
 def word_tokenizer(path: str, end_id: int | None = None) -> WordTokenizer:
@@ -85,3 +85,17 @@ def word_tokenizer(path: str, end_id: int | None = None) -> WordTokenizer:
     if key not in _MADE:
         _MADE[key] = WordTokenizer(path, end_id)
     return _MADE[key]
+
+
+def byte_pairs(path: str, pattern: str):
+    """A byte-level encoder from a file of ranks, one per worker process; ``encode_ordinary`` gives a text's ids."""
+    key = (path, pattern)
+    if key not in _MADE:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        _MADE[key] = tiktoken.Encoding("byte_pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _MADE[key]
