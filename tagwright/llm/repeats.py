@@ -7,8 +7,8 @@ all words of repeats are removed. Windows are found level by level: 5, 10, 20 wo
    windows keep the same one at the same place, so nothing is lost while about one position in nine is looked at.
 2. *Doubling.* Only anchors whose five words occur twice or more are extended to ten words, only those that repeat as
    ten to twenty, and so on up to the asked length, until no candidate is left.
-3. *First occurrence.* At the last level the first start of every window is aggregated by hash (combined on the map
-   side, so a passage with very many copies is no hot key) and all other starts are marked.
+3. *First occurrence.* At the last level equal windows of one Arrow batch are combined before the shuffle, so a passage
+   with very many copies is no hot key; then all starts but the first of each hash are marked.
 4. *Removal.* Marked starts are merged into word ranges per document, which is what meets the texts again.
 
 Hashes have 64 bits. Words are runs of anything but ASCII white space, unchanged.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
@@ -35,6 +36,8 @@ def _levels(length: int) -> list[int]:
     levels = [length]
     while levels[0] % 2 == 0 and levels[0] // 2 >= BASE:
         levels.insert(0, levels[0] // 2)
+    if len(levels) == 1:
+        raise ValueError("the length must be an even number of words, 10 or more")
     return levels
 
 
@@ -83,31 +86,74 @@ def _first_level(docs: DataFrame, base: int, length: int) -> DataFrame:
 
 
 def _next_level(docs: DataFrame, base: int, length: int, level: int) -> DataFrame:
-    """Windows of ``level`` words around the surviving anchors: rows ``(doc, text, anchors)`` in, windows out.
+    """Windows of ``level`` words around the surviving ones: rows ``(doc, text, at)`` in, ``(hash, doc, pos)`` out."""
 
-    The shorter window of a ``length``-word window starts at its anchor, or as far to the left as keeps it inside.
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for low, _, doc, pos, hashes in _extended(batch, base, length, level):
+            yield _rows(batch.column(0), low, doc, pos, hashes)
+
+    return map_batches(docs, work, _ROW)
+
+
+def _extended(batch: pa.RecordBatch, base: int, length: int, level: int) -> Iterator[tuple]:
+    for low, high, data, offsets in W.groups(batch.column(1)):
+        words = W.cut(data, offsets)
+        starts, anchor, _ = _anchors(words, base, length)
+        alive = np.zeros(len(words.hashes) + 1, dtype=bool)
+        for i in range(low, high):
+            mine = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int32) + words.first[i - low]
+            alive[mine[mine < words.first[i - low + 1]]] = True
+        keep = alive[_window_key(starts, anchor, base, length, level // 2)]
+        at = np.unique(_window_key(starts[keep], anchor[keep], base, length, level))
+        hashes, every = W.grams(words, level)
+        yield low, high, *_local(words, at), hashes[np.searchsorted(every, at)]
+
+
+def _last_level(docs: DataFrame, base: int, length: int) -> DataFrame:
+    """Starts of repeats: rows ``(doc, pos, some)``, one start ``pos`` or 32-bit starts packed in ``some``.
+
+    Equal windows of one Arrow batch are combined before the shuffle: all but the first are repeats already and stay
+    in one packed row per document, so a window that occurs everywhere sends one row per batch.
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, data, offsets in W.groups(batch.column(1)):
-            words = W.cut(data, offsets)
-            starts, anchor, _ = _anchors(words, base, length)
-            alive = np.zeros(len(words.hashes) + 1, dtype=bool)
-            for i in range(low, high):
-                mine = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int32) + words.first[i - low]
-                alive[mine[mine < words.first[i - low + 1]]] = True
-            keep = alive[_window_key(starts, anchor, length, level // 2)]
-            at = np.unique(_window_key(starts[keep], anchor[keep], length, level))
-            hashes, every = W.grams(words, level)
-            hashes = hashes[np.searchsorted(every, at)]
-            yield _rows(batch.column(0), low, *_local(words, at), hashes)
+        parts = [(low + doc, pos, hashes) for low, _, doc, pos, hashes in _extended(batch, base, length, length)]
+        row, pos, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64))
+        doc = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((pos, doc[row], hashes))
+        row, pos, hashes = row[order], pos[order], hashes[order]
+        fresh = np.ones(len(row), dtype=bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        own = (doc[row] == doc[row[lead]]) & (pos == pos[lead])  # the same place, in a row that repeats
+        yield pa.RecordBatch.from_arrays(
+            [W.longs(hashes[fresh]), pa.array(doc[row[fresh]]), pa.array(pos[fresh].astype(np.int32)),
+             pa.nulls(int(fresh.sum()), pa.binary())], ["hash", "doc", "pos", "some"])
+        late = ~fresh & ~own
+        r, p = row[late], pos[late].astype(np.int32)
+        order = np.argsort(r, kind="stable")
+        r, p = r[order], p[order]
+        rows, first = np.unique(r, return_index=True)
+        packed = [x.tobytes() for x in np.split(p, first[1:])] if len(rows) else []
+        yield pa.RecordBatch.from_arrays(
+            [W.longs(W.mix(doc[rows].astype(np.uint64))), pa.array(doc[rows]), pa.array(np.full(len(rows), -1, dtype=np.int32)),
+             pa.array(packed, pa.binary())], ["hash", "doc", "pos", "some"])
+
+    rows = map_batches(docs, work, _ROW + ", some binary")
+    place = F.struct("doc", "pos")
+    first = F.first(F.when(F.col("some").isNull(), place), ignorenulls=True).over(
+        Win.partitionBy("hash").orderBy(F.col("some").isNotNull(), "doc", "pos"))
+    return rows.withColumn("first", first).where(F.col("some").isNotNull() | (place != F.col("first"))).select("doc", "pos", "some")
 
-    return map_batches(docs, work, _ROW)
 
+def _window_key(starts: np.ndarray, anchor: np.ndarray, base: int, length: int, level: int) -> np.ndarray:
+    """Start of the ``level``-word window that stands for each ``length``-word window.
 
-def _window_key(starts: np.ndarray, anchor: np.ndarray, length: int, level: int) -> np.ndarray:
-    """Start of the ``level``-word window that stands for each ``length``-word window."""
-    return np.minimum(anchor, starts + length - level)
+    It begins with the anchor, or ends with it where it would otherwise reach beyond the longer window.
+    """
+    if level == length:
+        return starts
+    return np.where(anchor + level <= starts + length, anchor, anchor + base - level)
 
 
 def _per_doc(rows: DataFrame, name: str) -> DataFrame:
@@ -135,17 +181,17 @@ def repeated_ranges(docs: DataFrame, length: int = 20, key: str = "doc_id", text
     for level in levels[1:]:
         alive = _per_doc(_repeated(rows), "repeats-alive")
         work = attach(named, alive, ["doc"], "inner").select("doc", "text", "at")
-        rows = store(_next_level(work, levels[0], length, level), "repeats-windows")
-    first = rows.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"))
-    first = store(first.where("n > 1").select("hash", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1")),
-                  "repeats-first")
-    later = attach(rows, first, ["hash"], "inner").where("doc != doc1 or pos != pos1")
-    marked = _per_doc(later.select("doc", "pos"), "repeats-marked")
+        if level < length:
+            rows = store(_next_level(work, levels[0], length, level), "repeats-windows")
+    late = _last_level(work, levels[0], length)
+    marked = late.groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("some").alias("some"))
 
     def merge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for x in batch.column(1):
-            p = np.unique(np.frombuffer(x.as_buffer(), dtype=np.int32))
+        for x, some in zip(batch.column(1), batch.column(2)):
+            p = np.frombuffer(b"".join(some.as_py()), dtype=np.int32)
+            p = np.unique(np.concatenate([np.asarray(x.values, dtype=np.int32), p]))
+            p = p[p >= 0]
             gap = np.flatnonzero(p[1:] - p[:-1] > length) + 1
             low, high = p[np.r_[0, gap]], p[np.r_[gap - 1, len(p) - 1]] + length
             out.append(np.column_stack([low, high]).astype(np.int32).tobytes())
