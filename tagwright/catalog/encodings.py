@@ -209,10 +209,16 @@ def model_input_row(t: DataFrame) -> DataFrame:
 # ---- vectors ----
 
 @query("assemble_sparse_vector", """
-SELECT item_id, count(*) AS n_nonzero, CAST(1 AS DOUBLE) AS length FROM linear_weighted GROUP BY item_id""", "linear_weighted")
+SELECT item_id, count(*) AS n_nonzero, CAST(sum(pos * fid) AS BIGINT) AS index_sum, round(sum(pos * value), 6) AS value_sum
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fid) AS pos FROM linear_weighted JOIN (
+  SELECT block, feature, row_number() OVER (ORDER BY block, feature) - 1 AS fid FROM linear_features) USING (block, feature))
+GROUP BY item_id""", "linear_weighted linear_features")
 def assemble_sparse_vector(t: DataFrame) -> DataFrame:
     items = flows.linear_items_of(_linear_long(t), _is_train(t), ("item_id",))
-    stats = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2))), T.StructType([
-        T.StructField("n_nonzero", T.LongType()), T.StructField("length", T.DoubleType())]))
-    vectors = models.assemble(items.rows, items.size).select("item_id", stats("features").alias("s"))
-    return vectors.select("item_id", "s.n_nonzero", rounded("s.length", "length"))
+    vectors = models.assemble(items.rows, items.size)
+    parts = "features struct<type:int,size:int,indices:array<int>,values:array<double>>"
+    read = vectors.select("item_id", F.from_json(F.to_json(F.struct("features")), parts)["features"].alias("v"))
+    weighted = lambda c, zero: F.expr(
+        f"aggregate(transform(v.{c}, (x, i) -> (i + 1) * x), {zero}, (s, x) -> s + x)")
+    return read.select("item_id", F.size("v.indices").cast("bigint").alias("n_nonzero"),
+                       weighted("indices", "0L").alias("index_sum"), rounded(weighted("values", "0D"), "value_sum"))

@@ -57,7 +57,24 @@ def _test_words(t: DataFrame) -> DataFrame:
     return store(words.select(F.col("word").alias("query")), "queries")
 
 
-@query("edit_distance_osa")
+_NEW_ROW = """list_reduce(
+  list_concat([[CAST(i + 1 AS BIGINT)]], list_transform(range(1, len(word) + 1), lambda j: [j])),
+  lambda acc, x: list_append(acc, least(
+    cur[x[1] + 1] + 1, acc[x[1]] + 1, cur[x[1]] + CAST(query[i + 1] <> word[x[1]] AS BIGINT),
+    CASE WHEN i >= 1 AND x[1] >= 2 AND query[i + 1] = word[x[1] - 1] AND query[i] = word[x[1]]
+         THEN prev[x[1] - 1] + 1 ELSE 1000000 END)))"""
+
+
+@query("edit_distance_osa", f"""
+SELECT query, word, CAST(cur[len(word) + 1] AS INT) AS dist FROM (
+  WITH RECURSIVE p AS (
+    SELECT DISTINCT query, word FROM (
+      SELECT lower(brand_name) AS query, regexp_extract(lower(name), {text('^' + fixed.TWO_BRAND_WORDS)}) AS word FROM t)
+    WHERE query IS NOT NULL AND word <> ''),
+  m AS (
+    SELECT query, word, 0 AS i, range(0, len(word) + 1) AS cur, CAST([] AS BIGINT[]) AS prev FROM p
+    UNION ALL SELECT query, word, i + 1, {_NEW_ROW}, cur FROM m WHERE i < len(query))
+  SELECT * FROM m WHERE i = len(query))""")
 def edit_distance_osa(t: DataFrame) -> DataFrame:
     pairs = t.select(F.lower("brand_name").alias("query"), X.leading_two_words(F.lower("name")).alias("word"))
     return fuzzy.score_pairs(pairs.where("query is not null and word <> ''").distinct())
@@ -66,10 +83,10 @@ def edit_distance_osa(t: DataFrame) -> DataFrame:
 @query("delete_variants", f"""
 SELECT word, len(v) AS n_variants, list_min(v) AS first_variant, list_max(v) AS last_variant FROM (
   SELECT word, list_distinct(list_concat(d, flatten([{deletes('w')} for w in d]))) AS v
-  FROM (SELECT word, {deletes('word')} AS d FROM words)) WHERE len(v) > 0""", "words")
+  FROM (SELECT word, {deletes('word')} AS d FROM words))""", "words")
 def delete_variants(t: DataFrame) -> DataFrame:
     words = vocabulary.word_dictionary(_is_train(t), "item_description")
-    return words.select("word", X.delete_variants(F.col("word"), 2).alias("v")).where(F.size("v") > 0).select(
+    return words.select("word", X.delete_variants(F.col("word"), 2).alias("v")).select(
         "word", F.size("v").cast("bigint").alias("n_variants"),
         F.array_min("v").alias("first_variant"), F.array_max("v").alias("last_variant"))
 

@@ -10,6 +10,7 @@ from tagwright.catalog.base import mean_predictor, measures, no_stopwords, query
 from tagwright.functions import category, metrics
 from tagwright.functions import text as X
 from tagwright.operators import brands, clean, encode, features, vocabulary
+from tagwright.plans import flows
 from tagwright.sources import tsv
 from tagwright.storage import scratch_path
 
@@ -22,14 +23,14 @@ _FILE = "name, item_condition_id, category_name, brand_name, {price}shipping, it
 def scan_train(t: DataFrame) -> DataFrame:
     path = scratch_path(t.sparkSession, "train-tsv")
     tsv.write_tsv(t.where("split = 'train'").selectExpr("item_id AS train_id", *_FILE.format(price="price, ").split(", ")), path)
-    return tsv.read_train(t.sparkSession, path)
+    return tsv.read_train(t.sparkSession, path, multiline=True)  # descriptions hold line breaks
 
 
 @query("scan_test", f"SELECT item_id AS test_id, {_FILE.format(price='')} FROM t WHERE split = 'test'")
 def scan_test(t: DataFrame) -> DataFrame:
     path = scratch_path(t.sparkSession, "test-tsv")
     tsv.write_tsv(t.where("split = 'test'").selectExpr("item_id AS test_id", *_FILE.format(price="").split(", ")), path)
-    return tsv.read_test(t.sparkSession, path)
+    return tsv.read_test(t.sparkSession, path, multiline=True)
 
 
 _CODES = """
@@ -45,20 +46,21 @@ def scan_typed_categories(t: DataFrame) -> DataFrame:
                         "shipping", F.col("shipping_code").alias("shipping_code"))
 
 
-@query("sink_submission", "SELECT CAST(item_id AS INT) AS test_id, round(pred, 6) AS price FROM mean_category_name",
+@query("sink_submission", "SELECT CAST(item_id AS BIGINT) AS test_id, round(pred, 6) AS price FROM mean_category_name",
        "mean_category_name")
 def sink_submission(t: DataFrame) -> DataFrame:
     path = scratch_path(t.sparkSession, "submission")
     predictions = mean_predictor(t, "category_name").select(F.col("item_id").alias("test_id"), rounded("pred", "price"))
     tsv.write_submission(predictions, path)
-    return t.sparkSession.read.schema("test_id int, price double").option("header", True).csv(path)
+    return t.sparkSession.read.schema("test_id bigint, price double").option("header", True).csv(path)
 
 
 @query("table_shape", """
 SELECT 'train' AS tbl, count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns FROM t WHERE split = 'train'
 UNION ALL SELECT 'test', count(*), 7 FROM t WHERE split = 'test'
-UNION ALL SELECT 'tree features', (SELECT count(*) FROM t WHERE split = 'train'), (SELECT count(*) FROM tree_features)""",
-       "t tree_features")
+UNION ALL SELECT 'tree features', (SELECT count(*) FROM t WHERE split = 'train'), (SELECT count(*) FROM tree_features)
+UNION ALL SELECT 'linear features', (SELECT count(*) FROM t WHERE split = 'train'), (SELECT count(*) FROM linear_features)""",
+       "t tree_features linear_features")
 def table_shape(t: DataFrame) -> DataFrame:
     columns = len(t.columns) - 1
     per_part = t.groupBy("split").agg(F.count("*").alias("n_rows")).select(
@@ -69,13 +71,20 @@ def table_shape(t: DataFrame) -> DataFrame:
     fitted = features.fit_tree_features(features.explode_blocks(clean.clean_tree(train), features.tree_entries()), n.scalar())
     matrix = fitted.agg(F.count("*").alias("n_columns")).select(
         F.lit("tree features").alias("tbl"), n.scalar().alias("n_rows"), "n_columns")
-    return per_part.unionByName(matrix)
+    linear = features.fit_linear_features(flows.linear_long(t, "md5", ("item_id", "split")).where("split = 'train'"), n.scalar())
+    linear = linear.agg(F.count("*").alias("n_columns")).select(
+        F.lit("linear features").alias("tbl"), n.scalar().alias("n_rows"), "n_columns")
+    return per_part.unionByName(matrix).unionByName(linear)
 
 
-@query("preview_head", "SELECT item_id, round(pred, 6) AS pred FROM mean_category_name ORDER BY item_id LIMIT 10",
-       "mean_category_name")
+@query("preview_head", """
+SELECT item_id, round(pred, 6) AS pred, cat_1, cat_2, cat_3 FROM mean_category_name JOIN emb USING (item_id)
+ORDER BY item_id LIMIT 10""", "mean_category_name emb")
 def preview_head(t: DataFrame) -> DataFrame:
-    return mean_predictor(t, "category_name").select("item_id", rounded("pred", "pred")).orderBy("item_id").limit(10)
+    """The first predictions, with the split categories of their listings."""
+    parts = clean.clean_embedding(t.where("split = 'test'")).select("item_id", "cat_1", "cat_2", "cat_3")
+    scored = mean_predictor(t, "category_name").select("item_id", rounded("pred", "pred"))
+    return scored.join(parts, "item_id").orderBy("item_id").limit(10)
 
 
 # ---- projections, filters, predicates ----
@@ -312,14 +321,16 @@ def category_path_tokens(t: DataFrame) -> DataFrame:
 
 
 @query("filter_char_tokens", """
-SELECT item_id, field, array_to_string(list(token ORDER BY pos), '~') AS tokens FROM seq_tokens GROUP BY item_id, field""",
-       "seq_tokens")
+SELECT item_id, field, coalesce(tokens, '') AS tokens
+FROM (SELECT item_id, unnest(['name', 'item_description']) AS field FROM emb)
+LEFT JOIN (SELECT item_id, field, array_to_string(list(token ORDER BY pos), '~') AS tokens FROM seq_tokens
+           GROUP BY item_id, field) USING (item_id, field)""", "emb seq_tokens")
 def filter_char_tokens(t: DataFrame) -> DataFrame:
     rows = clean.clean_embedding(t.where("split = 'test' or price is null or price <> 0"))
     fields = F.array(*[
         F.struct(F.lit(c).alias("field"), F.array_join(vocabulary.sequence_tokens(c), "~").alias("tokens"))
         for c in ("name", "item_description")])
-    return rows.select("item_id", F.explode(fields).alias("f")).select("item_id", "f.*").where("tokens <> ''")
+    return rows.select("item_id", F.explode(fields).alias("f")).select("item_id", "f.*")
 
 
 # ---- row functions ----

@@ -59,7 +59,7 @@ def digit_tokens(text: Column) -> Column:
 
 def whole_value_tokens(text: Column) -> Column:
     """The value as one token per line of it; no token for an empty value."""
-    return extract_all(text.cast("string"), ".+")
+    return extract_all(text.cast("string"), r"[^\n]+")
 
 
 def filter_char_tokens(text: Column) -> Column:

@@ -18,8 +18,10 @@ def fold_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def _read(spark: SparkSession, path: str, file_schema: T.StructType, multiline: bool) -> DataFrame:
     # Numbers are read as text first: a marker such as 'NA' in a number column is missing, not malformed.
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in file_schema.fields])
+    # Pruned columns would hide broken records, so all columns are parsed and a record of another width is an error.
     raw = (
         spark.read.schema(as_text)
+        .option("mode", "FAILFAST").option("columnPruning", False)
         .option("sep", "\t").option("header", True)
         .option("quote", '"').option("escape", '"')
         .option("multiLine", multiline)
@@ -29,16 +31,16 @@ def _read(spark: SparkSession, path: str, file_schema: T.StructType, multiline:
     return folded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in file_schema.fields])
 
 
-def read_train(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_train(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Train listings (with ``price``).
 
-    Quoted fields may hold line breaks, so files are read whole by default; give many files, or pass
-    ``multiline=False`` for data without embedded line breaks to have single files split too.
+    A file is split between tasks, so a record must be one line; a line break inside quotes is an error. Pass
+    ``multiline=True`` for files that have such breaks: each of them is then read by one task.
     """
     return _read(spark, path, schema.TRAIN_FILE, multiline)
 
 
-def read_test(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_test(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Test listings (with ``test_id``, without ``price``)."""
     return _read(spark, path, schema.TEST_FILE, multiline)
 
@@ -62,9 +64,9 @@ def as_listings(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def submission(predictions: DataFrame, price: str | Column = "price") -> DataFrame:
-    """The submission frame: integer ``test_id`` and ``price``."""
+    """The submission frame: 64-bit ``test_id`` and ``price``."""
     price = F.col(price) if isinstance(price, str) else price
-    return predictions.select(F.col("test_id").cast("int").alias("test_id"), price.alias("price"))
+    return predictions.select(F.col("test_id").cast("bigint").alias("test_id"), price.alias("price"))
 
 
 def write_submission(predictions: DataFrame, path: str) -> None:
