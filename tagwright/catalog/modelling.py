@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tagwright import fixed
 from tagwright.catalog.base import mean_predictor, query, rounded
 from tagwright.functions import metrics
-from tagwright.operators import blend, models, split
+from tagwright.operators import blend, models, ridge, split
 from tagwright.plans import flows
 from tagwright.sources import tsv
 
@@ -129,6 +129,32 @@ def ridge_fit_score(t: DataFrame) -> DataFrame:
     return flows.ridge_predictions(t)
 
 
+@query("ridge_one_hot_fit", """
+SELECT CAST(feature AS BIGINT) AS feature, round(n / (n + 0.5) * (m - b), 6) AS weight, round(b, 6) AS intercept FROM (
+  SELECT *, sum(n / (n + 0.5) * m) OVER () / sum(n / (n + 0.5)) OVER () AS b FROM (
+    SELECT item_condition_id - 1 AS feature, CAST(count(*) AS DOUBLE) AS n, avg(ln(1 + price)) AS m
+    FROM t WHERE split = 'train' AND price <> 0 GROUP BY 1))""")
+def ridge_one_hot_fit(t: DataFrame) -> DataFrame:
+    """The solver on one block of codes, where the solution is known: weights and intercept."""
+    entry = F.struct((F.col("item_condition_id") - 1).cast("bigint").alias("feature"), F.lit(1.0).alias("value"))
+    train = flows.with_label(t).where("split = 'train'").select("label", F.array(entry).alias("entries"))
+    model = ridge.fit_ridge(train, 5, tolerance=1e-12)
+    return model.weights.where("weight <> 0").select(
+        "feature", rounded("weight", "weight"), F.round(F.lit(model.intercept), 6).alias("intercept"))
+
+
+@query("gbt_shipping_fit", """
+SELECT x.item_id, round(m, 6) AS prediction FROM t x JOIN (
+  SELECT shipping, avg(ln(1 + price)) AS m FROM t WHERE split = 'train' AND price <> 0 GROUP BY 1) USING (shipping)
+WHERE x.split = 'test'""")
+def gbt_shipping_fit(t: DataFrame) -> DataFrame:
+    """The tree fit on one feature of two values, where every leaf is a group mean."""
+    entry = F.struct(F.lit(0).cast("bigint").alias("feature"), F.col("shipping").cast("double").alias("value"))
+    rows = flows.with_label(t).select("item_id", "split", "label", F.array(entry).alias("entries"))
+    train, test = split.head_tail_split(models.assemble(rows, 1))
+    return models.fit_trees(train, 1).transform(test).select("item_id", rounded("prediction", "prediction"))
+
+
 @query("gbt_fit_score")
 def gbt_fit_score(t: DataFrame) -> DataFrame:
     return flows.tree_predictions(t)
@@ -148,9 +174,12 @@ def hold_out_fit(t: DataFrame) -> DataFrame:
 
 @query("validation_rmse")
 def validation_rmse(t: DataFrame) -> DataFrame:
-    """Log-space RMSE of the tree model on the held-out listings."""
+    """Log-space RMSE on the held-out listings: of the tree model after every round, of each embedding snapshot."""
     model, held, _ = flows.tree_fit(t, fraction=0.8)
-    return model.transform(held).agg(F.count("*").alias("n"), metrics.rmse(F.col("label"), F.col("prediction")).alias("rmse"))
+    fits, held_inputs, _ = flows.embedding_epochs(t, fraction=0.8)
+    trees = flows.tree_curve(model, held).select(F.lit("tree").alias("model"), F.col("round").alias("step"), "n", "rmse")
+    snapshots = flows.embedding_scores(fits, held_inputs)
+    return trees.unionByName(snapshots.select(F.lit("embedding").alias("model"), F.col("epoch").alias("step"), "n", "rmse"))
 
 
 @query("blended_prices")

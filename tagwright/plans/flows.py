@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright import fixed
+from tagwright.functions import metrics
 from tagwright.operators import blend, brands, clean, encode, features, models, ridge, split, vocabulary
 from tagwright.storage import store
 
@@ -77,26 +81,45 @@ def ridge_predictions(rows: DataFrame, max_bytes: int | None = None) -> DataFram
 
 def tree_items(train: DataFrame, others: DataFrame) -> Items:
     """Counts and description tf-idf; vocabularies are fitted on ``train``, the rows marked so by ``split``."""
+    return tree_items_of(train, others)[0]
+
+
+def tree_items_of(train: DataFrame, others: DataFrame) -> tuple[Items, DataFrame]:
+    """``tree_items`` and the feature table behind them."""
     rows = clean.clean_tree(train.unionByName(others))
     long = store(features.explode_blocks(rows, features.tree_entries(), CARRIED), "tree-long", ["split"])
     table = features.fit_tree_features(long.where("split = 'train'"), train.agg(F.count("*")).scalar())
     items = features.description_unit(features.weighted(long, table, CARRIED, True))
-    return Items(items, table.count())
+    return Items(items, table.count()), table
 
 
-def tree_fit(rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, rounds: int = 20):
-    """Fit on the head of the train listings; returns the model and the folded held-out and test rows."""
+def tree_fit(
+    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, rounds: int = fixed.TREE_ROUNDS, buckets: int = fixed.TREE_BUCKETS,
+):
+    """Fit on the head of the train listings, as many rounds as the rest gains from.
+
+    Returns the model and the folded held-out and test rows.
+    """
     train, test = split.head_tail_split(with_label(rows))
     head, held = split.ordered_holdout(train, fraction)
     held, test = held.withColumn("split", F.lit("held")), test
-    items = tree_items(head, held.unionByName(test))
-    stored = store(models.fold_features(items.rows), "tree-items", ["split"])
-    model = models.fit_trees(stored.where("split = 'train'"), rounds)
+    items, table = tree_items_of(head, held.unionByName(test))
+    stored = store(models.fold_features(items.rows, table, buckets), "tree-items", ["split"])
+    seen = stored.where("split != 'test'").withColumn("is_held", F.col("split") == "held")
+    model = models.fit_trees(seen, rounds, held="is_held")
     return model, stored.where("split = 'held'"), stored.where("split = 'test'")
 
 
-def tree_predictions(rows: DataFrame, rounds: int = 20) -> DataFrame:
-    model, _, test = tree_fit(rows, rounds=rounds)
+def tree_curve(model: GBTRegressionModel, held: DataFrame) -> DataFrame:
+    """Log-space RMSE on the held-out rows after every round: ``round``, ``n``, ``rmse``."""
+    errors = model.evaluateEachIteration(held, "squared")  # one number per round
+    rows = [(i + 1, float(e) ** 0.5) for i, e in enumerate(errors)]
+    curve = held.sparkSession.createDataFrame(rows, "round int, rmse double")
+    return curve.select("round", held.agg(F.count("*")).scalar().alias("n"), "rmse")
+
+
+def tree_predictions(rows: DataFrame, rounds: int = fixed.TREE_ROUNDS, buckets: int = fixed.TREE_BUCKETS) -> DataFrame:
+    model, _, test = tree_fit(rows, rounds=rounds, buckets=buckets)
     return models.predicted_price(model, test)
 
 
@@ -110,32 +133,49 @@ def embedding_inputs(rows: DataFrame, max_bytes: int | None = None) -> DataFrame
     return models.embedding_inputs(encode.model_input_row(cleaned, index, labels, CARRIED, max_bytes))
 
 
-def embedding_predictions(rows: DataFrame, iterations: int = 100) -> DataFrame:
+def embedding_predictions(rows: DataFrame, iterations: int = fixed.EMBEDDING_ITERATIONS) -> DataFrame:
     """One fit on all train listings, scored on test."""
     stored = store(embedding_inputs(rows), "embedding-items", ["split"])
     train, test = split.head_tail_split(stored)
     return models.predicted_price(models.fit_embedding(train, iterations), test)
 
 
-def embedding_snapshots(rows: DataFrame, iterations: int = 100) -> DataFrame:
-    """Three fits on seeded samples of the train head, weighted by epoch."""
+def embedding_epochs(
+    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, iterations: int = fixed.EMBEDDING_ITERATIONS,
+) -> tuple[dict[int, PipelineModel], DataFrame, DataFrame]:
+    """One fit per snapshot epoch on a seeded sample of the train head; the models, the held-out and the test rows."""
     stored = store(embedding_inputs(rows), "embedding-items", ["split"])
     train, test = split.head_tail_split(stored)
-    head, _ = split.ordered_holdout(train)
-    snapshots = {
-        epoch: models.fit_embedding(split.seeded_subsample(head, epoch), iterations, seed=epoch)
-        .transform(test).select("item_id", F.expm1("prediction").alias("pred"))
-        for epoch in fixed.SNAPSHOT_WEIGHTS
-    }
-    return blend.snapshot_ensemble(snapshots)
+    head, held = split.ordered_holdout(train, fraction)
+    fits = {e: models.fit_embedding(split.seeded_subsample(head, e), iterations, seed=e) for e in fixed.SNAPSHOT_WEIGHTS}
+    return fits, held, test
+
+
+def embedding_scores(fits: dict[int, PipelineModel], held: DataFrame) -> DataFrame:
+    """Log-space RMSE of every snapshot on the held-out rows: ``epoch``, ``n``, ``rmse``."""
+    scores = [
+        model.transform(held).agg(F.lit(epoch).alias("epoch"), F.count("*").alias("n"),
+                                  metrics.rmse(F.col("label"), F.col("prediction")).alias("rmse"))
+        for epoch, model in fits.items()
+    ]
+    return reduce(DataFrame.unionByName, scores)
+
+
+def embedding_snapshots(rows: DataFrame, iterations: int = fixed.EMBEDDING_ITERATIONS) -> DataFrame:
+    """The snapshots' prices of the test listings, weighted by epoch."""
+    fits, _, test = embedding_epochs(rows, iterations=iterations)
+    return blend.snapshot_ensemble({
+        epoch: model.transform(test).select("item_id", F.expm1("prediction").alias("pred")) for epoch, model in fits.items()})
 
 
 # ---- blend ----
 
-def blended_prices(rows: DataFrame, rounds: int = 20, iterations: int = 30) -> DataFrame:
+def blended_prices(
+    rows: DataFrame, rounds: int = fixed.TREE_ROUNDS, iterations: int = fixed.EMBEDDING_ITERATIONS, buckets: int = fixed.TREE_BUCKETS,
+) -> DataFrame:
     """``(test_id, price)``: the three models' prices, weighted."""
     predictions = {
-        "tree": tree_predictions(rows, rounds),
+        "tree": tree_predictions(rows, rounds, buckets),
         "linear": ridge_predictions(rows),
         "embedding": embedding_snapshots(rows, iterations),
     }
