@@ -2,7 +2,7 @@
 
 Fitted tables (dictionaries, vocabularies, ranked ids) are written once to the folder the cluster names in
 ``spark.checkpoint.dir`` and read back. Reads then have a short lineage, survive the loss of executors, and are cheap
-to measure before a broadcast is considered.
+to measure before a broadcast is considered. A session writes into one folder of its own, which goes when it ends.
 """
 
 from __future__ import annotations
@@ -28,9 +28,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_MARKED: set[str] = set()
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """The session's folder below the checkpoint folder (which is new for every session); removed when the JVM ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tagwright"
+    if folder not in _MARKED:
+        _MARKED.add(folder)
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the session's run folder."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -22,6 +23,7 @@ def session(cores: str = "8"):
         SparkSession.builder.master(f"local[{cores}]").appName("tagwright")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tagwright-tests-"))
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

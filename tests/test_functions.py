@@ -162,6 +162,32 @@ def test_missing_markers_and_quotes(spark, tmp_path):
         "train_id\tname\titem_condition_id\tcategory_name\tbrand_name\tprice\tshipping\titem_description\n"
         '0\tring\t1\tN/A\tnull\t10.0\t1\t"two\nlines ""quoted"""\n'
         "1\tnut \\ bolt\t2\ta/b/c\tAcme\tNA\t0\t\n")
-    a, b = tsv.read_train(spark, str(path)).orderBy("train_id").collect()
+    a, b = tsv.read_train(spark, str(path), multiline=True).orderBy("train_id").collect()
     assert (a.category_name, a.brand_name, a.price, a.item_description) == (None, None, 10.0, 'two\nlines "quoted"')
     assert (b.name, b.price, b.item_description, b.shipping) == ("nut \\ bolt", None, None, 0)
+    with pytest.raises(Exception, match="MALFORMED|malformed"):  # split reading: an error, not shifted columns
+        tsv.read_train(spark, str(path)).select("price").collect()
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "train.tsv"
+    with path.open("w") as out:
+        out.write("train_id\tname\titem_condition_id\tcategory_name\tbrand_name\tprice\tshipping\titem_description\n")
+        out.writelines(f'{i}\tname {i}\t1\ta/b/c\t"say ""x"""\t1.5\t0\tplain text {i}\n' for i in range(20_000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        rows = tsv.read_train(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == 20_000
+        assert rows.where("brand_name = 'say \"x\"' and item_description = concat('plain text ', train_id)").count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_whole_values_break_at_line_feeds_only(spark):
+    assert one(spark, "a\rb\nc\x85d\u2028e", text.whole_value_tokens) == ["a\rb", "c\x85d\u2028e"]
+
+
+def test_submission_holds_64_bit_ids(spark, tmp_path):
+    tsv.write_submission(spark.createDataFrame([(3_000_000_000, 4.5)], "test_id bigint, price double"), str(tmp_path / "out"))
+    back = spark.read.schema("test_id bigint, price double").option("header", True).csv(str(tmp_path / "out"))
+    assert [tuple(r) for r in back.collect()] == [(3_000_000_000, 4.5)]

@@ -27,16 +27,32 @@ def test_conjugate_gradients_equal_closed_form(spark, problem):
     model = ridge.fit_ridge(train, 6, tolerance=1e-12)
     got = [r["weight"] for r in model.weights.orderBy("feature").collect()]
     assert got == pytest.approx(list(w), abs=1e-8) and model.intercept == pytest.approx(b, abs=1e-8)
+    for options in ({"width": 2}, {"max_coefficients": 0}):  # by slices, and with every vector a table
+        other = ridge.fit_ridge(train, 6, tolerance=1e-12, **options)
+        got = {r["feature"]: r["weight"] for r in other.weights.collect()}
+        assert [got[i] for i in range(6)] == pytest.approx(list(w), abs=1e-8)
+        assert other.intercept == pytest.approx(b, abs=1e-8)
     for max_bytes in (None, 0):
         scored = model.transform(train, max_bytes).orderBy("item_id").collect()
         assert [r["prediction"] for r in scored] == pytest.approx(list(x @ w + b), abs=1e-8)
 
 
-def test_linear_regression_equals_closed_form(spark, problem):
+def test_slices_meet_whole(spark, problem, monkeypatch):
+    """The sliced sum gives each slice once, whatever the number of partitions."""
     x, y, w, b = problem
-    train = spark.createDataFrame([(float(v), Vectors.dense(r)) for v, r in zip(y, x)], ["label", "features"])
-    model = models.fit_linear_regression(train, tolerance=1e-12)
-    assert list(model.coefficients) == pytest.approx(list(w), abs=1e-5) and model.intercept == pytest.approx(b, abs=1e-5)
+    monkeypatch.setattr(ridge, "_DIRECT_BYTES", 0)
+    rows = [(float(y[i]), [(int(j), float(x[i, j])) for j in np.flatnonzero(x[i])]) for i in range(len(y))]
+    train = spark.createDataFrame(rows, "label double, entries array<struct<feature:bigint,value:double>>").repartition(13)
+    model = ridge.fit_ridge(train, 6, tolerance=1e-12, width=4)
+    assert [r["weight"] for r in model.weights.orderBy("feature").collect()] == pytest.approx(list(w), abs=1e-8)
+
+
+def test_short_blocks_share_no_bucket_with_words(spark):
+    table = spark.createDataFrame([("brand_name", 0), ("brand_name", 1), ("item_description", 2), ("item_description", 3),
+                                   ("name", 4), ("shipping", 5)], "block string, fid bigint")
+    rows = spark.createDataFrame([([(i, 1.0) for i in range(6)],)], "entries array<struct<feature:bigint,value:double>>")
+    (v,) = [r["features"] for r in models.fold_features(rows, table, 2).collect()]
+    assert v.size == 5 and sum(v.toArray()[:2]) == 3.0 and list(v.toArray()[2:]) == [1.0, 1.0, 1.0]
 
 
 def test_sparse_vector(spark):
@@ -69,4 +85,34 @@ def test_trees_beat_mean(listings, scored_listings):
 
 
 def test_embedding_beats_mean(listings, scored_listings):
-    scored_listings(flows.embedding_predictions(listings, iterations=60))
+    scored_listings(flows.embedding_predictions(listings))
+
+
+def test_word_vectors_train_in_parallel(listings, monkeypatch):
+    asked = []
+    pipeline = models.embedding_pipeline
+    monkeypatch.setattr(models, "embedding_pipeline", lambda *a: asked.append(a) or pipeline(*a))
+    rows = store(flows.embedding_inputs(listings), "inputs").repartition(3)
+    models.fit_embedding(rows.where("split = 'train'"), iterations=1)
+    assert asked[0][2] == 3
+
+
+def test_blended_prices(listings):
+    prices = store(flows.blended_prices(listings, rounds=2), "blended")
+    want = listings.where("split = 'test' and (price is null or price <> 0 or split = 'test')").count()
+    assert prices.count() == want and prices.where("price is null or price < 3").isEmpty()
+
+
+def test_snapshots_beat_mean(listings, scored_listings):
+    scored_listings(flows.embedding_snapshots(listings))
+
+
+def test_hold_out_fit_and_curve(listings):
+    model, held, test = flows.tree_fit(listings, fraction=0.8, rounds=6)
+    train = flows.with_label(listings).where("split = 'train'")
+    assert held.join(train, "item_id", "left_semi").count() == held.count() > 0
+    assert held.join(test, "item_id", "left_semi").isEmpty()
+    curve = flows.tree_curve(model, held).orderBy("round").collect()
+    assert 1 <= len(curve) <= 6 and len(curve) == model.getNumTrees and curve[0]["n"] == held.count()
+    deviation = held.agg(F.stddev_pop("label")).first()[0]
+    assert curve[-1]["rmse"] < deviation
