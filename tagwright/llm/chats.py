@@ -60,10 +60,11 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while len(ups) <= limit and not state.where("up is not null").isEmpty():
         above = state.select(F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("up").alias("a_up"),
                              F.col("depth").alias("a_depth"), F.col("score").alias("a_score"))
-        joined = state.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node")), "left")
-        state = store(joined.select(
-            "tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("a_score", F.lit(0.0))).alias("score")), "chat-up")
+        climbing, there = state.where("up is not null"), state.where("up is null")
+        joined = climbing.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("up") == F.col("a_node"))).select(
+            "tree", "node", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"),
+            (F.col("score") + F.col("a_score")).alias("score"))
+        state = store(there.unionByName(joined), "chat-up")  # only nodes that have not reached a root are joined again
         ups.append(state)
     inner = ups[0].where("up is not null").select(F.col("tree").alias("i_tree"), F.col("up").alias("i_node")).distinct()
     leaves = state.join(inner, F.col("tree").eqNullSafe(F.col("i_tree")) & (F.col("node") == F.col("i_node")), "left_anti")
