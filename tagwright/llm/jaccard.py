@@ -3,19 +3,22 @@
 A text's set holds the distinct hashes of its ``n``-word runs (A-Z lower-cased, words cut at ASCII white space). Two
 texts link when ``100 * shared >= percent * union``. Texts with equal sets are one class, and only classes are joined:
 
-1. *Order.* Every task counts in how many texts each cell of a fixed table of 2**20 hash cells occurs; the summed table
-   (4 MiB, whatever the input) orders n-grams rare-first, ties by hash. Any order gives the same links, this one keeps
-   common n-grams out of the prefixes.
+1. *Order.* Every task counts the words and the n-grams of its texts in 2**20 hash cells each; the summed tables (8 MiB,
+   whatever the input) order n-grams rare-first: n-grams that stand out of their cells come last, all others follow the
+   frequencies of their words. Any order gives the same links, this one keeps common n-grams out of the prefixes.
 2. *Prefix.* Linked sets share an n-gram of their first ``size - ceil(percent/100 * size) + 1``; these are the postings.
-   N-grams of one class alone are dropped.
-3. *Candidates.* Per n-gram and band of sizes one class is the hub, and all others of the band or the next are paired
-   with it (length filter). A few rounds of hubs connect a group of near copies without pairing everything in it. Then
-   all pairs under one n-gram that are not yet connected are formed, so no link between components is missed.
-4. *Filters.* Each pair is kept once, with its first shared prefix n-gram, for the positional filter; the suffix filter
-   bounds the difference of the sets from their counts in 16 hash ranges.
+   N-grams that occur once are dropped, and places too far behind the foremost place of their n-gram in any set.
+3. *Candidates.* Per n-gram and band of sizes the class in whose order the n-gram comes first, the most central one, is
+   the hub, and the others of the band and the next ones are paired with it. That connects a group of near copies without
+   pairing everything in it. Then pairs under one n-gram that are not yet connected are formed, those of its most common
+   component only with others, so no link between components is missed. A pair is passed over where the n-gram before
+   is the same in both sets, as it meets there already.
+4. *Filters* are conditions of the joins: sizes (length filter); places of the shared n-gram, as nothing is shared before
+   the first one (positional filter); and parities of the sets in 256 hash cells, whose differences the sets must differ
+   by at least (suffix filter).
 5. *Verification* of each remaining pair once, on the whole sets, and connected components of the links.
 
-Links between classes that are already connected are not searched again: the components are exact, ``links`` lists the
+Links between classes that are already connected are not searched again: the components are exact, ``n_links`` counts the
 links that were verified on the way.
 """
 
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
@@ -35,29 +39,40 @@ from tagwright.storage import store
 
 CELLS = 2**20
 _SLICE = 2**10
-_PROFILE = 16
-HUB_ROUNDS = 3  # at most; more rounds or fewer change the work, not the components
-NO_TEXT = -1
+_PARITY = 4  # 64-bit words of parities
+_WORK = 1000  # pairs that the last join may try per posting before another round of hubs is worth it
+HUB_ROUNDS = 2  # at most; more rounds or fewer change the work, not the components
+_NULL_KEY = -(2**63)  # stands for a null key inside
 
 
-def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Distinct n-gram hashes per text of a group, as ``(low, high, text, hash)``; short texts give one whole-text hash."""
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _sets(texts: pa.Array, n: int, rarity: np.ndarray | None = None) -> Iterator[tuple]:
+    """Distinct n-gram hashes per text of a group: ``(low, high, text, hash, score, words)``.
+
+    A text of fewer words gives the hash of all of them. ``score`` adds the ``rarity`` of the n-gram's words.
+    """
     for low, high, data, offsets in W.groups(texts):
         words = W.cut(data, offsets, fold=True)
+        weight = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+        if rarity is not None:
+            np.cumsum(rarity[_cell(words.hashes)], out=weight[1:])
         hashes, at = W.grams(words, n)
-        doc = words.doc[at] if len(at) else np.zeros(0, dtype=np.int64)
+        doc, score = words.doc[at], weight[at + n] - weight[at] if len(at) else np.zeros(0, dtype=np.int64)
         for k in range(1, n):
             short = np.flatnonzero(words.counts == k)
             if len(short):
+                first = words.first[short]
                 h, p = W.grams(words, k)
-                h, d = h, words.doc[p]
-                mine = np.isin(d, short)
-                hashes, doc = np.concatenate([hashes, h[mine]]), np.concatenate([doc, d[mine]])
+                hashes = np.concatenate([hashes, h[np.searchsorted(p, first)]])
+                doc, score = np.concatenate([doc, short]), np.concatenate([score, weight[first + k] - weight[first]])
         order = np.lexsort((hashes, doc))
-        hashes, doc = hashes[order], doc[order]
+        hashes, doc, score = hashes[order], doc[order], score[order]
         fresh = np.ones(len(doc), dtype=bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-        yield low, high, doc[fresh], hashes[fresh]
+        yield low, high, doc[fresh], hashes[fresh], score[fresh], words
 
 
 def _class_keys(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +87,34 @@ def _class_keys(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def classes(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``node`` (hash of the set; null for an empty set), one row per input row."""
+    """``key``, ``n_shingles``, ``node`` (hash of the set; null for an empty set), ``parity``, one row per input row."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
-        for low, high, doc, hashes in _sets(batch.column(1), n):
+        for low, high, doc, hashes, *_ in _sets(batch.column(1), n):
             size, node = _class_keys(doc, hashes, high - low)
+            cell = (hashes >> np.uint64(56)).astype(np.int64)
+            odd = np.bincount(doc * 64 * _PARITY + cell, minlength=(high - low) * 64 * _PARITY).astype(np.uint8) & 1
+            parity = pa.array(np.packbits(odd).view(np.int64))
+            parity = pa.FixedSizeListArray.from_arrays(parity, _PARITY).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(low, high - low), pa.array(size.astype(np.int64)),
-                 pa.array(node.view(np.int64), mask=size == 0)], ["key", "n_shingles", "node"])
+                [ids.slice(low, high - low), pa.array(size.astype(np.int64)), pa.array(node.view(np.int64), mask=size == 0), parity],
+                ["key", "n_shingles", "node", "parity"])
 
     return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), work,
-                       "key bigint, n_shingles bigint, node bigint")
+                       "key bigint, n_shingles bigint, node bigint, parity array<bigint>")
 
 
-def frequency_table(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """In how many texts the n-grams of each hash cell occur, for 2**20 cells (a fixed 4 MiB)."""
+def frequency_tables(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Per hash cell: in how many sets its n-grams occur, and how often its words occur (a fixed 8 MiB)."""
 
     def count(batches):
-        cells = np.zeros(CELLS, dtype=np.int64)
+        cells = np.zeros(2 * CELLS, dtype=np.int64)
         for batch in batches:
-            for _, _, _, hashes in _sets(batch.column(0), n):
-                cells += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        for i in range(0, CELLS, _SLICE):
+            for _, _, _, hashes, _, words in _sets(batch.column(0), n):
+                cells[:CELLS] += np.bincount(_cell(hashes), minlength=CELLS)
+                cells[CELLS:] += np.bincount(_cell(words.hashes), minlength=CELLS)
+        for i in range(0, 2 * CELLS, _SLICE):
             part = cells[i:i + _SLICE].astype(np.uint32)
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()])], ["slice", "counts"])
@@ -111,25 +131,28 @@ def frequency_table(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
 
     schema = "slice bigint, counts binary"
     parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
-    table = np.zeros(CELLS, dtype=np.uint32)
-    for i, c in parts.repartition("slice").mapInArrow(total, schema).collect():  # at most 1,024 rows of 4 KiB
+    table = np.zeros(2 * CELLS, dtype=np.uint32)
+    for i, c in parts.repartition("slice").mapInArrow(total, schema).collect():  # at most 2,048 rows of 4 KiB
         table[i:i + _SLICE] = np.frombuffer(c, dtype=np.uint32)
-    return table
+    return table[:CELLS], table[CELLS:]
 
 
 def _prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
-def postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray, text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
     """Prefix n-grams ``(gram, node, size, pos)`` of every text, positions in rare-first order from 0."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    grams, words = frequency_tables(docs.select(F.col(text).alias("text")), n)
+    usual = 2 * (int(grams.sum(dtype=np.int64)) / CELLS + 1)
+    level = np.maximum(np.ceil(np.log2((grams + 1) / usual)), 0).astype(np.int8)  # 0: does not stand out of its cell
+    held = docs.sparkSession.sparkContext.broadcast((level, (16 * np.log2(words.astype(np.float64) + 1)).astype(np.int16)))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, doc, hashes in _sets(batch.column(0), n):
+        levels, rarity = held.value
+        for low, high, doc, hashes, score, _ in _sets(batch.column(0), n, rarity):
             size, node = _class_keys(doc, hashes, high - low)
-            often = held.value[(hashes >> np.uint64(44)).astype(np.int64)]
-            order = np.lexsort((hashes, often, doc))
+            order = np.lexsort((hashes, score, levels[_cell(hashes)], doc))
             hashes = hashes[order]
             pos = np.arange(len(doc)) - W.bounds(doc, high - low)[doc]
             keep = np.flatnonzero(pos < _prefix_sizes(size, percent)[doc])
@@ -141,20 +164,18 @@ def postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray, text: st
     return map_batches(docs.select(F.col(text).alias("text")), work, "gram bigint, node bigint, size int, pos int")
 
 
-def _whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``node``, its counts in 16 hash ranges, and its sorted hashes, for rows ``(node, text)``."""
+def _whole_sets(lent: DataFrame, n: int) -> DataFrame:
+    """``node`` and its sorted hashes, for rows ``(text, nodes)``: texts whose class is among the nodes asked for."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, doc, hashes in _sets(batch.column(1), n):
-            at = W.bounds(doc, high - low)
-            cell = doc * _PROFILE + (hashes >> np.uint64(60)).astype(np.int64)
-            profile = np.bincount(cell, minlength=(high - low) * _PROFILE).astype(np.int32)
-            profile = pa.FixedSizeListArray.from_arrays(pa.array(profile), _PROFILE).cast(pa.list_(pa.int32()))
-            sets = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), profile, sets], ["node", "profile", "members"])
+        for low, high, doc, hashes, *_ in _sets(batch.column(0), n):
+            size, node = _class_keys(doc, hashes, high - low)
+            at, node = W.bounds(doc, high - low), node.view(np.int64)
+            keep = [i for i in range(high - low) if size[i] and int(node[i]) in batch.column(1)[low + i].as_py()]
+            sets = pa.array([hashes[at[i]:at[i + 1]].tobytes() for i in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), sets], ["node", "members"])
 
-    return map_batches(docs.select("node", "text"), work, "node bigint, profile array<int>, members binary")
+    return map_batches(lent.select("text", "nodes"), work, "node bigint, members binary")
 
 
 def _least_shared(a: str, b: str, percent: int) -> str:
@@ -162,17 +183,10 @@ def _least_shared(a: str, b: str, percent: int) -> str:
     return f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b, a_size, b_size)`` that link, each checked once on its whole sets."""
-    profiles = sets.select("node", "profile")
-    near = pairs.join(profiles.withColumnsRenamed({"node": "a", "profile": "pa"}), "a")
-    near = near.join(profiles.withColumnsRenamed({"node": "b", "profile": "pb"}), "b")
-    apart = F.expr("aggregate(zip_with(pa, pb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")  # suffix filter
-    near = near.where(apart <= F.expr(f"a_size + b_size - 2 * ({_least_shared('a_size', 'b_size', percent)})"))
-    near = store(near.select("a", "b"), "jaccard-near")
-    members = sets.select("node", "members")
-    both = near.join(members.withColumnsRenamed({"node": "b", "members": "mb"}), "b")
-    both = both.join(members.withColumnsRenamed({"node": "a", "members": "ma"}), "a")
+def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that link, each checked once on its whole sets."""
+    both = near.join(sets.withColumnsRenamed({"node": "b", "members": "mb"}), "b")
+    both = both.join(sets.withColumnsRenamed({"node": "a", "members": "ma"}), "a")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -187,95 +201,98 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "ma", "mb"), work, "a bigint, b bigint")
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
-    """Each candidate pair once, past the length and the positional filter."""
-    joined = left.join(right, on).where(
-        f"x_node != y_node and x_label != y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size)")
-    first = F.expr("x_node < y_node")
-    side = lambda c: [F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))]  # noqa: E731, E501
-    cols = [x.alias(n) for c, (p, q) in (("node", ("a", "b")), ("size", ("a_size", "b_size")), ("pos", ("i", "j")))
-            for x, n in zip(side(c), (p, q))]
-    once = joined.select(*cols).groupBy("a", "b", "a_size", "b_size").agg(F.min(F.struct("i", "j")).alias("at"))
-    bound = F.expr("1 + least(a_size - at.i, b_size - at.j) - 1")  # nothing is shared before the first shared n-gram
-    return once.where(bound >= F.expr(_least_shared("a_size", "b_size", percent))).drop("at")
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, more: str = "true") -> DataFrame:
+    """Candidate pairs ``(a, b)`` of rows with different labels, each once, past the length, positional and suffix filter."""
+    least = _least_shared("x_size", "y_size", percent)
+    apart = " + ".join(f"bit_count(x_parity[{k}] ^ y_parity[{k}])" for k in range(_PARITY))
+    cond = F.expr(
+        f"x_node != y_node and x_label != y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) "
+        f"and least(x_size - x_pos, y_size - y_pos) >= {least} and {apart} <= x_size + y_size - 2 * ({least}) and ({more})")
+    for c in on:
+        cond = cond & (F.col(f"x_{c}") == F.col(f"y_{c}"))
+    joined = left.join(right, cond)
+    return joined.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _as(df: DataFrame, side: str, keep: tuple[str, ...] = ("gram",)) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{side}_{c}") for c in df.columns])
+def _as(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
 def links(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Membership ``(key, n_shingles, node)`` of all rows, and verified links ``(a, b)`` between classes ``node``."""
-    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = docs.select(F.coalesce(key, F.lit(_NULL_KEY)).alias("key"), F.col(text).alias("text"))
     member = store(classes(named, n, "key"), "jaccard-classes")
-    counts = frequency_table(named, n)
-    posted = store(postings(named, n, percent, counts), "jaccard-postings")
-    repeated = posted.groupBy("gram").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p != q")
-    repeated = store(repeated.select("gram"), "jaccard-repeated")
-    posted = store(attach(posted, repeated, ["gram"], "left_semi").distinct(), "jaccard-shared")
-
-    # one row of each class that has candidates lends its text
-    wanted = posted.select("node").distinct()
-    lender = member.where("node is not null").groupBy("node").agg(F.min(F.coalesce("key", F.lit(-2**63))).alias("key"))
-    lender = store(wanted.join(lender, "node").groupBy("key").agg(F.collect_set("node").alias("nodes")), "jaccard-lenders")
-    lent = attach(named.withColumn("key", F.coalesce("key", F.lit(-2**63))), lender, ["key"], "inner")
-    rows = _with_nodes(lent, n)
-    sets = store(_whole_sets(rows, n).dropDuplicates(["node"]), "jaccard-sets")
+    parities = store(member.where("node is not null").groupBy("node").agg(F.first("parity").alias("parity")),
+                     "jaccard-parities")
+    posted = store(postings(named, n, percent), "jaccard-postings")
+    often = posted.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.expr("pos * 1000 div size")).alias("front"))
+    often = store(often.where("n > 1").select("gram", "front"), "jaccard-often")
+    share = percent / (100 + percent)  # linked sets share this part of their summed sizes, which bounds both places
+    reach = (1 - share - F.col("pos") / F.col("size")) * (1 - share - F.col("front") / 1000) >= share**2 - 1e-9
+    posted = attach(posted, often, ["gram"], "inner").where(reach).drop("front").distinct()  # one row per class
+    posted = store(posted, "jaccard-shared")
 
     band = F.floor(F.log("size") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("size")
-    labels, found = None, []
+    labels, sets, tried, edges = None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            now = posted.withColumn("label", F.col("node"))
-        else:
-            now = attach(posted, labels, ["node"]).withColumn("label", F.coalesce("label", F.col("node")))
-        now = now.withColumn("band", band)
-        if turn:
+        now = posted if labels is None else attach(posted, labels, ["node"])
+        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", F.col("node")))
+        if labels is not None:
             now = store(now, "jaccard-labelled")
-            per_gram = now.groupBy("gram").agg(F.count("*").alias("m"), F.min("label").alias("p"), F.max("label").alias("q"))
-            open_grams = store(per_gram.where("p != q"), "jaccard-open")
-            left, same = open_grams.agg(F.count("*"), F.sum(F.expr("cast(m as double) * m"))).first()
-            if not left:
-                break
-            now = attach(now, open_grams.select("gram"), ["gram"], "left_semi")
-        if turn == HUB_ROUNDS or (turn and same <= 16 * now.count()):
-            pairs = _pairs(_as(now.drop("band"), "x"), _as(now.drop("band"), "y"), ["gram"], percent)
-            last = True
+        # per n-gram: all rows, and those of its most common component
+        counts = now.groupBy("gram", "label").agg(F.count("*").alias("m"))
+        counts = counts.groupBy("gram").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
+        opened = store(counts.where("m > top.m").select("gram", "m", F.col("top.m").alias("most"), F.col("top.label").alias("major")),
+                       "jaccard-open")
+        rows, work = opened.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - most)"))).first()
+        if not rows:
+            break
+        now = attach(now, opened.select("gram", "major"), ["gram"], "inner")
+        now = store(attach(now, parities, ["node"], "inner"), "jaccard-rows")
+        minor = now.where("label != major").drop("major")
+        last = turn == HUB_ROUNDS or (turn > 0 and work <= _WORK * rows)
+        if last:
+            back = F.lag("gram").over(Win.partitionBy("node").orderBy("pos"))  # a node has at most its prefix here
+            now = store(now.withColumn("back", back), "jaccard-back")
+            minor = now.where("label != major").drop("major")
+            pairs = _pairs(_as(minor, "x"), _as(now.drop("major"), "y"), ["gram"], percent, "not x_back <=> y_back or x_back is null")
         else:
-            salted = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "pos", "label")
-            hub = now.groupBy("gram", "band").agg(F.min(salted).alias("hub")).select("gram", "band", "hub.*").drop("h")
+            rank = F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "label", "parity")
+            source = now.drop("major") if turn == 0 else minor
+            hub = source.withColumn("band", band).groupBy("gram", "band").agg(F.min(rank).alias("hub"))
+            hub = hub.select("gram", "band", "hub.*").drop("h")
             hub = hub.withColumn("band", F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)))
-            pairs = _pairs(_as(now, "x", ("gram", "band")), _as(hub, "y", ("gram", "band")), ["gram", "band"], percent)
-            last = False
-        pairs = store(pairs, "jaccard-pairs")
-        for old in found:
-            pairs = pairs.join(old[0], ["a", "b"], "left_anti")
-        found.append((pairs.select("a", "b"), store(_verify(pairs, sets, percent), "jaccard-links")))
+            pairs = _pairs(_as(now.drop("major").withColumn("band", band), "x"), _as(hub, "y"), ["gram", "band"], percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        near = store(pairs, "jaccard-near")
+        sets = _add_sets(sets, near, named, member, n)
+        fresh = store(_verify(near, sets, percent), "jaccard-links")
+        tried = near if tried is None else tried.unionByName(near)
+        edges = fresh if edges is None else edges.unionByName(fresh)
         if last:
             break
-        edges = found[0][1]
-        for _, more in found[1:]:
-            edges = edges.unionByName(more)
         labels = store(components(edges, "jaccard-component"), "jaccard-labels")
-    edges = found[0][1]
-    for _, more in found[1:]:
-        edges = edges.unionByName(more)
-    return member, edges
-
-
-def _with_nodes(lent: DataFrame, n: int) -> DataFrame:
-    """Rows ``(node, text)``: texts whose class is among those their key was asked for."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, asked = batch.column(1), batch.column(2)
-        for low, high, doc, hashes in _sets(texts, n):
-            size, node = _class_keys(doc, hashes, high - low)
-            node = node.view(np.int64)
-            keep = [i for i in range(high - low) if size[i] and int(node[i]) in set(asked[low + i].as_py())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[keep]), texts.slice(low, high - low).take(pa.array(keep, pa.int64()))], ["node", "text"])
-
-    return map_batches(lent.select("key", "text", "nodes"), work, "node bigint, text string")
+    if edges is None:
+        edges = posted.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return member.select(F.when(F.col("key") != _NULL_KEY, F.col("key")).alias("key"), "n_shingles", "node"), edges
+
+
+def _add_sets(sets: DataFrame | None, near: DataFrame, named: DataFrame, member: DataFrame, n: int) -> DataFrame:
+    """Stored whole sets of all classes in ``near``; one row of each class lends its text."""
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("node"), "node", "left_anti")
+    lender = wanted.join(member, "node").groupBy("node", "key").count()
+    lender = lender.groupBy("node").agg(F.min(F.struct("count", "key")).alias("l")).select("node", "l.*")
+    lender = store(lender, "jaccard-lenders")
+    for alone in (True, False):  # rows that repeat a key and its text are made one
+        mine = lender.where("count = 1" if alone else "count > 1").groupBy("key").agg(F.collect_set("node").alias("nodes"))
+        lent = attach(named, store(mine, "jaccard-lent"), ["key"], "inner")
+        more = _whole_sets(lent, n)
+        more = store(more if alone else more.dropDuplicates(["node"]), "jaccard-sets")
+        sets = more if sets is None else sets.unionByName(more)
+    return sets
 
 
 def near_duplicates(
