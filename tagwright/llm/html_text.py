@@ -1,14 +1,16 @@
 """Main text of web pages: markup rules and nearest-URL page differencing.
 
 A page is cut into lines at block elements. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out by their element, role, class or id. The lines that no rule decides
-are compared with those of the page whose URL is nearest on the same host: pages are sorted by host and path, of the two
-neighbours the one with the longer common path prefix is taken, both pages' lines are aligned by a longest common
-subsequence, and the shared ones are deleted.
+scripts, styles and reader comments are left out by their element, role, class or id. All other lines, inside and
+outside ``article`` and ``main`` elements, are compared with those of the page whose URL is nearest on the same host and
+which is no copy: both pages' lines are aligned by a longest common subsequence, and the shared ones are deleted.
 
-Lines inside an ``article`` or ``main`` element are the text by the page's own word: they are neither deleted when a
-neighbour shares them (a host may serve an article twice) nor joined by lines from outside. Two pages that share more than ``COPY_SHARE`` percent of both their lines are copies,
-which say nothing about boilerplate, and lose nothing.
+Copies say nothing about boilerplate. Pages of a host with equal lines count as one content, which lies at its least
+path. Contents are sorted by host and path; two are copies when they share more than ``COPY_SHARE`` percent of their own
+lines: those inside articles where there are any, without the lines that are common on the host (on more than half of
+its contents, and on three at least). Neighbours that are copies form runs. Of the contents next to a run before and
+behind the one with the longer common path prefix is taken; if it is a copy after all the other one, and then those
+beyond the next runs, until one is no copy or the host ends.
 
 Sorting and pairing use only line hashes, hosts and paths; ranks come from a range-partitioned sort, so a host with a
 third of all pages is spread over tasks. The pages are read a second time for the text.
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
+from tagwright.llm.sharding import running_totals
 from tagwright.llm.shared import attach, map_batches
 from tagwright.operators.ranking import with_rank
 from tagwright.storage import store
 
 COPY_SHARE = 80
+COMMON = 3  # contents of a host that hold a common line, at least
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -59,6 +63,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.content: list[str] = []  # open article and main elements
         self.dropped, self.depth = "", 0  # the element being left out, and how often it is open
+        self.around = ("", 0)  # the same for what was open when the article began; it goes on behind the article
 
     def _break(self) -> None:
         if self.parts:
@@ -85,7 +90,7 @@ class _Lines(HTMLParser):
                 self.depth += 1
             if tag not in _OPEN_CONTENT or self.content or self.dropped in ("article", "main"):
                 return
-            self.dropped = ""  # an element that was never closed does not swallow the article
+            self.around, self.dropped = (self.dropped, self.depth), ""  # an unclosed element does not swallow the article
         if tag in _BLOCKS:
             self._break()
         if tag in _VOID:
@@ -99,6 +104,11 @@ class _Lines(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _leave(self, tag: str) -> None:
+        self.content.remove(tag)
+        if not self.content:
+            (self.dropped, self.depth), self.around = self.around, ("", 0)
+
     def handle_endtag(self, tag: str) -> None:
         if self.dropped:
             if tag == self.dropped:
@@ -107,12 +117,14 @@ class _Lines(HTMLParser):
                     self.dropped = ""
             elif tag in self.content:  # the article ends inside an element that was never closed
                 self.dropped = ""
-                self.content.remove(tag)
+                self._leave(tag)
             return
+        if tag == self.around[0]:
+            self.around = (tag, self.around[1] - 1) if self.around[1] > 1 else ("", 0)
         if tag in _BLOCKS:
             self._break()
         if tag in self.content:
-            self.content.remove(tag)
+            self._leave(tag)
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
@@ -169,55 +181,122 @@ def _common(a: str, b: str | None) -> int:
 
 
 def _open_lines(pages: DataFrame) -> DataFrame:
-    """``row``, ``host``, ``path`` and the hashes of the lines outside articles, as binary 64-bit integers."""
+    """``row``, ``host``, ``path``, the hashes of the lines as binary 64-bit integers, and a byte for each: in an article."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         places = [_place(u) for u in batch.column(1).to_pylist()]
-        packed = []
+        packed, flags = [], []
         for html in batch.column(2):
-            lines = pa.array([t for inside, t in page_lines(html.as_py()) if not inside], pa.string())
-            hashes = [W.cut(d, o, np.ones(256, dtype=bool)).hashes for _, _, d, o in W.groups(lines)]
+            lines = page_lines(html.as_py())
+            texts = pa.array([t for _, t in lines], pa.string())
+            hashes = [W.cut(d, o, np.ones(256, dtype=bool)).hashes for _, _, d, o in W.groups(texts)]
             packed.append(np.concatenate(hashes).tobytes() if hashes else b"")
+            flags.append(bytes(inside for inside, _ in lines))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([h for h, _ in places]), pa.array([p for _, p in places]), pa.array(packed, pa.binary())],
-            ["row", "host", "path", "lines"])
+            [batch.column(0), pa.array([h for h, _ in places]), pa.array([p for _, p in places]), pa.array(packed, pa.binary()),
+             pa.array(flags, pa.binary())], ["row", "host", "path", "lines", "inside"])
+
+    return map_batches(pages, work, "row bigint, host string, path string, lines binary, inside binary")
+
+
+def _own_lines(contents: DataFrame) -> DataFrame:
+    """``contents`` (stored) with ``own``: the lines by which copies are told."""
+
+    def each_line(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lines = [np.unique(np.frombuffer(b.as_buffer(), dtype=np.int64)) for b in batch.column(2)]
+        owner = pa.array(np.repeat(np.arange(len(lines)), [len(x) for x in lines]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.concatenate([*lines, np.zeros(0, dtype=np.int64)]))], ["content", "host", "line"])
+
+    lines = map_batches(contents.select("content", "host", "lines"), each_line, "content bigint, host string, line bigint")
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    sizes = store(contents.groupBy("host").agg(F.count("*").alias("size")), "html-hosts")
+    common = attach(counts, sizes, ["host"], "inner").where("2 * n > size").select("host", "line")
+    held = attach(lines, store(common, "html-common"), ["host", "line"], "inner")
+    held = store(held.groupBy("content").agg(F.collect_list("line").alias("common")), "html-held")
+
+    def own(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for lines, inside, common in zip(*[c.to_pylist() for c in batch.columns[4:]]):
+            lines, inside = np.frombuffer(lines, dtype=np.int64), np.frombuffer(inside, dtype=bool)
+            lines = lines[inside] if inside.any() else lines
+            out.append(lines[~np.isin(lines, np.array(common or [], dtype=np.int64))].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())],
+                                         ["content", "host", "path", "rank", "lines", "own"])
 
-    return map_batches(pages, work, "row bigint, host string, path string, lines binary")
+    wide = attach(contents, held, ["content"], "left").select("content", "host", "path", "rank", "lines", "inside", "common")
+    return map_batches(wide, own, "content bigint, host string, path string, rank bigint, lines binary, own binary")
+
+
+def _copies(a: bytes, b: bytes) -> bool:
+    """Do two contents share most of their own lines?"""
+    a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    return 100 * len(shared_lines(a, b)) > COPY_SHARE * max(len(a), len(b))
+
+
+def _runs(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with ``first`` and ``last``, the ranks where its run of copies begins and ends."""
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("host_a"), F.col("own").alias("own_a"))
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begins = [int(h != h_a or not _copies(o, o_a)) for h, o, h_a, o_a in zip(*[c.to_pylist() for c in batch.columns[1:]])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begins, pa.int64())], ["rank", "begins"])
+
+    pairs = ranked.join(before, "rank", "left").select("rank", "host", "own", "host_a", "own_a")
+    begins = store(map_batches(pairs, work, "rank bigint, begins bigint"), "html-begins")
+    numbered = store(running_totals(begins, "rank", "begins").select("rank", F.col("total").alias("run")), "html-numbered")
+    ends = store(numbered.groupBy("run").agg(F.min("rank").alias("first"), F.max("rank").alias("last")), "html-runs")
+    bounds = store(attach(numbered, ends, ["run"], "inner").select("rank", "first", "last"), "html-bounds")
+    return attach(ranked, bounds, ["rank"], "inner")
 
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """``row`` and ``shared``, the places (32-bit, among the lines outside articles) shared with the nearest page."""
-    ranked = store(with_rank(_open_lines(pages), ["host", "path", "row"], "rank", 0), "html-ranked")
-    side = lambda step, s: ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"host_{s}"),
-                                         F.col("path").alias(f"path_{s}"), F.col("lines").alias(f"lines_{s}"))
-    near = ranked.join(side(1, "a"), "rank", "left").join(side(-1, "b"), "rank", "left")
-    for s in "ab":
-        same = F.col(f"host_{s}") == F.col("host")
-        near = near.withColumns({c: F.when(same, F.col(c)) for c in (f"path_{s}", f"lines_{s}")})
+    """``row`` and ``shared``, the places (32-bit, among the page's lines) shared with the nearest page that is no copy."""
+    opened = store(_open_lines(pages).withColumn("content", F.xxhash64("host", "lines")), "html-open")
+    least = F.min(F.struct("path", "row", "host", "lines", "inside")).alias("m")
+    contents = opened.where("length(lines) > 0").groupBy("content").agg(least).select("content", "m.*").drop("row")
+    contents = store(with_rank(contents, ["host", "path", "content"], "rank", 0), "html-ranked")
+    ranked = store(_runs(store(_own_lines(contents), "html-own")), "html-copies")
+    side = lambda s: ranked.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rank", "host", "path", "lines", "own", "first", "last")])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, shared = [], []
-        for row, path, lines, path_a, lines_a, path_b, lines_b in zip(*[c.to_pylist() for c in batch.columns]):
-            other = lines_a if path_b is None or path_a is not None and _common(path, path_a) >= _common(path, path_b) else lines_b
-            if not lines or not other:
-                continue
-            a, b = np.frombuffer(lines, dtype=np.uint64), np.frombuffer(other, dtype=np.uint64)
-            found = shared_lines(a, b)
-            if found and 100 * len(found) <= COPY_SHARE * max(len(a), len(b)):
-                rows.append(row)
-                shared.append(np.array(found, dtype=np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(shared, pa.binary())], ["row", "shared"])
-
-    wide = near.select("row", "path", "lines", "path_a", "lines_a", "path_b", "lines_b")
-    return map_batches(wide, work, "row bigint, shared binary")
+        out = []
+        for content, path, lines, own, low, high, *sides in zip(*[c.to_pylist() for c in batch.columns]):
+            near = [s for s in (sides[:3], sides[3:]) if s[0] is not None]
+            near.sort(key=lambda s: -_common(path, s[0]))  # stable: the one before goes first
+            other = next((s[1] for s in near if not _copies(own, s[2])), None)
+            found = shared_lines(np.frombuffer(lines, dtype=np.uint64), np.frombuffer(other, dtype=np.uint64)) if other else []
+            out.append((content, np.array(found, dtype=np.int32).tobytes(), bool(near) and other is None, low, high))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()))],
+            ["content", "shared", "open", "low", "high"])
+
+    left, done = ranked.select("*", (F.col("first") - 1).alias("low"), (F.col("last") + 1).alias("high")), None
+    while True:
+        near = left
+        for s, at in (("a", "low"), ("b", "high")):
+            known = side(s).withColumnRenamed(f"rank_{s}", at)
+            near = attach(near, store(known, "html-side"), [at], "left")
+            same = F.col(f"host_{s}") == F.col("host")
+            near = near.withColumns({c: F.when(same, F.col(c)) for c in (f"path_{s}", f"lines_{s}", f"own_{s}")})
+        beyond = [F.coalesce(F.when(F.col("host_a") == F.col("host"), F.col("first_a") - 1), "low").alias("low"),
+                  F.coalesce(F.when(F.col("host_b") == F.col("host"), F.col("last_b") + 1), "high").alias("high")]
+        wide = near.select("content", "path", "lines", "own", *beyond, "path_a", "lines_a", "own_a", "path_b", "lines_b", "own_b")
+        found = store(map_batches(wide, work, "content bigint, shared binary, open boolean, low bigint, high bigint"), "html-near")
+        part = found.where("not open and length(shared) > 0").select("content", "shared")
+        done = part if done is None else done.unionByName(part)
+        again = store(found.where("open").select("content", "low", "high"), "html-again")
+        if again.isEmpty():
+            break
+        left = attach(ranked, again, ["content"], "inner")
+    return attach(opened.select("row", "content"), store(done, "html-done"), ["content"], "inner").select("row", "shared")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every row.
 
     White space inside a line becomes one space; lines are joined by one space. A null or empty html gives an empty text. Pages
-    with a null or broken URL share the empty host. Repeated rows are copies of each other and keep their text. Other
-    columns are not looked at.
+    with a null or broken URL share the empty host. Repeated rows are copies of each other. Other columns are not looked at.
     """
     row = F.xxhash64(key, url, html)
     named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), row.alias("row"))
@@ -228,12 +307,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         texts = []
         for html, gone in zip(batch.column(2), batch.column(3)):
             lines = page_lines(html.as_py())
-            if any(inside for inside, _ in lines):
-                kept = [t for inside, t in lines if inside]
-            else:
-                drop = set(np.frombuffer(gone.as_buffer(), dtype=np.int32).tolist()) if gone.is_valid else ()
-                kept = [t for i, (_, t) in enumerate(lines) if i not in drop]
-            texts.append(" ".join(kept))
+            drop = set(np.frombuffer(gone.as_buffer(), dtype=np.int32).tolist()) if gone.is_valid else ()
+            texts.append(" ".join(t for i, (_, t) in enumerate(lines) if i not in drop))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["key", "url", "text", "n_chars"])

@@ -384,6 +384,33 @@ def test_page_text(spark):
     assert html_text.main_text(df.limit(0)).collect() == []
 
 
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_differencing_decides_inside_and_outside_articles(spark):
+    page = lambda i: (f"<div>Top</div><div>Body {i}</div><article>Teaser</article><article><p>Text {i} a</p><p>Text {i} b</p>"
+                      "<p>Share this</p></article><div>End</div>")
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(1, 5)] + [(9, "http://h.x/1?ref=a", page(1))]
+    want = {i: f"Body {i} Text {i} a Text {i} b" for i in range(1, 5)}
+    assert _texts(spark, rows) == want | {9: want[1]}
+
+
+def test_pages_are_held_against_the_nearest_page_that_is_no_copy(spark):
+    frame = "".join(f"<div>Frame {k}</div>" for k in range(20))
+    page = lambda i: frame + "".join(f"<p>Text {i} {k}</p>" for k in range(3))
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(1, 5)]
+    rows += [(10 + k, f"http://h.x/1?page={k}", page(1)) for k in range(3)]  # copies around page 1
+    text = lambda i: " ".join(f"Text {i} {k}" for k in range(3))
+    assert _texts(spark, rows) == {i: text(i) for i in range(1, 5)} | {10 + k: text(1) for k in range(3)}
+    # near copies at paths of their own lose the frame, not what they share with each other
+    story = lambda end: frame + "".join(f"<p>Story {k}</p>" for k in range(9)) + f"<p>{end}</p>"
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(1, 6)] + [(i, f"http://h.x/6{i}", story(f"End {i}")) for i in range(6, 9)]
+    got = _texts(spark, rows)
+    assert [got[i] for i in range(6, 9)] == [" ".join(f"Story {k}" for k in range(9)) + f" End {i}" for i in range(6, 9)]
+    assert all(got[i] == text(i) for i in range(1, 6))
+
+
 @pytest.fixture(scope="module")
 def leaks(spark):
     rng = random.Random(9)
