@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -443,6 +444,42 @@ def test_spaced_seeds_find_substituted_passages(leaks, filter_bytes):
     assert all(100 * r.n_equal >= 80 * r.n_words for r in got)
 
 
+def test_masks_hit_every_allowed_placement():
+    for n in range(13, 26):  # longer stretches can be halved
+        for gone in combinations(range(n), n // 5):
+            equal = sum(1 << i for i in range(n) if i not in gone)
+            hits = (all(equal >> at + i & 1 for i, c in enumerate(m) if c == "1") for m in spaced.MASKS for at in range(n - len(m) + 1))
+            assert any(hits), (n, gone)
+    for n in range(1, 13):  # short items
+        (mask,) = spaced.masks_for(n, 13, 80)
+        assert all(mask in "".join("01"[i not in gone] for i in range(n)) for gone in combinations(range(n), n // 5))
+
+
+@pytest.mark.parametrize("filter_bytes", [None, 0])
+def test_every_overlap_within_the_limits_is_found(spark, filter_bytes):
+    rng = random.Random(4)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 4, 5, 10, 13, 15, 20)}
+    cases = [(n, gone) for n in (1, 4, 5, 10, 13, 15) for gone in combinations(range(n), n // 5)] + [(20, (2, 7, 12, 17))]
+    few = [(10, gone) for gone in combinations(range(10), 3)]  # 70 percent
+    make = lambda n, gone: " ".join(
+        [f"a{rng.random()}", *("sub" if k in gone else x for k, x in enumerate(items[n])), "z"]).replace(".", "")
+    docs = spark.createDataFrame([(i, make(*c)) for i, c in enumerate(cases + few)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in spaced.contaminated(docs, bench, filter_bytes=filter_bytes).collect()}
+    assert got == {(i, n) for i, (n, _) in enumerate(cases)}
+
+
+def test_longest_overlap_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(500):
+        doc, item = (np.array([rng.randrange(2) for _ in range(rng.randrange(1, 16))]) for _ in "ab")
+        shift = rng.randrange(-len(item), len(doc) + 1)
+        same = {i: doc[i + shift] == item[i] for i in range(len(item)) if 0 <= i + shift < len(doc)}
+        fits = [b - a for a in same for b in range(a + 1, max(same) + 2) if 100 * sum(same[i] for i in range(a, b)) >= 80 * (b - a)]
+        start, end, equal = spaced.longest_overlap(doc, item, shift, 80)
+        assert end - start == max(fits, default=0) and equal == sum(same[i] for i in range(start, end))
+
+
 def test_overlap_equals_brute_force():
     rng = random.Random(5)
     for _ in range(500):
