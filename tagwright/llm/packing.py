@@ -7,8 +7,13 @@ to the first ``j`` queues until stream place ``x`` are ``C[j] * x div W`` for su
 task can tell from a document's place in its queue which windows it falls into: there is no sequential pass.
 
 When a queue runs dry the others go on in their proportions, so every token is packed and only the last window of all is
-not full. Without given targets the weights follow what the queues still hold, and all run dry together. Sources below
-``MIN_SHARE`` of all tokens share one queue; so there are at most ``1 / MIN_SHARE`` queues whatever the number of sources.
+not full. Without given targets the weights follow what the queues still hold, and all run dry together.
+
+The plan of the queues is held by every task, so sources below ``MIN_SHARE`` of all tokens come out of one queue of it,
+in which they are mixed in turn: each is cut into portions of what a window owes it (one token at least), a portion whose
+middle is at ``m`` of ``size`` tokens is due at the share ``m / size`` of that queue, and all portions are laid down in
+the order in which they are due. So a window's part of the small sources holds each in its proportion to within a
+portion of its own, what is owed is carried on, and all run dry together. The order comes from a range-partitioned sort.
 
 Documents are tokenised once, into a stored table. A document's place in its queue is its place among the documents of
 its source in its task, plus the tokens of that source in tasks before; only task and source totals are shuffled.
@@ -27,12 +32,13 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tagwright.llm.sharding import running_totals
-from tagwright.llm.shared import attach
+from tagwright.llm.shared import attach, map_batches
 from tagwright.llm.tokens import word_tokenizer
 from tagwright.storage import scratch_path, store
 
 WINDOW = 2048
 MIN_SHARE = 1 / 64
+_PORTIONS = 10_000  # rows of a batch
 _WEIGHTS = 2**24  # sum of the weights of a phase
 _PHASE = 2**38  # longest phase in tokens, so products of weights and places fit 64 bits
 
@@ -127,6 +133,40 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None, key: str, t
     return spark.read.schema(out.schema).parquet(path)
 
 
+def _mixed(small: DataFrame, windows: int) -> DataFrame:
+    """Rows of small sources cut into portions, with their place in the queue that they share as ``low``."""
+
+    def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for key, low, n, queue, width, ids, _, doc_tokens, source, size in zip(*[c.to_pylist() for c in batch.columns]):
+            step = max(1, size // windows)
+            first = low - low % step
+            for begin in range(first, low + n, step):
+                a, b = max(begin, low), min(begin + step, low + n)
+                due = (begin + min(begin + step, size)) / (2 * size)
+                rows.append((key, b - a, queue, width, ids[(a - low) * width:(b - low) * width], a - low, doc_tokens, due, source, a))
+                if len(rows) == _PORTIONS:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
+
+    cut = map_batches(small.select("key", "low", "n", "queue", "width", "ids", "skip", "doc_tokens", "source", "size"), portions,
+                      "key bigint, n bigint, queue int, width int, ids binary, skip bigint, doc_tokens bigint, due double, "
+                      "source string, at bigint")
+    cut = store(cut.withColumn("spread", F.xxhash64("source")), "packing-portions")
+    order = F.struct("due", "spread", "source", "at").alias("order")  # unique: a place in a source belongs to one row
+    placed = running_totals(cut.select(order, "n"), "order", "n")
+    lows = placed.select(F.col("order.source").alias("source"), F.col("order.at").alias("at"), (F.col("total") - F.col("n")).alias("low"))
+    return cut.join(lows, ["source", "at"]).select("key", "low", "n", "queue", "width", "ids", "skip", "doc_tokens")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64())
+    names = ["key", "n", "queue", "width", "ids", "skip", "doc_tokens", "due", "source", "at"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+
 def pack(
     docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, targets: dict[str, float] | None = None,
     min_share: float = MIN_SHARE, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -150,33 +190,40 @@ def pack(
     plan = phases([q[1] for q in queues] + [rest],
                   [wanted.get(n, 0.0) for n in names] + [0.0] if targets else None) if whole else []
 
-    small = running_totals(totals.where(~F.col("source").isin(names)), "source", "size")
-    small = small.select("source", (F.col("total") - F.col("size")).alias("base"))  # its place in the shared queue
     before = F.coalesce(F.sum("n").over(Win.partitionBy("source").orderBy("task").rowsBetween(
         Win.unboundedPreceding, -1)), F.lit(0))  # a row per task that holds the source
     number = F.lit(len(names))
     for i, n in enumerate(names):
         number = F.when(F.col("source") == n, F.lit(i)).otherwise(number)
-    placed = attach(spent.withColumn("before", before), small, ["source"]).select(
-        "task", "source", (F.col("before") + F.coalesce("base", F.lit(0))).alias("base"), number.alias("queue"))
+    placed = attach(spent.withColumn("base", before), totals, ["source"], "inner").select(
+        "task", "source", "base", "size", number.alias("queue"))
     work = attach(tokens, store(placed, "packing-places"), ["task", "source"], "inner").select(
-        "key", (F.col("base") + F.col("start")).alias("low"), "n", "queue", "width", "ids")
+        "key", (F.col("base") + F.col("start")).alias("low"), "n", "queue", "width", "ids", F.lit(0).cast("bigint").alias("skip"),
+        F.col("n").alias("doc_tokens"), "source", "size")
+    large_rows = work.where(F.col("queue") < len(names)).drop("source", "size")
+    if rest:
+        windows = -(-whole // window)
+        work = large_rows.unionByName(_mixed(work.where(F.col("queue") == len(names)), windows))
+    else:
+        work = large_rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, parts, owner, ids = batch.column(0), [], [], []
             lows, ns, qs, widths = (batch.column(i).to_pylist() for i in range(1, 5))
+            skips, wholes = batch.column(6).to_pylist(), batch.column(7).to_numpy()
             for i, packed in enumerate(batch.column(5)):
                 found = pieces(plan, qs[i], lows[i], lows[i] + ns[i], window)
                 wide = np.frombuffer(packed.as_buffer(), dtype=f"<u{widths[i]}").astype("<u4").tobytes()
                 ids += [wide[4 * a:4 * (a + n)] for a, n in found[:, :2].tolist()]
+                found[:, 0] += skips[i]
                 parts.append(found)
                 owner += [i] * len(found)
-            table = np.concatenate(parts)
+            table = np.concatenate([*parts, np.zeros((0, 4), dtype=np.int64)])
             long = lambda c: pa.array(c.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(owner, pa.int64())), long(table[:, 0]), long(table[:, 1]), pa.array(ids, pa.binary()),
-                 long(np.array(ns)[owner]), long(table[:, 2]), long(table[:, 3])],
+                 long(wholes[owner]), long(table[:, 2]), long(table[:, 3])],
                 ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     out = work.mapInArrow(cut, "key bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "

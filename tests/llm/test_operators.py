@@ -267,6 +267,33 @@ def test_packing_plan_fills_every_place_once(held, targets):
             assert abs(share[sequence][queue] - 2048 * w / 2**24) <= 2
 
 
+@pytest.mark.parametrize("hot", [0, 1])
+def test_small_sources_are_mixed_in_every_window(spark, hot):
+    rng = random.Random(8)
+    rows = [(i, _prose(rng, 60, 50), None, f"s{i % 80:02}", 0) for i in range(800)]
+    rows += [(1000 + i, _prose(rng, 60, 50), None, "hot", 0) for i in range(400 * hot)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartition(5), TOKENIZER).collect()
+    source = {r[0]: r[3] for r in rows}
+    held, total = defaultdict(Counter), Counter()
+    for r in got:
+        held[r.sequence_id][source[r.doc_id]] += r.length
+        total[source[r.doc_id]] += r.length
+    whole = sum(total.values())
+    for sequence in range(whole // 2048):
+        assert sum(held[sequence].values()) == 2048
+        for s, n in total.items():
+            want = 2048 * n / whole
+            assert abs(held[sequence][s] - want) <= want + 2, (sequence, s)
+    parts = defaultdict(list)
+    for r in got:
+        parts[r.doc_id].append((r.start, bytes(r.ids)))
+        assert 4 * r.length == len(r.ids)
+    encoder = word_tokenizer(TOKENIZER, 1)
+    for doc_id, text, *_ in rows:
+        ids = np.frombuffer(b"".join(p for _, p in sorted(parts[doc_id])), dtype="<u4").astype(encoder.dtype).tobytes()
+        assert ids == encoder.encode(text)
+
+
 def test_rollup_deltas(spark):
     rows = spark.createDataFrame([(i, "s" if i % 2 else None, "en", "t@1", 10 + i) for i in range(6)] + [(None, "s", "en", "t@1", 9)],
                                  "doc_id bigint, source string, lang string, tokenizer string, tokens bigint")
