@@ -10,7 +10,7 @@ looks for identifiers of the same kinds which no form covers:
 3. An unknown instance is taken up when its patterns say so: one minus the product of their doubts reaches
    ``MIN_SCORE``, and it looks like the kind. It is then known wherever it occurs, and the next round may learn new patterns from it.
 
-Rounds go on until nothing new is found, at most ``ROUNDS``. Counts of pattern-instance edges are aggregated in Spark
+Rounds go on until nothing new is found; each but the last adds instances of a finite table. Counts of pattern-instance edges are aggregated in Spark
 (combined on the map side, so a context that occurs everywhere is no hot key); only the narrow table of possible
 identifiers is read again, never the texts. Every base span stays; learned spans never overlap a base span.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +32,6 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.8
-ROUNDS = 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,17 +165,20 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def learn(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Instances taken up by the bootstrap: ``instance``, ``kind``; ``found`` is the stored table of possible identifiers."""
+def learn(found: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Instances taken up by the bootstrap: ``instance``, ``kind``; ``found`` is the stored table of possible identifiers.
+
+    It ends when a round adds nothing, or after ``rounds`` where given.
+    """
     edges = found.where("instance is not null").select(
         F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
     edges = store(edges, "pii-edges")
     spark = found.sparkSession
     known = spark.createDataFrame([], "instance string, taken string")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         now = edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("kind", "taken").alias("kind"))
-        count = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in KINDS]
-        counts = now.groupBy("pattern").agg(*count, F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("unknown"))
+        per_pattern = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in KINDS]
+        counts = now.groupBy("pattern").agg(*per_pattern, F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("unknown"))
         per_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS]))
         total = F.expr(" + ".join(KINDS) + " + unknown / 2")
         rules = counts.withColumn("all", total).select("pattern", "unknown", "all", per_kind.alias("r"))

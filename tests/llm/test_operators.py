@@ -380,6 +380,16 @@ def test_contexts_find_other_forms(spark):
     assert clean[3].extra == "clash" and pii.redact(df).columns == df.columns
 
 
+def test_bootstrap_goes_on_until_nothing_is_found(spark):
+    """Context k is learned from the instances of group k - 1 and finds those of group k."""
+    names = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    group = lambda k: [f"+1 555 010 {1000 + i}" if k == 0 else f"555-0{k}-{1000 + i}" for i in range(320 >> k)]
+    rows = [f"the {names[c]} line {x} is open" for k in range(6) for c in (k, k + 1) for x in group(k)]
+    rows += [f"the {names[6]} line {x} is open" for x in group(6)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(2)
+    assert all(r.spans.startswith("phone:") for r in pii.personal_data(df).collect())
+
+
 def _lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
