@@ -3,8 +3,11 @@
 The base forms (emails, IPv4 addresses, card numbers, phone numbers) are found by pattern. They seed a bootstrap that
 looks for identifiers of the same kinds which no form covers:
 
-1. Every word that could be an identifier (an ``@``, or five digits and more) is an *instance*, base spans included.
-   Its *patterns* are the two words before it, and the word before together with the word after it.
+1. Every stretch of a line that could be an identifier is an *instance*, base spans included: a word with an ``@`` or
+   five digits and more; a run of number words up to the first other word (of a run too long for any kind its longest
+   beginning and end); hexadecimal groups around colons; ``name at host dot com``. Its *patterns* are the two words before
+   it, and the word before together with the word after it; at the start of a line the two words after it, and behind
+   the first word of a line that word.
 2. A pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind, unknown
    ones counting half. Patterns with ``MIN_SUPPORT`` known instances or more and ``MIN_CONFIDENCE`` are kept.
 3. An unknown instance is taken up when its patterns say so: one minus the product of their doubts reaches
@@ -40,6 +43,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile("[@0-9]")
+_NUMBERS = re.compile(r"(?<![^\s\"'\[{<:;,=])[(+]?[0-9][0-9().+/-]*(?:[\x20\t]+[(]?[0-9][0-9().+/-]*)+(?![^\s\"'.,;:!?\]}>])")
+_HEX = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:])")
+_AT_DOT = re.compile(r"[A-Za-z0-9._%+-]+[\x20\t]+[(\[]?at[)\]]?[\x20\t]+[A-Za-z0-9-]+(?:[\x20\t]+[(\[]?dot[)\]]?[\x20\t]+[A-Za-z0-9-]+)+", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "\"'.,;:!?()[]{}<>"
@@ -91,6 +97,37 @@ def _marked_words(text: str) -> Iterator[tuple[int, int]]:
         mark = _MARK.search(text, last)
 
 
+def _wider(text: str) -> Iterator[tuple[int, int]]:
+    """Possible identifiers of several words, and short ones with colons."""
+    if _DIGIT.search(text):
+        for m in _NUMBERS.finditer(text):
+            words = [(m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m[0])]
+            words[-1] = (words[-1][0], words[-1][0] + len(text[slice(*words[-1])].rstrip("().+/-")) or 1)
+            fits = lambda a, b: any(_fits(k, text[a:b]) for k in ("card", "phone"))
+            begin, end = words[0][0], words[-1][1]
+            if fits(begin, end):
+                yield begin, end
+            elif len(_DIGIT.findall(m[0])) > 19:
+                yield from [(begin, b) for _, b in words[1:20] if fits(begin, b)][-1:]
+                yield from [(a, end) for a, _ in words[-20:-1] if fits(a, end)][:1]
+    if text.count(":") > 1:
+        yield from (m.span() for m in _HEX.finditer(text) if _fits("ip", m[0]))
+    if " dot" in text.lower() or "dot)" in text.lower() or "dot]" in text.lower():
+        yield from _spelled(text)
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``name at host dot com``, looked for from each ``at`` so that long words cost linear time."""
+    for m in re.finditer(r"(?<=[\x20\t])[(\[]?at[)\]]?[\x20\t]", text, re.I):
+        name_end = len(text[max(0, m.start() - _CONTEXT):m.start()].rstrip(" \t")) + max(0, m.start() - _CONTEXT)
+        start = name_end
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _AT_DOT.match(text, start) if start < name_end else None
+        if found:
+            yield found.span()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans ``(kind, start, end)`` in code points, by kind as listed, then by start."""
     out = []
@@ -114,22 +151,28 @@ def _fits(kind: str, instance: str) -> bool:
     """Could the instance be an identifier of the kind, in another form than the base pattern's?"""
     digits = len(_DIGIT.findall(instance))
     if kind == "email":
-        return "@" in instance[1:-1]
+        return "@" in instance[1:-1] or bool(_AT_DOT.fullmatch(instance))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9a-fA-F]{1,4}([.:][0-9a-fA-F]{0,4}){3,8}", instance))
+        return bool(re.fullmatch(r"[0-9a-fA-F]{1,4}([.:][0-9a-fA-F]{0,4}){3,8}", instance)) or (
+            "::" in instance and bool(re.search("[0-9a-fA-F]", instance)) and bool(_HEX.fullmatch(instance)))
     if kind == "card":
-        return 12 <= digits <= 19 and bool(re.fullmatch(r"[0-9-]+", instance))
-    return 7 <= digits <= 15 and bool(re.fullmatch(r"[0-9().+/-]+", instance))
+        return 12 <= digits <= 19 and bool(re.fullmatch(r"[0-9\x20\t-]+", instance))
+    return 7 <= digits <= 15 and bool(re.fullmatch(r"[0-9().+/\x20\t-]+", instance))
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
     low = text.rfind("\n", max(0, start - _CONTEXT), start) + 1 or max(0, start - _CONTEXT)
     before = _WORD.findall(text[low:start].lower())[-2:]
-    after = _WORD.findall(text[end:end + _CONTEXT].split("\n", 1)[0].lower())[:1]
-    after = [a for a in after if not _DIGIT.search(a)]
+    behind = _WORD.findall(text[end:end + _CONTEXT].split("\n", 1)[0].lower())[:2]
+    after = [a for a in behind[:1] if not _DIGIT.search(a)]
     out = [f"{before[0]} {before[1]} _"] if len(before) == 2 else []
     if before and after:
         out.append(f"{before[-1]} _ {after[0]}")
+    if low == 0 or text[low - 1] == "\n":  # the line begins here
+        if len(before) == 1:
+            out.append(f"^ {before[0]} _")
+        elif not before and behind:
+            out.append(" ".join(["^ _", *behind, *["$"] * (2 - len(behind))]))
     return [p for p in out if not _DIGIT.search(p)]
 
 
@@ -145,7 +188,7 @@ def _found(docs: DataFrame) -> DataFrame:
             rows.append((key, row, None, None, None, None, [], _listed(spans), *[sum(s[0] == k for s in spans) for k in KINDS]))
             none = (None,) * 5
             rows += [(key, row, k, a, b, text[a:b], _patterns(text, a, b), *none) for k, a, b in spans]
-            for a, b in _marked_words(text):
+            for a, b in sorted({*_marked_words(text), *_wider(text)}):
                 if not any(s < b and a < e for _, s, e in spans) and any(_fits(k, text[a:b]) for k in KINDS):
                     rows.append((key, row, None, a, b, text[a:b], _patterns(text, a, b), *none))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(),

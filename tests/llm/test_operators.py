@@ -380,6 +380,20 @@ def test_contexts_find_other_forms(spark):
     assert clean[3].extra == "clash" and pii.redact(df).columns == df.columns
 
 
+def test_contexts_find_spaced_short_and_leading_identifiers(spark):
+    rows = [f"please call me on +1 555 010 {1000 + i} today ok" for i in range(8)]
+    rows += [f"my address is 10.0.0.{i} for now" for i in range(8)] + [f"write me at box u{i}@h.co any time" for i in range(8)]
+    rows += [f"a\n+1 555 020 {1000 + i} is my number" for i in range(8)]
+    n = len(rows)
+    found = ["please call me on 020 7946 0958 today ok", "please call me on 555 010 1234, today ok", "my address is fe80::1 for now",
+             "write me at box joe at host dot com any time", "b\n020 7946 0111 is my number", "in 020 7946 0958 and more"]
+    want = ["phone:18:31", "phone:18:30", "ip:14:21", "email:16:35", "phone:2:15", "phone:3:16"]
+    df = spark.createDataFrame(list(enumerate(rows + found)), "doc_id bigint, text string").coalesce(2)
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    assert [got[n + i].spans for i in range(len(found))] == want
+    assert all(got[i].spans == got[i].base != "" for i in range(n))
+
+
 def test_bootstrap_goes_on_until_nothing_is_found(spark):
     """Context k is learned from the instances of group k - 1 and finds those of group k."""
     names = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
