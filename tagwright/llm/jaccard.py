@@ -18,8 +18,8 @@ texts link when ``100 * shared >= percent * union``. Texts with equal sets are o
    by at least (suffix filter).
 5. *Verification* of each remaining pair once, on the whole sets, and connected components of the links.
 
-Links between classes that are already connected are not searched again: the components are exact, ``n_links`` counts the
-links that were verified on the way.
+Links between classes that are already connected are not searched again: the components are exact, and the links
+are not counted.
 """
 
 from __future__ import annotations
@@ -298,21 +298,17 @@ def _add_sets(sets: DataFrame | None, near: DataFrame, named: DataFrame, member:
 def near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``n_links`` of every row.
+    """``key``, ``n_shingles`` and ``component_id`` of every row.
 
-    ``component_id`` is the smallest key reachable by links; ``n_links`` counts the verified links of the row's class.
+    ``component_id`` is the smallest key reachable by links.
     A null or empty text has an empty set, ``component_id`` its own key, and no link. Rows with a null key take part;
     a component of null keys alone has a null id. Repeated rows fall into one class. Other columns are not looked at.
     """
     member, edges = links(docs, n, percent, key, text)
     labels = store(components(edges, "jaccard-component"), "jaccard-labels")
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    labels = store(labels.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left"), "jaccard-nodes")
     placed = attach(member.where("node is not null"), labels, ["node"])
     placed = store(placed.withColumn("label", F.coalesce("label", F.col("node"))), "jaccard-placed")
     least = store(placed.groupBy("label").agg(F.min("key").alias("component_id")), "jaccard-least")
-    whole = attach(placed, least, ["label"]).select(
-        "key", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    empty = member.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id"),
-                                                F.lit(0).cast("bigint").alias("n_links"))
+    whole = attach(placed, least, ["label"]).select("key", "n_shingles", "component_id")
+    empty = member.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     return whole.unionByName(empty).withColumnRenamed("key", key)

@@ -147,6 +147,10 @@ def test_jaccard_equals_brute_force(corpus, n, percent):
     assert sorted(got, key=str) == sorted(_components(rows, n, percent), key=str)
 
 
+def test_jaccard_returns_no_partial_counts(empty):
+    assert jaccard.near_duplicates(empty, 4, 85).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_jaccard_chain_of_near_copies(spark):
     """A chain in which only neighbours link: one component, whatever hub is taken."""
     rng = random.Random(3)
