@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from compare import difference, oracle
 from conftest import SMALL
-from test_operators import _base, _components
+from test_corpus_operators import _base, _components
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
