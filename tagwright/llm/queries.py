@@ -9,8 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import chats, html_text, jaccard, packing, pii, quality, repeats, rollups, sharding, spaced
-from tagwright.llm.shared import map_batches, table
+from tagwright.llm import (
+    chats,
+    html_text,
+    jaccard,
+    onebit,
+    packing,
+    pii,
+    quality,
+    repeats,
+    rollups,
+    sharding,
+    spaced,
+    trie,
+    whitening,
+)
+from tagwright.llm.shared import attach, map_batches, table
 from tagwright.llm.tokens import byte_pairs
 from tagwright.storage import scratch_path, store
 
@@ -238,3 +252,76 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(2, deleted)
     rollup.commit(3, lean.withColumn("tokens", F.col("lean")).withColumn("op", F.lit("revise")))
     return rollup.totals()
+
+
+@query()
+def op11_rotated_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = onebit.build(table(spark, sf_dir, "embeddings"))
+    return onebit.search(index, index.rows.where("vec_id % 20 = 0"), 20)
+
+
+@query()
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 64, 1_000_000)
+    fit = whitening.fit(rows, "x", 32)
+    shares = F.array(*[F.lit(float(v)) for v in fit.variances / (fit.total or 1)]).cast("array<double>")
+    entries = F.posexplode(F.arrays_zip("whitened", shares.alias("explained"))).alias("at", "entry")
+    return whitening.transform(rows, fit, "x", ("vec_id",)).select("vec_id", "deviation", entries).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("bigint").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"), "entry.whitened", "entry.explained",
+        F.lit(fit.identity_error).alias("identity_error"))
+
+
+def _rebuilt(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Conversation c begins with the first h turns of conversation c - c % 5, then goes on with its own after its first h."""
+    of = lambda rows: rows.withColumns({
+        "base": F.expr("conv_id - conv_id % 5"), "h": F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 9})
+    heads = turns.where("conv_id % 5 = 0 and pos < 8").groupBy(F.col("conv_id").alias("base")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "ha", "hb", "bytes"))).alias("heads"))  # at most 8 turns
+    heads = store(heads, "rebuilt-heads")
+    lengths = store(heads.select("base", F.size("heads").alias("have")), "rebuilt-lengths")
+    first = attach(of(conversations.where("conv_id % 5 <> 0")), heads, ["base"], "inner").select(
+        "conv_id", F.explode(F.expr("slice(heads, 1, cast(h as int))")).alias("turn")).select("conv_id", "turn.*")
+    own = attach(of(turns.where("conv_id % 5 <> 0")).where("pos >= h"), lengths, ["base"]).select(
+        "conv_id", F.expr("pos - h + least(h, coalesce(have, 0))").alias("pos"), "ha", "hb", "bytes")
+    return turns.where("conv_id % 5 = 0").unionByName(first).unionByName(own)
+
+
+@query("""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                             lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+p AS (
+  SELECT conv_id, text, row_number() OVER w AS d, string_agg(md5(role) || md5(text), '') OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos)),
+m AS (SELECT conv_id, 0 AS d, '' AS path, '' AS text FROM c UNION ALL SELECT conv_id, d, path, text FROM p),
+n AS (
+  SELECT path, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(octet_length(encode(text))) AS saved FROM m GROUP BY path),
+k AS (SELECT path[1:64 * (d - 1)] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+j AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (
+  SELECT path[1:64 * e] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT path, n_children, saved, unnest(range(d + 1)) AS e FROM j) GROUP BY 1),
+e AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, path FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY path)
+SELECT j.conv_id, j.d AS depth, u.conv_id AS parent_conv_id, j.n_convs, j.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM j JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n u ON j.d > 0 AND u.path = j.path[1:64 * (j.d - 1)]
+""")
+def op13_block_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = store(trie.numbered(rows), "trie-numbered")
+    conversations = store(turns.select("conv_id").distinct(), "trie-conversations")
+    return trie.prefix_trie(store(_rebuilt(turns, conversations), "trie-rebuilt"), conversations)
