@@ -2,13 +2,18 @@
 
 Fitted tables (dictionaries, vocabularies, ranked ids) are written once to the folder the cluster names in
 ``spark.checkpoint.dir`` and read back. Reads then have a short lineage, survive the loss of executors, and are cheap
-to measure before a broadcast is considered. A session writes into one folder of its own, which goes when it ends.
+to measure before a broadcast is considered. A session writes into one folder of its own, which goes when it ends;
+tables stored inside a ``scratch`` block go when the block ends. Shuffle files go with the write that needed them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +34,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _MARKED: set[str] = set()
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open scratch folders", default=())
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -36,17 +48,63 @@ def _run_folder(spark: SparkSession) -> str:
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tagwright"
     if folder not in _MARKED:
         _MARKED.add(folder)
-        sc = spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        path, files = _path(spark, folder)
         files.mkdirs(path)
         files.deleteOnExit(path)
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path inside the session's run folder."""
-    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path inside the innermost scratch block, or the session's run folder outside of any."""
+    return f"{(_OPEN.get() or (_run_folder(spark),))[-1]}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``store`` wrote, before its block or session ends."""
+    files = table.inputFiles()
+    if files:
+        remove(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose stored tables go when it ends; what it yields stores a table that stays, in the block around it.
+
+    Nothing lazy that reads a table of the block may leave it.
+    """
+    outer, folder = _OPEN.get(), scratch_path(spark, name)
+
+    def keep(df: DataFrame, kept: str = name) -> DataFrame:
+        inner = _OPEN.set(outer)
+        try:
+            return store(df, kept)
+        finally:
+            _OPEN.reset(inner)
+
+    mark = _OPEN.set((*outer, folder))
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(mark)
+        remove(spark, folder)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of tables that stores its result and leaves no other stored table behind."""
+
+    @wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        spark = SparkSession.active()
+        with scratch(spark, f.__name__) as keep:
+            return keep(f(*args, **kwargs))
+
+    return run
 
 
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -54,5 +112,10 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write serve nothing else
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
