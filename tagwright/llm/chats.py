@@ -8,7 +8,7 @@ copied at every node, and texts meet only the nodes of chosen paths.
 
 A turn is written ``<|im_start|>role``, a line feed, the text, ``<|im_end|>``, a line feed. Inside texts and roles ``<|``
 cannot stay as it is: a backslash is set behind the ``<`` of every ``<`` + backslashes + ``|``, and reading takes it away
-again. Line feeds and backslashes of roles are written ``\\n`` and ``\\\\``.
+again. Line feeds and backslashes of roles are written ``\\n`` and ``\\b``.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    # every backslash begins a pair, so one kind of pair can be taken back after the other
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def _same(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
