@@ -4,9 +4,10 @@ Every text gets fixed base counts and three measures in thousandths: symbols per
 line, characters per word. For each language and source a mergeable quantile sketch holds how the measures of its base-passing documents spread:
 a log-linear histogram that keeps the eight leading bits of a value (relative error below 1/128), so sketches are
 summed like any count, on the map side first, and merged upwards from (language, source) to language to everything. A
-document is judged by the finest of the three that holds at least ``MIN_DOCS`` documents. Its limit is the third
-quartile plus ``SPREAD`` times the distance of the quartiles, held inside documented bounds, so a clean source does not
-lose its last quarter and a source full of junk does not set its own rules. Limits are then joined to the documents.
+document is judged, measure by measure, by the finest of the three that holds at least ``MIN_DOCS`` values. A limit lies
+``SPREAD`` times the distance of the quartiles outside them and at least a stated share of the group's mean, so it moves
+with the group: no fixed bound takes part, a source that writes long words or many symbols keeps its texts, and one in
+which hardly anybody does so loses the few. Limits are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -31,17 +32,23 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Measure:
-    """A measure, and the bounds (thousandths) between which its upper and lower limit may move; None: no such limit."""
+    """A measure in thousandths, which limits it has, and how they follow from a group's sketch.
+
+    Limits lie ``SPREAD`` interquartile ranges outside the quartiles, and at least ``floor`` quarters of the group's mean.
+    With ``positive`` only documents that have any of it count for the sketch, as most have none.
+    """
 
     name: str
-    upper: tuple[int, int] | None
-    lower: tuple[int, int] | None = None
+    upper: bool = True
+    lower: bool = False
+    floor: int = 0
+    positive: bool = False
 
 
 MEASURES = (
-    Measure("symbol_share", (50, 250)),
-    Measure("dup_line_share", (400, 700)),
-    Measure("word_length", (12_000, 20_000), (1_500, 2_500)),
+    Measure("symbol_share", floor=4),
+    Measure("dup_line_share", positive=True),
+    Measure("word_length", lower=True, floor=1),
 )
 
 _LINES = np.ones(256, dtype=bool)
@@ -111,15 +118,18 @@ def _measures(counts: DataFrame) -> DataFrame:
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """Rows ``(lang, source, measure, cell, n)``: documents per histogram cell; adding ``n`` merges sketches."""
+    """Rows ``(lang, source, measure, cell, n, s)``: number and sum of the values per histogram cell; adding up merges sketches."""
     cell = F.expr("shiftleft(shiftright(v, greatest(length(bin(v)) - 8, 0)), greatest(length(bin(v)) - 8, 0))")
-    long = F.explode(F.array(*[F.struct(F.lit(m.name).alias("measure"), F.col(m.name).alias("v")) for m in MEASURES]))
+    value = lambda m: F.when(F.col(m.name) > 0, F.col(m.name)) if m.positive else F.col(m.name)
+    long = F.explode(F.array(*[F.struct(F.lit(m.name).alias("measure"), value(m).alias("v")) for m in MEASURES]))
     rows = measured.where("not base_failed").select("lang", "source", long.alias("m")).select("lang", "source", "m.*")
-    return rows.withColumn("cell", cell).groupBy("lang", "source", "measure", "cell").agg(F.count("*").alias("n"))
+    return rows.where("v is not null").withColumn("cell", cell).groupBy("lang", "source", "measure", "cell").agg(
+        F.count("*").alias("n"), F.sum("v").alias("s"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per (depth, lang, source) with the number of documents and a low and high limit of each measure.
+    """One row per (depth, lang, source) with a low and high limit of each measure, null where fewer than ``MIN_DOCS``
+    values stand behind it (not at depth 0).
 
     Depth 2 is a language and source, 1 a language, 0 everything. A group's histogram has at most some thousand cells.
     """
@@ -127,35 +137,41 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     for depth, keys in ((2, ("lang", "source")), (1, ("lang",)), (0, ())):
         part = sketch.select(
             F.lit(depth).alias("depth"), *[(F.col(c) if c in keys else F.lit(None).cast("string")).alias(c)
-                                           for c in ("lang", "source")], "measure", "cell", "n")
+                                           for c in ("lang", "source")], "measure", "cell", "n", "s")
         levels = part if levels is None else levels.unionByName(part)
     group = ["depth", "lang", "source", "measure"]
-    merged = levels.groupBy(*group, "cell").agg(F.sum("n").alias("n"))
+    merged = levels.groupBy(*group, "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     upto = F.sum("n").over(Win.partitionBy(*group).orderBy("cell"))
     total = F.sum("n").over(Win.partitionBy(*group))
     ranked = merged.withColumn("upto", upto).withColumn("docs", total)
     quartiles = ranked.groupBy(*group, "docs").agg(
         F.min(F.when(F.expr("4 * upto >= docs"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.expr("4 * upto >= 3 * docs"), F.col("cell"))).alias("q3"))
-    wide = [F.max("docs").alias("docs")]
+        F.min(F.when(F.expr("4 * upto >= 3 * docs"), F.col("cell"))).alias("q3"), F.sum("s").alias("s"))
+    wide = []
     for m in MEASURES:
-        for bound, side, at in ((m.upper, "high", f"q3 + {SPREAD} * (q3 - q1)"), (m.lower, "low", f"q1 - {SPREAD} * (q3 - q1)")):
-            if bound:
-                value = F.expr(f"least({bound[1]}, greatest({bound[0]}, {at}))")
-                wide.append(F.max(F.when(F.col("measure") == m.name, value)).alias(f"{m.name}_{side}"))
+        width = f"greatest({SPREAD} * (q3 - q1), {m.floor} * s div (4 * docs))"
+        for wanted, side, at in ((m.upper, "high", f"q3 + {width}"), (m.lower, "low", f"q1 - {width}")):
+            if wanted:
+                enough = (F.col("measure") == m.name) & ((F.col("docs") >= MIN_DOCS) | (F.col("depth") == 0))
+                wide.append(F.max(F.when(enough, F.expr(at))).alias(f"{m.name}_{side}"))
     return quartiles.groupBy("depth", "lang", "source").agg(*wide)
 
 
+def _limit_names() -> list[str]:
+    return [f"{m.name}_{side}" for m in MEASURES for side, wanted in (("high", m.upper), ("low", m.lower)) if wanted]
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Base counts, measures, the limits that hold for the row, and ``kept``, one row per input row.
 
-    Null languages and sources are groups of their own. A text without words fails the base rules. Without any passing
-    document there are no limits and nothing is kept. Repeated rows are judged alike; other columns are not looked at.
+    Null languages and sources are groups of their own. A text without words fails the base rules. A measure without any
+    value behind it has no limit. Texts of any length are judged whole, rows with a null key like others, repeated rows
+    alike; an empty table gives no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
                        F.col(source).cast("string").alias("source"))
     measured = store(_measures(base_counts(rows, carry=("lang", "source"))), "quality-measures")
-    names = [f"{m.name}_{side}" for m in MEASURES for side, bound in (("high", m.upper), ("low", m.lower)) if bound]
+    names = _limit_names()
     columns = ["lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
                "base_failed", *[m.name for m in MEASURES], *names]
     out = _verdicts(measured, store(thresholds(sketches(measured)), "quality-limits"), names)
@@ -167,7 +183,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     rows = docs.select(F.lit(0).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row"),
                        F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
     measured = store(_measures(base_counts(rows, carry=("lang", "source"))), "quality-measures")
-    names = [f"{m.name}_{side}" for m in MEASURES for side, bound in (("high", m.upper), ("low", m.lower)) if bound]
+    names = _limit_names()
     limits = store(thresholds(sketches(measured)), "quality-limits")
     again = _measures(base_counts(rows, carry=("lang", "source", "row")))
     return _verdicts(again, limits, names).where("kept").select("row.*")
@@ -177,7 +193,7 @@ def _verdicts(measured: DataFrame, limits: DataFrame, names: list[str]) -> DataF
     out = measured.withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")),
                                 "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
     for depth, keys in ((2, ["g_lang", "g_source"]), (1, ["g_lang"])):
-        part = limits.where(f"depth = {depth} and docs >= {MIN_DOCS}").select(
+        part = limits.where(f"depth = {depth}").select(
             *[F.coalesce(F.concat(F.lit("="), k[2:]), F.lit("")).alias(k) for k in keys],
             *[F.col(c).alias(f"{c}_{depth}") for c in names])
         out = attach(out, store(part, "quality-part"), keys)
@@ -186,7 +202,7 @@ def _verdicts(measured: DataFrame, limits: DataFrame, names: list[str]) -> DataF
     good = ~F.col("base_failed")
     for m in MEASURES:
         if m.upper:
-            good = good & (F.col(m.name) <= F.col(f"{m.name}_high"))
+            good = good & F.coalesce(F.col(m.name) <= F.col(f"{m.name}_high"), F.lit(True))
         if m.lower:
-            good = good & (F.col(m.name) >= F.col(f"{m.name}_low"))
-    return out.withColumn("kept", F.coalesce(good, F.lit(False)))
+            good = good & F.coalesce(F.col(m.name) >= F.col(f"{m.name}_low"), F.lit(True))
+    return out.withColumn("kept", good)

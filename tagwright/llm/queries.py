@@ -89,30 +89,33 @@ m AS (
          CASE WHEN n_lines = 0 THEN 0 ELSE n_dup_lines * 1000 // n_lines END AS dup_line_share,
          CASE WHEN n_words = 0 THEN 0 ELSE word_chars * 1000 // n_words END AS word_length
   FROM base),
-long AS (UNPIVOT (SELECT row, lang, source, symbol_share, dup_line_share, word_length FROM m WHERE NOT base_failed)
-         ON symbol_share, dup_line_share, word_length INTO NAME measure VALUE v),
+long AS (
+  SELECT * FROM (UNPIVOT (SELECT row, lang, source, symbol_share, dup_line_share, word_length FROM m WHERE NOT base_failed)
+                 ON symbol_share, dup_line_share, word_length INTO NAME measure VALUE v)
+  WHERE measure <> 'dup_line_share' OR v > 0),
 cells AS (
-  SELECT lang, source, measure, (v >> k) << k AS cell
+  SELECT lang, source, measure, v, (v >> k) << k AS cell
   FROM (SELECT *, greatest(length(bin(v)) - 8, 0)::INT AS k FROM long)),
 levels AS (
-  SELECT 2 AS depth, lang, source, measure, cell FROM cells
-  UNION ALL SELECT 1, lang, NULL, measure, cell FROM cells
-  UNION ALL SELECT 0, NULL, NULL, measure, cell FROM cells),
+  SELECT 2 AS depth, lang, source, measure, v, cell FROM cells
+  UNION ALL SELECT 1, lang, NULL, measure, v, cell FROM cells
+  UNION ALL SELECT 0, NULL, NULL, measure, v, cell FROM cells),
 ranked AS (
   SELECT DISTINCT depth, lang, source, measure, cell,
          count(*) OVER (PARTITION BY depth, lang, source, measure ORDER BY cell) AS upto,
-         count(*) OVER (PARTITION BY depth, lang, source, measure) AS docs
+         count(*) OVER (PARTITION BY depth, lang, source, measure) AS docs,
+         sum(v) OVER (PARTITION BY depth, lang, source, measure) AS s
   FROM levels),
 q AS (
   SELECT depth, lang, source, measure, docs, min(cell) FILTER (4 * upto >= docs) AS q1,
-         min(cell) FILTER (4 * upto >= 3 * docs) AS q3
-  FROM ranked GROUP BY ALL),
+         min(cell) FILTER (4 * upto >= 3 * docs) AS q3, any_value(s) AS s
+  FROM ranked GROUP BY ALL HAVING docs >= 200 OR depth = 0),
 lim AS (
-  SELECT depth, lang, source, max(docs) AS docs,
-    max(least(250, greatest(50, q3 + 6 * (q3 - q1)))) FILTER (measure = 'symbol_share') AS symbol_share_high,
-    max(least(700, greatest(400, q3 + 6 * (q3 - q1)))) FILTER (measure = 'dup_line_share') AS dup_line_share_high,
-    max(least(20000, greatest(12000, q3 + 6 * (q3 - q1)))) FILTER (measure = 'word_length') AS word_length_high,
-    max(least(2500, greatest(1500, q1 - 6 * (q3 - q1)))) FILTER (measure = 'word_length') AS word_length_low
+  SELECT depth, lang, source,
+    max(q3 + greatest(6 * (q3 - q1), 4 * s // (4 * docs))) FILTER (measure = 'symbol_share') AS symbol_share_high,
+    max(q3 + 6 * (q3 - q1)) FILTER (measure = 'dup_line_share') AS dup_line_share_high,
+    max(q3 + greatest(6 * (q3 - q1), s // (4 * docs))) FILTER (measure = 'word_length') AS word_length_high,
+    max(q1 - greatest(6 * (q3 - q1), s // (4 * docs))) FILTER (measure = 'word_length') AS word_length_low
   FROM q GROUP BY ALL),
 j AS (
   SELECT m.*, coalesce(a.symbol_share_high, b.symbol_share_high, c.symbol_share_high) AS symbol_share_high,
@@ -120,16 +123,16 @@ j AS (
     coalesce(a.word_length_high, b.word_length_high, c.word_length_high) AS word_length_high,
     coalesce(a.word_length_low, b.word_length_low, c.word_length_low) AS word_length_low
   FROM m
-  LEFT JOIN lim a ON a.depth = 2 AND a.docs >= 200 AND a.lang IS NOT DISTINCT FROM m.lang
-    AND a.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN lim b ON b.depth = 1 AND b.docs >= 200 AND b.lang IS NOT DISTINCT FROM m.lang
+  LEFT JOIN lim a ON a.depth = 2 AND a.lang IS NOT DISTINCT FROM m.lang AND a.source IS NOT DISTINCT FROM m.source
+  LEFT JOIN lim b ON b.depth = 1 AND b.lang IS NOT DISTINCT FROM m.lang
   LEFT JOIN lim c ON c.depth = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   symbol_share, dup_line_share, word_length, symbol_share_high::BIGINT AS symbol_share_high,
   dup_line_share_high::BIGINT AS dup_line_share_high, word_length_high::BIGINT AS word_length_high,
   word_length_low::BIGINT AS word_length_low,
-  coalesce(NOT base_failed AND symbol_share <= symbol_share_high AND dup_line_share <= dup_line_share_high
-    AND word_length BETWEEN word_length_low AND word_length_high, false) AS kept
+  NOT base_failed AND coalesce(symbol_share <= symbol_share_high, true)
+    AND coalesce(dup_line_share <= dup_line_share_high, true) AND coalesce(word_length <= word_length_high, true)
+    AND coalesce(word_length >= word_length_low, true) AS kept
 FROM j
 """)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
