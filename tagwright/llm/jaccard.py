@@ -25,7 +25,7 @@ are not counted.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
 from tagwright.llm.shared import attach, components, map_batches
-from tagwright.storage import store
+from tagwright.storage import scratch, store
 
 CELLS = 2**20
 _SLICE = 2**10
@@ -224,61 +224,78 @@ def links(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
     member = store(classes(named, n, "key"), "jaccard-classes")
     parities = store(member.where("node is not null").groupBy("node").agg(F.first("parity").alias("parity")),
                      "jaccard-parities")
-    posted = store(postings(named, n, percent), "jaccard-postings")
-    often = posted.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.expr("pos * 1000 div size")).alias("front"))
-    often = store(often.where("n > 1").select("gram", "front"), "jaccard-often")
-    share = percent / (100 + percent)  # linked sets share this part of their summed sizes, which bounds both places
-    reach = (1 - share - F.col("pos") / F.col("size")) * (1 - share - F.col("front") / 1000) >= share**2 - 1e-9
-    posted = attach(posted, often, ["gram"], "inner").where(reach).drop("front").distinct()  # one row per class
-    posted = store(posted, "jaccard-shared")
-
-    band = F.floor(F.log("size") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("size")
+    member = member.select("key", "n_shingles", "node")
+    posted = _shared_postings(named, n, percent)
     labels, sets, tried, edges = None, None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        now = posted if labels is None else attach(posted, labels, ["node"])
-        now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", F.col("node")))
-        if labels is not None:
-            now = store(now, "jaccard-labelled")
-        # per n-gram: all rows, and those of its most common component
-        counts = now.groupBy("gram", "label").agg(F.count("*").alias("m"))
-        counts = counts.groupBy("gram").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
-        opened = store(counts.where("m > top.m").select("gram", "m", F.col("top.m").alias("most"), F.col("top.label").alias("major")),
-                       "jaccard-open")
-        rows, work = opened.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - most)"))).first()
-        if not rows:
-            break
-        now = attach(now, opened.select("gram", "major"), ["gram"], "inner")
-        now = store(attach(now, parities, ["node"], "inner"), "jaccard-rows")
-        minor = now.where("label != major").drop("major")
-        last = turn == HUB_ROUNDS or (turn > 0 and work <= _WORK * rows)
-        if last:
-            back = F.lag("gram").over(Win.partitionBy("node").orderBy("pos"))  # a node has at most its prefix here
-            now = store(now.withColumn("back", back), "jaccard-back")
-            minor = now.where("label != major").drop("major")
-            pairs = _pairs(_as(minor, "x"), _as(now.drop("major"), "y"), ["gram"], percent, "not x_back <=> y_back or x_back is null")
-        else:
-            rank = F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "label", "parity")
-            source = now.drop("major") if turn == 0 else minor
-            hub = source.withColumn("band", band).groupBy("gram", "band").agg(F.min(rank).alias("hub"))
-            hub = hub.select("gram", "band", "hub.*").drop("h")
-            hub = hub.withColumn("band", F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)))
-            pairs = _pairs(_as(now.drop("major").withColumn("band", band), "x"), _as(hub, "y"), ["gram", "band"], percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        near = store(pairs, "jaccard-near")
-        sets = _add_sets(sets, near, named, member, n)
-        fresh = store(_verify(near, sets, percent), "jaccard-links")
-        tried = near if tried is None else tried.unionByName(near)
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        if last:
-            break
-        labels = store(components(edges, "jaccard-component"), "jaccard-labels")
+        with scratch(docs.sparkSession, "jaccard-turn") as keep:  # all rows of a turn go when its links are known
+            near, last = _candidates(posted, parities, labels, tried, percent, turn)
+            if near is None:
+                break
+            near = keep(near, "jaccard-near")
+            sets = _add_sets(sets, near, named, member, n, keep)
+            fresh = keep(_verify(near, sets, percent), "jaccard-links")
+            tried = near if tried is None else tried.unionByName(near)
+            edges = fresh if edges is None else edges.unionByName(fresh)
+            if last:
+                break
+            labels = keep(components(edges, "jaccard-component"), "jaccard-labels")
     if edges is None:
         edges = posted.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     return member.select(F.when(F.col("key") != _NULL_KEY, F.col("key")).alias("key"), "n_shingles", "node"), edges
 
 
-def _add_sets(sets: DataFrame | None, near: DataFrame, named: DataFrame, member: DataFrame, n: int) -> DataFrame:
+def _shared_postings(named: DataFrame, n: int, percent: int) -> DataFrame:
+    """Stored prefix n-grams that two texts hold near enough to their fronts, one row per class and n-gram."""
+    with scratch(named.sparkSession, "jaccard-postings") as keep:
+        posted = store(postings(named, n, percent), "jaccard-posted")
+        often = posted.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.expr("pos * 1000 div size")).alias("front"))
+        often = store(often.where("n > 1").select("gram", "front"), "jaccard-often")
+        share = percent / (100 + percent)  # linked sets share this part of their summed sizes, which bounds both places
+        reach = (1 - share - F.col("pos") / F.col("size")) * (1 - share - F.col("front") / 1000) >= share**2 - 1e-9
+        return keep(attach(posted, often, ["gram"], "inner").where(reach).drop("front").distinct(), "jaccard-shared")
+
+
+def _candidates(
+    posted: DataFrame, parities: DataFrame, labels: DataFrame | None, tried: DataFrame | None, percent: int, turn: int
+) -> tuple[DataFrame | None, bool]:
+    """Candidate pairs of one turn that were not tried before (None: nothing is open), and whether it is the last turn."""
+    band = F.floor(F.log("size") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("size")
+    now = posted if labels is None else attach(posted, labels, ["node"])
+    now = now.withColumn("label", F.col("node") if labels is None else F.coalesce("label", F.col("node")))
+    if labels is not None:
+        now = store(now, "jaccard-labelled")
+    # per n-gram: all rows, and those of its most common component
+    counts = now.groupBy("gram", "label").agg(F.count("*").alias("m"))
+    counts = counts.groupBy("gram").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
+    opened = store(counts.where("m > top.m").select("gram", "m", F.col("top.m").alias("most"), F.col("top.label").alias("major")),
+                   "jaccard-open")
+    rows, work = opened.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - most)"))).first()
+    if not rows:
+        return None, True
+    now = attach(now, opened.select("gram", "major"), ["gram"], "inner")
+    now = store(attach(now, parities, ["node"], "inner"), "jaccard-rows")
+    minor = now.where("label != major").drop("major")
+    last = turn == HUB_ROUNDS or (turn > 0 and work <= _WORK * rows)
+    if last:
+        back = F.lag("gram").over(Win.partitionBy("node").orderBy("pos"))  # a node has at most its prefix here
+        now = store(now.withColumn("back", back), "jaccard-back")
+        minor = now.where("label != major").drop("major")
+        pairs = _pairs(_as(minor, "x"), _as(now.drop("major"), "y"), ["gram"], percent, "not x_back <=> y_back or x_back is null")
+    else:
+        rank = F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "label", "parity")
+        source = now.drop("major") if turn == 0 else minor
+        hub = source.withColumn("band", band).groupBy("gram", "band").agg(F.min(rank).alias("hub"))
+        hub = hub.select("gram", "band", "hub.*").drop("h")
+        hub = hub.withColumn("band", F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)))
+        pairs = _pairs(_as(now.drop("major").withColumn("band", band), "x"), _as(hub, "y"), ["gram", "band"], percent)
+    return (pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), last
+
+
+def _add_sets(
+    sets: DataFrame | None, near: DataFrame, named: DataFrame, member: DataFrame, n: int,
+    keep: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
     """Stored whole sets of all classes in ``near``; one row of each class lends its text."""
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     if sets is not None:
@@ -290,7 +307,7 @@ def _add_sets(sets: DataFrame | None, near: DataFrame, named: DataFrame, member:
         mine = lender.where("count = 1" if alone else "count > 1").groupBy("key").agg(F.collect_set("node").alias("nodes"))
         lent = attach(named, store(mine, "jaccard-lent"), ["key"], "inner")
         more = _whole_sets(lent, n)
-        more = store(more if alone else more.dropDuplicates(["node"]), "jaccard-sets")
+        more = keep(more if alone else more.dropDuplicates(["node"]), "jaccard-sets")
         sets = more if sets is None else sets.unionByName(more)
     return sets
 
@@ -304,11 +321,12 @@ def near_duplicates(
     A null or empty text has an empty set, ``component_id`` its own key, and no link. Rows with a null key take part;
     a component of null keys alone has a null id. Repeated rows fall into one class. Other columns are not looked at.
     """
-    member, edges = links(docs, n, percent, key, text)
-    labels = store(components(edges, "jaccard-component"), "jaccard-labels")
-    placed = attach(member.where("node is not null"), labels, ["node"])
-    placed = store(placed.withColumn("label", F.coalesce("label", F.col("node"))), "jaccard-placed")
-    least = store(placed.groupBy("label").agg(F.min("key").alias("component_id")), "jaccard-least")
-    whole = attach(placed, least, ["label"]).select("key", "n_shingles", "component_id")
-    empty = member.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id"))
-    return whole.unionByName(empty).withColumnRenamed("key", key)
+    with scratch(docs.sparkSession, "near-duplicates") as keep:
+        member, edges = links(docs, n, percent, key, text)
+        labels = store(components(edges, "jaccard-component"), "jaccard-labels")
+        placed = attach(member.where("node is not null"), labels, ["node"])
+        placed = store(placed.withColumn("label", F.coalesce("label", F.col("node"))), "jaccard-placed")
+        least = store(placed.groupBy("label").agg(F.min("key").alias("component_id")), "jaccard-least")
+        whole = attach(placed, least, ["label"]).select("key", "n_shingles", "component_id")
+        empty = member.where("node is null").select("key", "n_shingles", F.col("key").alias("component_id"))
+        return keep(whole.unionByName(empty).withColumnRenamed("key", key))
