@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,17 +16,30 @@ HEAVY_KEY_BYTES = 512  # longer keys are left to the shuffle, so the hot list st
 HEAVY_SAMPLE = 0.01
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Size of a value, as an expression; arrays and structs by what they hold."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.ArrayType):
+        count = F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("bigint")
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            held = F.aggregate(value, F.lit(0).cast("bigint"), lambda s, x: s + _bytes(x, kind.elementType))
+            return F.coalesce(held, F.lit(0).cast("bigint")) + 24
+        return count * 8 + 24
+    if isinstance(kind, T.StructType):
+        return reduce(Column.__add__, [_bytes(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(16).cast("bigint"))
+    if isinstance(kind, T.AtomicType):
+        return F.lit(16 if isinstance(kind, T.DecimalType) else 8).cast("bigint")
+    raise TypeError(f"no size known for {kind.simpleString()}")
+
+
 def _row_bytes(table: DataFrame) -> Column:
-    total = F.lit(16)
-    for f in table.schema.fields:
-        is_text = isinstance(f.dataType, (T.StringType, T.BinaryType))
-        total = total + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if is_text else F.lit(8))
-    return total
+    return reduce(Column.__add__, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields], F.lit(16).cast("bigint"))
 
 
 def measured_bytes(table: DataFrame) -> int:
-    """Size of a stored table of scalar columns, from one aggregate over it."""
-    return table.agg(F.coalesce(F.sum(_row_bytes(table).cast("bigint")), F.lit(0))).first()[0]
+    """Size of a stored table, from one aggregate over it."""
+    return table.agg(F.coalesce(F.sum(_row_bytes(table)), F.lit(0))).first()[0]
 
 
 def _heavy_keys(big: DataFrame, on: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagwright.operators.lookup import lookup_join
 from tagwright.storage import store
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
@@ -39,11 +40,11 @@ def with_rank(df: DataFrame, order: list[Column | str], name: str = "rank", star
 def with_rank_within(
     df: DataFrame, groups: list[str], order: list[Column | str], name: str = "rank", start: int = 1
 ) -> DataFrame:
-    """Number rows inside each of a few groups (blocks, label columns); large groups are still sorted by many tasks."""
+    """Number rows inside each group (blocks, label columns), groups not null; large groups are still sorted by many tasks."""
     ranked = with_rank(df, [*groups, *order], "_rank", 0)
-    first = ranked.groupBy(*groups).agg(F.min("_rank").alias("_first"))
+    first = store(ranked.groupBy(*groups).agg(F.min("_rank").alias("_first")), "group-starts")
     return (
-        ranked.join(F.broadcast(first), groups)
+        lookup_join(ranked, first, groups, "inner")
         .withColumn(name, F.col("_rank") - F.col("_first") + start)
         .drop("_rank", "_first")
     )
