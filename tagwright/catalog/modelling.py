@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tagwright import fixed
 from tagwright.catalog.base import mean_predictor, query, rounded
 from tagwright.functions import metrics
-from tagwright.operators import blend, models, ridge, split
+from tagwright.operators import blend, boosting, models, ridge, split
 from tagwright.plans import flows
 from tagwright.sources import tsv
+from tagwright.storage import store
 
 # ---- stacking, splits and samples ----
 
@@ -148,11 +149,13 @@ SELECT x.item_id, round(m, 6) AS prediction FROM t x JOIN (
   SELECT shipping, avg(ln(1 + price)) AS m FROM t WHERE split = 'train' AND price <> 0 GROUP BY 1) USING (shipping)
 WHERE x.split = 'test'""")
 def gbt_shipping_fit(t: DataFrame) -> DataFrame:
-    """The tree fit on one feature of two values, where every leaf is a group mean."""
+    """The tree fit on one column of two values with full steps, where every leaf is a group mean."""
     entry = F.struct(F.lit(0).cast("bigint").alias("feature"), F.col("shipping").cast("double").alias("value"))
-    rows = flows.with_label(t).select("item_id", "split", "label", F.array(entry).alias("entries"))
-    train, test = split.head_tail_split(models.assemble(rows, 1))
-    return models.fit_trees(train, 1).transform(test).select("item_id", rounded("prediction", "prediction"))
+    entries = F.filter(F.array(entry), lambda e: e["value"] > 0)
+    rows = store(flows.with_label(t).select("item_id", "split", "label", entries.alias("entries")), "shipping-items")
+    train, test = split.head_tail_split(rows)
+    model = boosting.fit(train, 2, rate=1.0, share=1.0, patience=None)
+    return model.transform(test).select("item_id", rounded("prediction", "prediction"))
 
 
 @query("gbt_fit_score")
@@ -165,6 +168,12 @@ def embedding_fit_score(t: DataFrame) -> DataFrame:
     return flows.embedding_predictions(t)
 
 
+@query("snapshot_fit_score")
+def snapshot_fit_score(t: DataFrame) -> DataFrame:
+    """The weighted snapshots of one continuing fit, on the test listings."""
+    return flows.embedding_snapshots(t)
+
+
 @query("hold_out_fit")
 def hold_out_fit(t: DataFrame) -> DataFrame:
     """Fit on the head of train, score held-out and test listings."""
@@ -174,7 +183,7 @@ def hold_out_fit(t: DataFrame) -> DataFrame:
 
 @query("validation_rmse")
 def validation_rmse(t: DataFrame) -> DataFrame:
-    """Log-space RMSE on the held-out listings: of the tree model after every round, of each embedding snapshot."""
+    """Log-space RMSE on the held-out listings: of the tree model after every round, of the network after every epoch."""
     model, held, _ = flows.tree_fit(t, fraction=0.8)
     fits, held_inputs, _ = flows.embedding_epochs(t, fraction=0.8)
     trees = flows.tree_curve(model, held).select(F.lit("tree").alias("model"), F.col("round").alias("step"), "n", "rmse")

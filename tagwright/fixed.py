@@ -46,13 +46,15 @@ RIDGE_ALPHA = 0.5
 RIDGE_ITERATIONS = 100
 TREE_RATE = 0.45
 TREE_DEPTH = 7
+TREE_LEAVES = 31
+TREE_MIN_ROWS = 20  # documented default of the tree learner
 TREE_FEATURE_FRACTION = 0.9
 TREE_ROUNDS = 1600
 EMBEDDING_SIZE = 50
+CODE_SIZES = {"brand_name": 10, "cat_1": 10, "cat_2": 10, "cat_3": 10, "item_condition": 5}
+FILTERS = 20
+KERNEL = 3
+DENSE_SIZES = (512, 256, 128, 20)
+EPOCH_RATES = (0.0015, 0.0011, 0.001, 0.0009, 0.0008)
 SNAPSHOT_WEIGHTS = {3: 0.2, 4: 0.4, 2: 0.4}  # epoch (= sample seed) -> weight, in the order they are added up
 BLEND_WEIGHTS = {"tree": 0.2, "linear": 0.4, "embedding": 0.4}
-
-# ---- own settings, not values of the scripts ----
-TREE_TOLERANCE = 0.001  # least relative gain on the hold-out for which boosting goes on
-TREE_BUCKETS = 4096  # columns that the words of the tree model are folded into
-EMBEDDING_ITERATIONS = 100

@@ -151,19 +151,3 @@ def feature_ids(long: DataFrame) -> DataFrame:
 def feature_union(long: DataFrame, ids: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Put blocks side by side: give each entry its global feature id."""
     return lookup_join(long, ids, ["block", "feature"], "inner", max_bytes=max_bytes)
-
-
-def folded(entries: Column, words: list[tuple[int, int]], buckets: int) -> Column:
-    """Fold the feature ids inside the ranges ``words`` into few buckets, adding up what meets there.
-
-    All other ids follow behind the buckets, without gaps.
-    """
-    def place(feature: Column) -> Column:
-        inside, before = F.lit(False), F.lit(0)
-        for low, high in words:
-            inside = inside | feature.between(low, high)
-            before = before + F.when(feature > high, high - low + 1).otherwise(0)
-        bucket = F.pmod(F.xxhash64(feature), F.lit(buckets))
-        return F.when(inside, bucket).otherwise(feature - before + buckets).cast("bigint")
-
-    return summed(F.transform(entries, lambda e: F.struct(place(e["feature"]).alias("feature"), e["value"].alias("value"))))

@@ -5,14 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright import fixed
 from tagwright.functions import metrics
-from tagwright.operators import blend, brands, clean, encode, features, models, ridge, split, vocabulary
+from tagwright.operators import (
+    blend,
+    boosting,
+    brands,
+    bundles,
+    clean,
+    encode,
+    features,
+    models,
+    neural,
+    ridge,
+    split,
+    vocabulary,
+)
 from tagwright.storage import store
 
 CARRIED = ("item_id", "split", "label")
@@ -94,35 +105,42 @@ def tree_items_of(train: DataFrame, others: DataFrame) -> tuple[Items, DataFrame
 
 
 def tree_fit(
-    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, rounds: int = fixed.TREE_ROUNDS, buckets: int = fixed.TREE_BUCKETS,
-):
-    """Fit on the head of the train listings, as many rounds as the rest gains from.
-
-    Returns the model and the folded held-out and test rows.
-    """
+    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, rounds: int = fixed.TREE_ROUNDS,
+    patience: int | None = boosting.PATIENCE,
+) -> tuple[boosting.BoostedTrees, DataFrame, DataFrame]:
+    """Fit on the head of the train listings, all columns as they are; the model, the held-out and the test rows."""
     train, test = split.head_tail_split(with_label(rows))
     head, held = split.ordered_holdout(train, fraction)
-    held, test = held.withColumn("split", F.lit("held")), test
-    items, table = tree_items_of(head, held.unionByName(test))
-    stored = store(models.fold_features(items.rows, table, buckets), "tree-items", ["split"])
+    items = tree_items(head, held.withColumn("split", F.lit("held")).unionByName(test))
+    stored = store(items.rows, "tree-items", ["split"])
     seen = stored.where("split != 'test'").withColumn("is_held", F.col("split") == "held")
-    model = models.fit_trees(seen, rounds, held="is_held")
+    model = boosting.fit(seen, rounds, held="is_held", patience=patience)
     return model, stored.where("split = 'held'"), stored.where("split = 'test'")
 
 
-def tree_curve(model: GBTRegressionModel, held: DataFrame) -> DataFrame:
-    """Log-space RMSE on the held-out rows after every round: ``round``, ``n``, ``rmse``."""
-    errors = model.evaluateEachIteration(held, "squared")  # one number per round
-    rows = [(i + 1, float(e) ** 0.5) for i, e in enumerate(errors)]
-    curve = held.sparkSession.createDataFrame(rows, "round int, rmse double")
-    return curve.select("round", held.agg(F.count("*")).scalar().alias("n"), "rmse")
+def tree_curve(model: boosting.BoostedTrees, held: DataFrame) -> DataFrame:
+    """Log-space RMSE on the held-out rows after every round of the fit: ``round``, ``n``, ``rmse``."""
+    return held.sparkSession.createDataFrame([(c[0], c[3], c[4]) for c in model.curve], "round int, n bigint, rmse double")
 
 
-def tree_predictions(rows: DataFrame, rounds: int = fixed.TREE_ROUNDS, buckets: int = fixed.TREE_BUCKETS) -> DataFrame:
-    model, _, test = tree_fit(rows, rounds=rounds, buckets=buckets)
+def tree_predictions(rows: DataFrame, rounds: int = fixed.TREE_ROUNDS) -> DataFrame:
+    model, _, test = tree_fit(rows, rounds=rounds)
     return models.predicted_price(model, test)
 
 
+def bundled_tree_items(train: DataFrame, others: DataFrame) -> tuple[DataFrame, bundles.Bundles]:
+    """The tree model's rows with their sparse columns in lossless bundles, as ML vectors for learners that want few columns."""
+    items, table = tree_items_of(train, others)
+    stored = store(items.rows, "tree-items", ["split"])
+    blocks = sorted(r["block"] for r in table.select("block").distinct().collect() if r["block"] not in features.TREE_LIMITS)
+    group = F.coalesce(*[F.when(F.col("block") == b, F.lit(i)) for i, b in enumerate(blocks)], F.lit(-1))
+    seen = stored.where("split = 'train'").select("label", F.explode("entries").alias("e"))
+    score = seen.groupBy(F.col("e.feature").alias("feature")).agg(F.avg("label").alias("score"))
+    known = table.select(F.col("fid").alias("feature"), F.col("df").alias("often"), group.alias("block"))
+    made = bundles.bundle(stored, store(known.join(score, "feature"), "bundle-order"), items.size)
+    return models.assemble(bundles.bundled(stored, made), made.count), made
+
+
 # ---- embedding model ----
 
 def embedding_inputs(rows: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -130,53 +148,60 @@ def embedding_inputs(rows: DataFrame, max_bytes: int | None = None) -> DataFrame
     cleaned = clean.clean_embedding(with_label(rows))
     index = store(vocabulary.token_index(cleaned.where("split = 'train'")), "token-index")
     labels = encode.fit_labels(cleaned)
-    return models.embedding_inputs(encode.model_input_row(cleaned, index, labels, CARRIED, max_bytes))
-
-
-def embedding_predictions(rows: DataFrame, iterations: int = fixed.EMBEDDING_ITERATIONS) -> DataFrame:
-    """One fit on all train listings, scored on test."""
-    stored = store(embedding_inputs(rows), "embedding-items", ["split"])
-    train, test = split.head_tail_split(stored)
-    return models.predicted_price(models.fit_embedding(train, iterations), test)
+    return encode.model_input_row(cleaned, index, labels, CARRIED, max_bytes)
 
 
 def embedding_epochs(
-    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, iterations: int = fixed.EMBEDDING_ITERATIONS,
-) -> tuple[dict[int, PipelineModel], DataFrame, DataFrame]:
-    """One fit per snapshot epoch on a seeded sample of the train head; the models, the held-out and the test rows."""
+    rows: DataFrame, fraction: float = fixed.HOLDOUT_FRACTION, passes: int = neural.PASSES,
+) -> tuple[dict[int, neural.State], DataFrame, DataFrame]:
+    """One continuing fit: the network after each epoch (from 0), the held-out and the test rows.
+
+    Every epoch draws its own seeded sample of the train head and goes on from the stored weights of the one before.
+    """
     stored = store(embedding_inputs(rows), "embedding-items", ["split"])
     train, test = split.head_tail_split(stored)
     head, held = split.ordered_holdout(train, fraction)
-    fits = {e: models.fit_embedding(split.seeded_subsample(head, e), iterations, seed=e) for e in fixed.SNAPSHOT_WEIGHTS}
-    return fits, held, test
+    state, after = neural.new_state(head, stored), {}
+    for at, rate in enumerate(fixed.EPOCH_RATES):
+        state = neural.epoch(state, split.seeded_subsample(head, at), rate, passes)
+        state.save(rows.sparkSession)  # from here a fit can be taken up again
+        after[at] = state
+    return after, held, test
+
+
+def embedding_predictions(rows: DataFrame, passes: int = neural.PASSES) -> DataFrame:
+    """The network after its last epoch, scored on test."""
+    after, _, test = embedding_epochs(rows, passes=passes)
+    return models.predicted_price(after[max(after)], test)
 
 
-def embedding_scores(fits: dict[int, PipelineModel], held: DataFrame) -> DataFrame:
-    """Log-space RMSE of every snapshot on the held-out rows: ``epoch``, ``n``, ``rmse``."""
+def embedding_scores(after: dict[int, neural.State], held: DataFrame) -> DataFrame:
+    """Log-space RMSE on the held-out rows after every epoch: ``epoch``, ``n``, ``rmse``."""
     scores = [
-        model.transform(held).agg(F.lit(epoch).alias("epoch"), F.count("*").alias("n"),
+        state.transform(held).agg(F.lit(epoch).alias("epoch"), F.count("*").alias("n"),
                                   metrics.rmse(F.col("label"), F.col("prediction")).alias("rmse"))
-        for epoch, model in fits.items()
+        for epoch, state in after.items()
     ]
     return reduce(DataFrame.unionByName, scores)
 
 
-def embedding_snapshots(rows: DataFrame, iterations: int = fixed.EMBEDDING_ITERATIONS) -> DataFrame:
-    """The snapshots' prices of the test listings, weighted by epoch."""
-    fits, _, test = embedding_epochs(rows, iterations=iterations)
+def embedding_snapshots(rows: DataFrame, passes: int = neural.PASSES) -> DataFrame:
+    """The prices of the test listings after the snapshot epochs of one fit, weighted by epoch."""
+    after, _, test = embedding_epochs(rows, passes=passes)
     return blend.snapshot_ensemble({
-        epoch: model.transform(test).select("item_id", F.expm1("prediction").alias("pred")) for epoch, model in fits.items()})
+        epoch: after[epoch].transform(test).select("item_id", F.expm1("prediction").alias("pred"))
+        for epoch in fixed.SNAPSHOT_WEIGHTS})
 
 
 # ---- blend ----
 
 def blended_prices(
-    rows: DataFrame, rounds: int = fixed.TREE_ROUNDS, iterations: int = fixed.EMBEDDING_ITERATIONS, buckets: int = fixed.TREE_BUCKETS,
+    rows: DataFrame, rounds: int = fixed.TREE_ROUNDS, passes: int = neural.PASSES,
 ) -> DataFrame:
     """``(test_id, price)``: the three models' prices, weighted."""
     predictions = {
-        "tree": tree_predictions(rows, rounds, buckets),
+        "tree": tree_predictions(rows, rounds),
         "linear": ridge_predictions(rows),
-        "embedding": embedding_snapshots(rows, iterations),
+        "embedding": embedding_snapshots(rows, passes),
     }
     return blend.blend({n: p.withColumnRenamed("item_id", "test_id") for n, p in predictions.items()})

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tagwright.operators import models, ridge
+from tagwright.operators import boosting, bundles, models, neural, ridge
 from tagwright.plans import flows
 from tagwright.storage import store
 
@@ -47,14 +47,6 @@ def test_slices_meet_whole(spark, problem, monkeypatch):
     assert [r["weight"] for r in model.weights.orderBy("feature").collect()] == pytest.approx(list(w), abs=1e-8)
 
 
-def test_short_blocks_share_no_bucket_with_words(spark):
-    table = spark.createDataFrame([("brand_name", 0), ("brand_name", 1), ("item_description", 2), ("item_description", 3),
-                                   ("name", 4), ("shipping", 5)], "block string, fid bigint")
-    rows = spark.createDataFrame([([(i, 1.0) for i in range(6)],)], "entries array<struct<feature:bigint,value:double>>")
-    (v,) = [r["features"] for r in models.fold_features(rows, table, 2).collect()]
-    assert v.size == 5 and sum(v.toArray()[:2]) == 3.0 and list(v.toArray()[2:]) == [1.0, 1.0, 1.0]
-
-
 def test_sparse_vector(spark):
     rows = spark.createDataFrame([([(1, 0.5), (4, -2.0)],), ([],)], "entries array<struct<feature:bigint,value:double>>")
     got = [r["features"] for r in models.assemble(rows, 6).collect()]
@@ -81,38 +73,236 @@ def test_ridge_beats_mean(listings, scored_listings):
 
 
 def test_trees_beat_mean(listings, scored_listings):
-    scored_listings(flows.tree_predictions(listings, rounds=5))
+    scored_listings(flows.tree_predictions(listings, rounds=25))
 
 
 def test_embedding_beats_mean(listings, scored_listings):
-    scored_listings(flows.embedding_predictions(listings))
-
-
-def test_word_vectors_train_in_parallel(listings, monkeypatch):
-    asked = []
-    pipeline = models.embedding_pipeline
-    monkeypatch.setattr(models, "embedding_pipeline", lambda *a: asked.append(a) or pipeline(*a))
-    rows = store(flows.embedding_inputs(listings), "inputs").repartition(3)
-    models.fit_embedding(rows.where("split = 'train'"), iterations=1)
-    assert asked[0][2] == 3
+    scored_listings(flows.embedding_predictions(listings, passes=8))
 
 
 def test_blended_prices(listings):
-    prices = store(flows.blended_prices(listings, rounds=2), "blended")
+    prices = store(flows.blended_prices(listings, rounds=2, passes=2), "blended")
     want = listings.where("split = 'test' and (price is null or price <> 0 or split = 'test')").count()
     assert prices.count() == want and prices.where("price is null or price < 3").isEmpty()
 
 
 def test_snapshots_beat_mean(listings, scored_listings):
-    scored_listings(flows.embedding_snapshots(listings))
+    scored_listings(flows.embedding_snapshots(listings, passes=8))
 
 
 def test_hold_out_fit_and_curve(listings):
-    model, held, test = flows.tree_fit(listings, fraction=0.8, rounds=6)
+    model, held, test = flows.tree_fit(listings, fraction=0.8, rounds=22)
     train = flows.with_label(listings).where("split = 'train'")
     assert held.join(train, "item_id", "left_semi").count() == held.count() > 0
     assert held.join(test, "item_id", "left_semi").isEmpty()
     curve = flows.tree_curve(model, held).orderBy("round").collect()
-    assert 1 <= len(curve) <= 6 and len(curve) == model.getNumTrees and curve[0]["n"] == held.count()
+    assert [r["round"] for r in curve] == list(range(1, 23)) and curve[0]["n"] == held.count()  # a point for every round
+    assert len(model.trees) == model.kept == 22  # so few held-out rows decide nothing
     deviation = held.agg(F.stddev_pop("label")).first()[0]
     assert curve[-1]["rmse"] < deviation
+    scored = model.transform(held).agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))).first()[0]
+    assert scored == pytest.approx(curve[-1]["rmse"], abs=1e-9)  # the curve is that of the model itself
+
+
+# ---- boosted trees ----
+
+def _sparse_rows(rng, n, size):
+    x = rng.integers(1, 5, size=(n, size)) * (rng.random((n, size)) < rng.uniform(0.05, 0.6, size))
+    return x, x @ rng.normal(size=size) * 0.1 + (x[:, 0] > 1) * (x[:, 1] == 0) + rng.normal(size=n) * 0.05
+
+
+def _as_items(spark, x, y, extra=()):
+    rows = [(i, float(y[i]), [(int(j), float(x[i, j])) for j in np.flatnonzero(x[i])], *(bool(e[i]) for e in extra)) for i in range(len(y))]
+    names = "item_id long, label double, entries array<struct<feature:bigint,value:double>>" + ", is_held boolean" * len(extra)
+    return store(spark.createDataFrame(rows, names).repartition(5), "items")
+
+
+def _plain_boost(x, y, rounds, rate, depth, leaves, min_rows):
+    """The same trees by plain loops: every column and threshold tried on the rows of every node."""
+    score, out = np.full(len(y), y.mean()), []
+    for _ in range(rounds):
+        rest, node, active, count = y - score, np.zeros(len(y), int), [0], 1
+        for _ in range(depth):
+            found = []
+            for k in active:
+                at = np.flatnonzero(node == k)
+                for j in range(x.shape[1]):
+                    for v in np.unique(x[at, j][x[at, j] > 0]):
+                        right = x[at, j] >= v
+                        if min_rows <= right.sum() <= len(at) - min_rows:
+                            a, b = rest[at][right], rest[at][~right]
+                            found.append((round(a.sum()**2 / len(a) + b.sum()**2 / len(b) - rest[at].sum()**2 / len(at), 9), -k, -j, -v))
+            best = {}
+            for f in sorted(found, reverse=True):
+                best.setdefault(-f[1], f)
+            active = []
+            for gain, k, j, v in sorted(best.values(), reverse=True)[:leaves - count]:
+                if gain > 1e-9:
+                    node[(node == -k) & (x[:, -j] >= -v)] = count
+                    active += [-k, count]
+                    count += 1
+        for k in range(count):
+            score[node == k] += rate * rest[node == k].mean()
+        out.append(score.copy())
+    return out
+
+
+def test_boosting_equals_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = _sparse_rows(rng, 150, 7)
+    items = _as_items(spark, x, y)
+    want = _plain_boost(x, y, 3, 0.45, 4, 6, 5)
+    for direct in (2**26, 0):  # sums by the driver, sums by slice
+        monkeypatch.setattr(boosting, "_DIRECT_BYTES", direct)
+        monkeypatch.setattr(boosting, "_SLICE", 2**16 if direct else 4)
+        # bins of one row each, so every threshold is there
+        bins = boosting.fit_bins
+        monkeypatch.setattr(boosting, "fit_bins", lambda train, min_rows: bins(train, 1))
+        model = boosting.fit(items, 3, depth=4, leaves=6, min_rows=5, share=1.0, patience=None, round_block=2)
+        monkeypatch.setattr(boosting, "fit_bins", bins)
+        got = [r["prediction"] for r in model.transform(items).orderBy("item_id").collect()]
+        assert got == pytest.approx(want[2], abs=1e-9) and len(model.trees) == 3
+        assert [c[2] for c in model.curve] == pytest.approx([np.sqrt(np.mean((y - w)**2)) for w in want])
+
+
+def test_bins_and_values_between_them(spark):
+    x = np.zeros((40, 3))
+    x[:20, 0], x[20:, 0], x[:30, 1], x[:3, 2] = 1, 2, np.arange(30) + 1.0, 1
+    items = _as_items(spark, x, np.zeros(40))
+    bins = boosting.fit_bins(items, 5)
+    rows = {r["feature"]: r for r in bins.table.collect()}
+    assert sorted(rows) == [0, 1] and len(rows[0]["cells"]) == 2 and 4 <= len(rows[1]["cells"]) <= 6
+    odd = spark.createDataFrame([(0, [(0, 1.5), (1, 1e-9), (7, 1.0)]), (1, [(0, 99.0)]), (2, [])],
+                                "item_id long, entries array<struct<feature:bigint,value:double>>")
+    got = {r["item_id"]: r["bins"] for r in boosting.binned(odd, bins, ("item_id",)).collect()}
+    assert got == {0: [rows[0]["first"], rows[1]["first"]], 1: [rows[0]["first"] + 1], 2: []}
+
+
+def test_patience_keeps_the_best_round_and_full_fits_do_not_stop(spark):
+    rng = np.random.default_rng(4)
+    x, y = _sparse_rows(rng, 500, 6)
+    y += rng.normal(size=500)  # noise, so the held-out error soon rises
+    items = _as_items(spark, x, y, (np.arange(500) % 2 == 0,))
+    model = boosting.fit(items, 60, held="is_held", min_rows=5, patience=2, round_block=5)
+    errors = [c[4] for c in model.curve]
+    assert len(model.trees) == len(errors) < 60 and errors[model.kept - 1] == min(errors)
+    assert len(errors) - model.kept >= 10  # it went on for two blocks
+    whole = boosting.fit(items, 12, held="is_held", min_rows=5, patience=None, round_block=5)
+    assert whole.kept == len(whole.trees) == 12 and [c[0] for c in whole.curve] == list(range(1, 13))
+
+
+def test_boosting_without_rows_columns_or_splits(spark):
+    x = np.zeros((6, 2))
+    items = _as_items(spark, x, np.arange(6.0))
+    model = boosting.fit(items, 3)
+    assert model.trees == [] and {r["prediction"] for r in model.transform(items).collect()} == {2.5}
+    nothing = boosting.fit(items.limit(0), 3)
+    assert nothing.trees == [] and nothing.base == 0.0
+    with pytest.raises(ValueError):
+        boosting.fit(items, 3, leaves=65)
+
+
+# ---- lossless bundles ----
+
+def test_no_two_columns_of_a_bundle_meet_and_nothing_is_lost(spark):
+    rng = np.random.default_rng(9)
+    n, size = 120, 90
+    x = np.round(rng.random((n, size)) * 9 + 0.1, 3) * (rng.random((n, size)) < 0.08)
+    x[:, :5] = np.eye(5)[rng.integers(5, size=n)]  # a block of codes
+    items = _as_items(spark, x, np.zeros(n))
+    score = rng.normal(size=size)
+    known = spark.createDataFrame([(j, int((x[:, j] > 0).sum()), float(score[j]), 0 if j < 5 else -1) for j in range(size)],
+                                  "feature bigint, often bigint, score double, block int")
+    made = bundles.bundle(items, known, size)
+    table = {r["feature"]: r for r in made.table.collect()}
+    for row in x:
+        at = [table[j]["bundle"] for j in np.flatnonzero(row)]
+        assert len(set(at)) == len(at)
+    longest = int((x > 0).sum(axis=1).max())
+    assert longest <= made.count < size / 2 and len({table[j]["bundle"] for j in range(5)}) == 1
+    for b in range(made.count):  # columns of a bundle stand in the order of their score
+        inside = sorted((r["place"], score[j]) for j, r in table.items() if r["bundle"] == b)
+        assert [p for p, _ in inside] == list(range(len(inside))) and [s for _, s in inside] == sorted(s for _, s in inside)
+    column = {(r["bundle"], r["place"]): (j, r["top"]) for j, r in table.items()}
+    for max_bytes in (None, 0):
+        back = np.zeros((n, size))
+        for r in bundles.bundled(items, made, max_bytes=max_bytes).collect():
+            for e in r["entries"]:
+                place = int(np.ceil(e["value"])) - 1
+                j, top = column[e["feature"], place]
+                back[r["item_id"], j] = (e["value"] - place) * top
+        assert back == pytest.approx(x, abs=1e-9)
+
+
+def test_colours_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.random((60, 40)) < 0.15).astype(float)
+    items = _as_items(spark, x, np.zeros(60))
+    got = [bundles.colour_columns(items.repartition(p), 40, np.arange(40)).tolist() for p in (1, 3, 11)]
+    assert got[0] == got[1] == got[2]
+    assert bundles.colour_columns(items.limit(0), 4, np.arange(4)).tolist() == [0, 0, 0, 0]
+
+
+def test_spark_trees_on_bundles(listings, scored_listings):
+    train = flows.with_label(listings)
+    vectors, made = flows.bundled_tree_items(train.where("split = 'train'"), train.where("split = 'test'"))
+    vectors = store(vectors, "bundled")
+    model = models.fit_trees(vectors.where("split = 'train'"), 5)
+    scored_listings(models.predicted_price(model, vectors.where("split = 'test'")))
+
+
+# ---- the network ----
+
+def _network_rows(spark, n, rng):
+    rows = []
+    for i in range(n):
+        name, desc = [int(v) for v in rng.integers(0, 12, 10)], [int(v) for v in rng.integers(0, 30, 75)]
+        codes = [int(v) for v in rng.integers(0, (3, 4, 2, 5, 5))]
+        label = 2.0 + 0.5 * codes[0] + 0.1 * (name.count(3)) + float(rng.normal()) * 0.05
+        rows.append((i, label, name, desc, *codes, int(rng.integers(2))))
+    names = "item_id long, label double, name array<int>, item_desc array<int>, brand_name int, cat_1 int, cat_2 int, cat_3 int, " \
+            "item_condition int, num_vars int"
+    return store(spark.createDataFrame(rows, names).repartition(3), "network-rows")
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(6)
+    shape = neural.Shape.of(7, {c: 3 for c in neural.CODES})
+    flat = shape.start(1.0, 2) + rng.normal(size=shape.size) * 0.02
+    data = {"name": rng.integers(0, 7, (5, 10)), "item_desc": rng.integers(0, 7, (5, 75)), "num_vars": rng.random(5)}
+    data |= {c: rng.integers(0, 3, 5) for c in neural.CODES}
+    label = rng.normal(size=5)
+
+    def loss(v):
+        return ((neural._score(shape.views(v), data)[0] - label)**2).sum()
+
+    scores, kept, texts, codes = neural._score(shape.views(flat), data)
+    gradient = np.zeros(shape.size)
+    neural.backward(shape.views(flat), shape.views(gradient), texts, codes, kept, 2 * (scores - label))
+    for part in shape.views(np.arange(shape.size, dtype=float)).values():  # some weights of every part
+        for i in rng.choice(part.ravel().astype(int), min(6, part.size), replace=False):
+            step = np.zeros(shape.size)
+            step[i] = 1e-6
+            assert gradient[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, rel=1e-3, abs=1e-6)
+
+
+def test_network_learns_alike_on_any_partitions_and_goes_on(spark):
+    rows = _network_rows(spark, 90, np.random.default_rng(3))
+    start = neural.new_state(rows, rows)
+    after = [neural.epoch(start, rows, 0.003, passes=6, partitions=p) for p in (1, 4, 16)]
+    for other in after[1:]:
+        assert np.abs(other.weights - after[0].weights).max() < 1e-3 and other.error == pytest.approx(after[0].error, abs=1e-4)
+    more = neural.epoch(after[0], rows, 0.003, passes=6, partitions=1)
+    assert more.steps == 12 and more.error < after[0].error < float(np.std([r["label"] for r in rows.collect()])) + 1
+    again = neural.epoch(start.load(after[0].save(spark)), rows, 0.003, passes=6, partitions=1)  # taken up from the store
+    assert again.steps == 12 and np.array_equal(again.weights, more.weights)
+    gap = more.transform(rows).agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2))).first()[0] ** 0.5
+    assert gap < more.error * 1.05
+    assert neural.epoch(start, rows.limit(0), 0.003, passes=2).steps == 0
+
+
+def test_epochs_continue_one_fit(listings):
+    after, held, test = flows.embedding_epochs(listings, fraction=0.8, passes=3)
+    assert sorted(after) == [0, 1, 2, 3, 4] and [after[e].steps for e in range(5)] == [3, 6, 9, 12, 15]
+    errors = [r["rmse"] for r in flows.embedding_scores(after, held).orderBy("epoch").collect()]
+    assert len(errors) == 5 and errors[-1] < errors[0]
