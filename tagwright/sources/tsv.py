@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwright import fixed, schema
+from tagwright.sources.quoted import read_records
 
 
 def fold_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -15,18 +16,18 @@ def fold_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*fixed.NA_MARKERS), F.col(c)) for c in columns})
 
 
+_FORMAT = {"mode": "FAILFAST", "sep": "\t", "quote": '"', "escape": '"'}
+
+
 def _read(spark: SparkSession, path: str, file_schema: T.StructType, multiline: bool) -> DataFrame:
     # Numbers are read as text first: a marker such as 'NA' in a number column is missing, not malformed.
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in file_schema.fields])
-    # Pruned columns would hide broken records, so all columns are parsed and a record of another width is an error.
-    raw = (
-        spark.read.schema(as_text)
-        .option("mode", "FAILFAST").option("columnPruning", False)
-        .option("sep", "\t").option("header", True)
-        .option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    if multiline:
+        fields = F.from_csv("record", as_text.simpleString()[7:-1].replace(":", " "), _FORMAT | {"multiLine": "true"})
+        raw = read_records(spark, path).select(fields.alias("r")).select("r.*")
+    else:
+        # Pruned columns would hide broken records, so all columns are parsed and a record of another width is an error.
+        raw = spark.read.schema(as_text).options(**_FORMAT).option("columnPruning", False).option("header", True).csv(path)
     folded = fold_missing(raw)
     return folded.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in file_schema.fields])
 
@@ -34,8 +35,8 @@ def _read(spark: SparkSession, path: str, file_schema: T.StructType, multiline:
 def read_train(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Train listings (with ``price``).
 
-    A file is split between tasks, so a record must be one line; a line break inside quotes is an error. Pass
-    ``multiline=True`` for files that have such breaks: each of them is then read by one task.
+    A file is split between tasks. Where every record is one line it is read once, and a line break inside quotes is an
+    error. Pass ``multiline=True`` for files that have such breaks: they are split as well, but read twice.
     """
     return _read(spark, path, schema.TRAIN_FILE, multiline)
 
