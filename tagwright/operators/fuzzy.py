@@ -2,6 +2,10 @@
 
 Both sides are made distinct first. A delete key is then shared only by the different words that lie within ``k``
 letters of it, a number set by word length and alphabet and not by how often a word occurs in the data.
+
+Delete variants grow as length**k. Long words under larger ``k`` are found by segments instead: a word is cut into
+``2k + 1`` pieces, and as an edit touches at most two of them (a swap across a cut), one piece at least stands unchanged in any
+word within ``k`` edits, moved by ``k`` places at most.
 """
 
 from __future__ import annotations
@@ -20,6 +24,39 @@ def _with_deletes(words: DataFrame, column: str, k: int) -> DataFrame:
     return words.select(column, F.explode(keys).alias("key"))
 
 
+SEGMENT = 3  # least letters of a segment; words too short for that are found by delete variants
+
+
+def _segments(length: str, k: int) -> tuple[str, str]:
+    """Start (from 0) and size of segment ``i`` of a word, as SQL; the last ones are a letter longer."""
+    m = 2 * k + 1
+    plain = f"({length} div {m})"
+    return (f"(i * {plain} + greatest(0, i - ({m} - {length} % {m})))",
+            f"({plain} + if(i >= {m} - {length} % {m}, 1, 0))")
+
+
+def segment_pairs(queries: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """Distinct candidates ``(query, word)`` among which are all pairs within ``k`` edits."""
+    short = SEGMENT * (2 * k + 1) - 1
+    near = lambda df, c: df.where(F.length(c) <= short + k)  # noqa: E731  a pair with a short word has no other
+    pairs = _with_deletes(near(queries, "query"), "query", k).join(
+        _with_deletes(near(words.select("word"), "word"), "word", k), "key").select("query", "word")
+    pieces = f"sequence(0, {2 * k})"
+    start, size = _segments("length(word)", k)
+    index = words.where(F.length("word") > short).select("word", F.explode(F.expr(
+        f"transform({pieces}, i -> struct(length(word) as length, i as i, substring(word, {start} + 1, {size}) as piece))")).alias("s"))
+    start, size = _segments("l", k)
+    probes = F.expr(f"""
+        filter(flatten(transform(sequence(greatest({short + 1}, length(query) - {k}), length(query) + {k}), l ->
+          flatten(transform({pieces}, i -> transform(sequence(-{k}, {k}), s ->
+            struct(l as length, i as i, {start} + s as at, {size} as size)))))),
+          p -> p.at >= 0 and p.at + p.size <= length(query))""")
+    probe = queries.where(F.length("query") + k > short).select("query", F.explode(probes).alias("p")).select(
+        "query", "p.length", "p.i", F.expr("substring(query, p.at + 1, p.size)").alias("piece")).distinct()
+    long = probe.join(index.select("word", "s.*"), ["length", "i", "piece"]).select("query", "word")
+    return pairs.unionByName(long).distinct()
+
+
 def score_pairs(pairs: DataFrame, k: int | None = None) -> DataFrame:
     """Add the edit distance ``dist`` of ``query`` and ``word``; with ``k``, keep pairs within it.
 
@@ -32,9 +69,13 @@ def score_pairs(pairs: DataFrame, k: int | None = None) -> DataFrame:
     return scored if k is None else scored.where(F.col("dist") <= k)
 
 
-def suggestions(queries: DataFrame, words: DataFrame, k: int, keep: str = "closest") -> DataFrame:
+def suggestions(
+    queries: DataFrame, words: DataFrame, k: int, keep: str = "closest", segments: bool | None = None
+) -> DataFrame:
     """``(query, word, dist, cnt)``: dictionary words within edit distance ``k`` of each distinct query.
 
+    ``segments`` says how they are found; by default delete variants up to ``k`` = 2 and segments beyond.
+
     ``queries`` has a column ``query``; ``words`` has ``word`` (unique) and ``cnt``. ``closest`` keeps the words at the
     least distance of their query (an exact hit stands alone), ``all`` keeps every word within ``k``.
     """
@@ -47,11 +88,14 @@ def suggestions(queries: DataFrame, words: DataFrame, k: int, keep: str = "close
     exact = queries.join(words, F.col("query") == F.col("word"), "left").select(
         "query", F.col("word").isNotNull().alias("known"))
     open_queries = exact.where(~F.col("known")).select("query") if keep == "closest" else queries
-    pairs = (
-        _with_deletes(open_queries, "query", k)
-        .join(_with_deletes(words.select("word"), "word", k), "key")
-        .select("query", "word").distinct()
-    )
+    if k > 2 if segments is None else segments:
+        pairs = segment_pairs(open_queries, words, k)
+    else:
+        pairs = (
+            _with_deletes(open_queries, "query", k)
+            .join(_with_deletes(words.select("word"), "word", k), "key")
+            .select("query", "word").distinct()
+        )
     near = score_pairs(pairs, k)
     if keep == "closest":
         least = F.min("dist").over(W.partitionBy("query"))
