@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwright import fixed
-from tagwright.catalog.base import query, rounded
+from tagwright.catalog.base import query, rounded, tokens
 from tagwright.catalog.lookups import _index, _is_train, _tree_long, _usable
 from tagwright.functions import category
 from tagwright.functions import text as X
+from tagwright.functions.hashing import bucket_codes
 from tagwright.operators import clean, encode, features, models, vocabulary
 from tagwright.operators.stages import CountBlock, DropByDf
 from tagwright.plans import flows
@@ -46,6 +47,43 @@ def hashed_features(t: DataFrame) -> DataFrame:
         rounded(F.sum(F.col("value") * (bucket % 1000)), "weighted"))
 
 
+_M = 4294967295
+_MUL = "(({x})::HUGEINT * {f} % 4294967296)::BIGINT"
+_ROT = "((({x}) << {r}) | (({x}) >> {s})) & 4294967295"
+
+
+def _mixed_sql(k: str) -> str:
+    turned = _ROT.format(x=_MUL.format(x=k, f=0xCC9E2D51), r=15, s=17)
+    return _MUL.format(x=turned, f=0x1B873593)
+
+
+def _four_bytes(at: str) -> str:
+    return "('0x' || " + " || ".join(f"substr(d, {at} + {i}, 2)" for i in (7, 5, 3, 1)) + ")::BIGINT"
+
+
+_BLOCK_SQL = _ROT.format(x=f"xor(h, {_mixed_sql('k')})", r=13, s=19)
+
+
+@query("murmur_buckets", f"""
+SELECT token, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END % {fixed.HASH_BUCKETS} AS bucket, h >= 2147483648 AS negative
+FROM (SELECT token, xor(h, h >> 16) AS h
+FROM (SELECT token, {_MUL.format(x='xor(h, h >> 13)', f=0xC2B2AE35)} AS h
+FROM (SELECT token, {_MUL.format(x='xor(h, h >> 16)', f=0x85EBCA6B)} AS h
+FROM (SELECT token, xor(xor(h, {_mixed_sql('tail')}), n) AS h
+FROM (SELECT token, n, ('0x' || t[7:8] || t[5:6] || t[3:4] || t[1:2])::BIGINT AS tail, list_reduce(
+        list_concat([0::BIGINT], list_transform(range(0, n // 4), lambda i: {_four_bytes('8 * i')})),
+        lambda h, k: (({_BLOCK_SQL}) * 5 + 3864292196) & {_M}) AS h
+FROM (SELECT token, d, (len(d) // 2)::BIGINT AS n, rpad(substr(d, (len(d) // 8) * 8 + 1, 8), 8, '0') AS t
+FROM (SELECT token, hex(encode(token)) AS d FROM (
+  SELECT DISTINCT unnest({tokens('lower(name)', fixed.WORD_TOKEN)}) AS token FROM t))))))))""")
+def murmur_buckets(t: DataFrame) -> DataFrame:
+    """Buckets and signs of the words of names as the original vectoriser has them."""
+    words = t.select(F.explode(X.word_tokens(F.lower("name"))).alias("token")).distinct()
+    code = F.get(bucket_codes(F.array("token"), method="murmur3"), F.lit(0))
+    return words.select("token", code.alias("code")).select(
+        "token", F.shiftright("code", 1).alias("bucket"), (F.col("code") % 2 == 1).alias("negative"))
+
+
 @query("count_features", """
 SELECT item_id, block, count(*) AS n, CAST(sum(value) AS BIGINT) AS n_tokens, CAST(sum(fid) AS BIGINT) AS sum_fid
 FROM tree_long JOIN tree_features USING (block, feature) GROUP BY item_id, block""", "tree_long tree_features")
