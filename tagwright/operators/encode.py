@@ -13,6 +13,7 @@ from tagwright.operators.vocabulary import sequence_tokens
 from tagwright.storage import store
 
 LABEL_COLUMNS = ("brand_name", "cat_1", "cat_2", "cat_3")
+_NO_LABEL = "null"
 
 
 def stacked_labels(rows: DataFrame, columns: tuple[str, ...] = LABEL_COLUMNS) -> DataFrame:
@@ -107,13 +108,40 @@ def model_input_row(
     rows: DataFrame, index: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("item_id",),
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """The embedding model's named inputs. Codes are looked up first and ride along, so no second join is needed."""
-    coded = label_codes(rows, labels, max_bytes=max_bytes)
-    carried = (*keep, "brand_name_code", "cat_1_code", "cat_2_code", "cat_3_code", "item_condition_id", "shipping")
-    inputs = padded_sequences(texts_to_sequences(coded, index, keep=carried, max_bytes=max_bytes))
+    """The embedding model's named inputs: words and labels of all columns in one lookup and one grouping.
+
+    Every word and every label is a narrow row ``(*keep, field, pos, token)``, so no text is carried through the join. A
+    label that was not fitted raises.
+    """
+    texts = ("name", "item_description")
+
+    def words_of(c: str) -> Column:
+        return F.transform(sequence_tokens(c), lambda t, i: F.struct(F.lit(c).alias("field"), i.alias("pos"), t.alias("token")))
+
+    def label_of(c: str) -> Column:
+        token = F.coalesce(F.col(c).cast("string"), F.lit(_NO_LABEL))
+        return F.array(F.struct(F.lit(c).alias("field"), F.lit(0).alias("pos"), token.alias("token")))
+
+    carried = (*keep, "item_condition_id", "shipping")
+    long = rows.select(*carried, F.explode(F.concat(*[words_of(c) for c in texts], *[label_of(c) for c in LABEL_COLUMNS])).alias("t"))
+    kind = F.when(F.col("t.field").isin(*texts), "").otherwise(F.col("t.field"))
+    long = long.select(*carried, "t.field", "t.pos", kind.alias("kind"), "t.token")
+    table = index.select(F.lit("").alias("kind"), "token", "idx").unionByName(
+        labels.select(F.col("column").alias("kind"), F.col("label").alias("token"), F.col("code").alias("idx")))
+    hit = lookup_join(long, store(table, "words-and-labels"), ["kind", "token"], "left", max_bytes=max_bytes)
+    found = F.col("idx").isNotNull()
+    sequence = lambda c: F.sort_array(F.collect_list(F.when(found & (F.col("field") == c), F.struct("pos", "idx"))))
+    grouped = hit.groupBy(*carried).agg(
+        *[sequence(c).alias(c) for c in texts],
+        *[F.max(F.when(F.col("field") == c, F.struct(F.col("idx"), F.col("token")))).alias(c) for c in LABEL_COLUMNS])
+
+    def code(c: str) -> Column:
+        unseen = F.raise_error(F.concat(F.lit(f"unseen label in {c}: "), F.col(f"{c}.token")))
+        return F.when(F.col(f"{c}.idx").isNull(), unseen.cast("int")).otherwise(F.col(f"{c}.idx"))
+
+    numbers = [F.transform(c, lambda e: e["idx"]).alias(f"{c}_seq") for c in texts]
+    inputs = padded_sequences(grouped.select(*carried, *numbers, *[code(c).alias(c) for c in LABEL_COLUMNS]))
     return inputs.select(
-        *keep, F.col("name_seq").alias("name"), F.col("item_description_seq").alias("item_desc"),
-        F.col("brand_name_code").alias("brand_name"), F.col("cat_1_code").alias("cat_1"),
-        F.col("cat_2_code").alias("cat_2"), F.col("cat_3_code").alias("cat_3"),
+        *keep, F.col("name_seq").alias("name"), F.col("item_description_seq").alias("item_desc"), *LABEL_COLUMNS,
         F.col("item_condition_id").alias("item_condition"), F.col("shipping").alias("num_vars"),
     )
