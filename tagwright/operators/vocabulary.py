@@ -9,7 +9,7 @@ from tagwright import fixed
 from tagwright.functions import text
 from tagwright.functions.arrays import counted
 from tagwright.operators.lookup import lookup_join
-from tagwright.operators.ranking import with_rank
+from tagwright.operators.ranking import kth_smallest, with_rank
 from tagwright.storage import store
 
 
@@ -106,7 +106,11 @@ def vocabulary_ranks(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary_top_k(counts: DataFrame, k: int) -> DataFrame:
-    return vocabulary_ranks(counts).where(F.col("rank") <= k)
+    """The first ``k`` terms of ``vocabulary_ranks``; only terms that reach the k-th highest count are sorted."""
+    counts = store(counts, "term-counts")  # read by several passes
+    least = kth_smallest(counts.select((-F.col("cnt")).alias("minus")), "minus", k)
+    reaching = counts if least is None else counts.where(F.col("cnt") >= -least)
+    return vocabulary_ranks(reaching).where(F.col("rank") <= k)
 
 
 def sequence_tokens(column: str) -> Column:
@@ -116,8 +120,8 @@ def sequence_tokens(column: str) -> Column:
 def token_index(train: DataFrame, max_words: int = fixed.MAX_WORDS) -> DataFrame:
     """``(token, idx)`` over the train descriptions and names; only indices below ``max_words`` exist."""
     texts = stack_text_columns(train, "item_description", "name")
-    ranked = vocabulary_ranks(token_counts(texts, sequence_tokens("text")))
-    return ranked.where(F.col("rank") < max_words).select("token", F.col("rank").cast("int").alias("idx"))
+    ranked = vocabulary_top_k(token_counts(texts, sequence_tokens("text")), max_words - 1)
+    return ranked.select("token", F.col("rank").cast("int").alias("idx"))
 
 
 def stack_text_columns(rows: DataFrame, *columns: str) -> DataFrame:
