@@ -3,9 +3,10 @@
 A page is cut into lines at block elements. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are left out by their element, role, class or id. All other lines, inside and
 outside ``article`` and ``main`` elements, are compared with those of the page whose URL is nearest on the same host and
-which is no copy: both pages' lines are aligned by a longest common subsequence, and the shared ones are deleted.
+which is no copy: both pages' lines are aligned by a longest common subsequence, and the shared ones are deleted. A line
+inside an article goes only if it is common on the host as well, as two articles may well share a paragraph.
 
-Copies say nothing about boilerplate. Pages of a host with equal lines count as one content, which lies at its least
+Copies say nothing about boilerplate. Pages of a host with equal lines, inside and outside articles, count as one content, which lies at its least
 path. Contents are sorted by host and path; two are copies when they share more than ``COPY_SHARE`` percent of their own
 lines: those inside articles where there are any, without the lines that are common on the host (on more than half of
 its contents, and on three at least). Neighbours that are copies form runs. Of the contents next to a run before and
@@ -51,6 +52,11 @@ _NAMES = (
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification popup promo "
     "promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar")
 _DROP_NAME = re.compile(rf"(?:{'|'.join(_NAMES.split())})(?:[-_].*)?|.*[-_](?:header|footer|menu|nav|navigation|comments?)")
+# Inside an article only names that say nothing else: one of the names, with or without words for a container around it.
+_BOXES = "area bar block box button buttons container form inner item items link links list section thread widget wrap wrapper"
+_INNER = "|".join(n for n in _NAMES.split() if n not in ("header", "masthead", "banner"))
+_DROP_INNER = re.compile(rf"(?:(?:{'|'.join(_BOXES.split())})[-_])*(?:{_INNER})(?:[-_](?:{'|'.join(_BOXES.split())}))*")
+_LCS_BITS = 2**28  # 32 MiB: a larger alignment is cut in two
 _OPEN_CONTENT = frozenset(("article", "main"))
 
 
@@ -80,8 +86,10 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or (name == "role" and (value or "").lower() in _ROLES):
                 return True
-            if name in ("class", "id") and any(_DROP_NAME.fullmatch(x) for x in (value or "").lower().split()):
-                return True
+            if name in ("class", "id"):
+                dropped = _DROP_INNER if self.content else _DROP_NAME
+                if any(dropped.fullmatch(x) for x in (value or "").lower().split()):
+                    return True
         return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -140,27 +148,57 @@ def page_lines(html: str | None) -> list[tuple[bool, str]]:
     return reader.lines
 
 
-def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places in ``a`` that a longest common subsequence of ``a`` and ``b`` uses, by bit vectors over ``b``."""
+def _grown(a: np.ndarray, b: np.ndarray) -> Iterator[int]:
+    """After each line of ``a`` the places of ``b``, as bits, where a longest common subsequence does not grow."""
     where: dict[int, int] = {}
     for j, x in enumerate(b.tolist()):
         where[x] = where.get(x, 0) | 1 << j
     every = (1 << len(b)) - 1
-    v, rows = every, []
-    for x in a.tolist():  # a zero bit j in a row: the subsequence grows at place j of b
+    v = every
+    for x in a.tolist():
         hit = v & where.get(x, 0)
         v = ((v + hit) | (v - hit)) & every
-        rows.append(v)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
-            i -= 1
-        else:
-            out.append(i - 1)
-            i, j = i - 1, j - 1
-    return out[::-1]
+        yield v
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each beginning of ``b``."""
+    v = (1 << len(b)) - 1
+    for v in _grown(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def shared_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in ``a`` that a longest common subsequence of ``a`` and ``b`` uses, by bit vectors over ``b``.
+
+    Equal beginnings and ends are taken off first. What is left is aligned at once if its bits fit ``_LCS_BITS``; else ``a`` is
+    halved and ``b`` cut where the halves share most, so memory stays bounded for pages of any length.
+    """
+    n = min(len(a), len(b))
+    head = int(np.argmin(np.append(a[:n] == b[:n], False)))
+    n -= head
+    tail = int(np.argmin(np.append(a[::-1][:n] == b[::-1][:n], False)))
+    out = list(range(head))
+    middle, other = a[head:len(a) - tail], b[head:len(b) - tail]
+    if len(middle) * len(other) > _LCS_BITS and len(middle) > 1:
+        half = len(middle) // 2
+        cut = int((_lengths(middle[:half], other) + _lengths(middle[half:][::-1], other[::-1])[::-1]).argmax())
+        out += [head + i for i in shared_lines(middle[:half], other[:cut])]
+        out += [head + half + i for i in shared_lines(middle[half:], other[cut:])]
+    else:
+        rows, found, i, j = list(_grown(middle, other)), [], len(middle), len(other)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+                i -= 1
+            else:
+                found.append(head + i - 1)
+                i, j = i - 1, j - 1
+        out += found[::-1]
+    return out + list(range(len(a) - tail, len(a)))
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -200,7 +238,8 @@ def _open_lines(pages: DataFrame) -> DataFrame:
 
 
 def _own_lines(contents: DataFrame) -> DataFrame:
-    """``contents`` (stored) with ``own``: the lines by which copies are told."""
+    """``contents`` (stored) with ``own``, the lines by which copies are told, and ``safe``, a byte for each line: inside an
+    article and not common on the host."""
 
     def each_line(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lines = [np.unique(np.frombuffer(b.as_buffer(), dtype=np.int64)) for b in batch.column(2)]
@@ -216,16 +255,17 @@ def _own_lines(contents: DataFrame) -> DataFrame:
     held = store(held.groupBy("content").agg(F.collect_list("line").alias("common")), "html-held")
 
     def own(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, safe = [], []
         for lines, inside, common in zip(*[c.to_pylist() for c in batch.columns[4:]]):
             lines, inside = np.frombuffer(lines, dtype=np.int64), np.frombuffer(inside, dtype=bool)
-            lines = lines[inside] if inside.any() else lines
-            out.append(lines[~np.isin(lines, np.array(common or [], dtype=np.int64))].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())],
-                                         ["content", "host", "path", "rank", "lines", "own"])
+            rare = ~np.isin(lines, np.array(common or [], dtype=np.int64))
+            safe.append((inside & rare).tobytes())
+            out.append(lines[(inside if inside.any() else True) & rare].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary()), pa.array(safe, pa.binary())],
+                                         ["content", "host", "path", "rank", "lines", "own", "safe"])
 
     wide = attach(contents, held, ["content"], "left").select("content", "host", "path", "rank", "lines", "inside", "common")
-    return map_batches(wide, own, "content bigint, host string, path string, rank bigint, lines binary, own binary")
+    return map_batches(wide, own, "content bigint, host string, path string, rank bigint, lines binary, own binary, safe binary")
 
 
 def _copies(a: bytes, b: bytes) -> bool:
@@ -252,51 +292,79 @@ def _runs(ranked: DataFrame) -> DataFrame:
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
     """``row`` and ``shared``, the places (32-bit, among the page's lines) shared with the nearest page that is no copy."""
-    opened = store(_open_lines(pages).withColumn("content", F.xxhash64("host", "lines")), "html-open")
+    opened = store(_open_lines(pages).withColumn("content", F.xxhash64("host", "lines", "inside")), "html-open")
     least = F.min(F.struct("path", "row", "host", "lines", "inside")).alias("m")
     contents = opened.where("length(lines) > 0").groupBy("content").agg(least).select("content", "m.*").drop("row")
     contents = store(with_rank(contents, ["host", "path", "content"], "rank", 0), "html-ranked")
     ranked = store(_runs(store(_own_lines(contents), "html-own")), "html-copies")
-    side = lambda s: ranked.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rank", "host", "path", "lines", "own", "first", "last")])
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def differ(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        for content, path, lines, own, low, high, *sides in zip(*[c.to_pylist() for c in batch.columns]):
-            near = [s for s in (sides[:3], sides[3:]) if s[0] is not None]
+        for content, path, lines, safe, *sides in zip(*[c.to_pylist() for c in batch.columns]):
+            near = [s for s in (sides[:2], sides[2:]) if s[0] is not None]
             near.sort(key=lambda s: -_common(path, s[0]))  # stable: the one before goes first
-            other = next((s[1] for s in near if not _copies(own, s[2])), None)
-            found = shared_lines(np.frombuffer(lines, dtype=np.uint64), np.frombuffer(other, dtype=np.uint64)) if other else []
-            out.append((content, np.array(found, dtype=np.int32).tobytes(), bool(near) and other is None, low, high))
+            found = np.array(shared_lines(np.frombuffer(lines, dtype=np.uint64), np.frombuffer(near[0][1], dtype=np.uint64))
+                             if near else [], dtype=np.int32)
+            out.append((content, found[~np.frombuffer(safe, dtype=bool)[found]].tobytes()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()))],
-            ["content", "shared", "open", "low", "high"])
+            [pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 2, (pa.int64(), pa.binary()))], ["content", "shared"])
+
+    near = ranked.select("content", "path", "lines", "safe", "host", "rank")
+    for s, at in (("a", "low"), ("b", "high")):
+        partner = store(_partners(ranked, at), f"html-{at}")
+        found = ranked.select(F.col("rank").alias(at), *[F.col(c).alias(f"{c}_{s}") for c in ("path", "lines")])
+        near = attach(near, partner, ["rank"], "left")
+        near = attach(near, store(found.join(partner.select(at).distinct(), at, "left_semi"), "html-side"), [at], "left")
+    wide = near.select("content", "path", "lines", "safe", "path_a", "lines_a", "path_b", "lines_b")
+    done = store(map_batches(wide, differ, "content bigint, shared binary").where("length(shared) > 0"), "html-done")
+    return attach(opened.select("row", "content"), done, ["content"], "inner").select("row", "shared")
 
-    left, done = ranked.select("*", (F.col("first") - 1).alias("low"), (F.col("last") + 1).alias("high")), None
+
+def _partners(ranked: DataFrame, side: str) -> DataFrame:
+    """``rank`` and the rank of the nearest content of the host before (``low``) or behind (``high``) it that is no copy.
+
+    The next content beyond a run is taken unless it is a copy after all; then the one beyond its run, and so on. Contents
+    that have to go on look 1, 2, 4, ... runs further at a time, so a host of many runs takes few rounds.
+    """
+    beyond = F.col("first") - 1 if side == "low" else F.col("last") + 1
+    facts = ranked.select("rank", "host", "own", beyond.alias("next"))
+    held = store(facts.select(F.col("rank").alias("at"), F.col("host").alias("host_at"), F.col("own").alias("own_at"),
+                              F.col("next").alias("next_at")), "html-facts")
+
+    def copies(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        same = [_copies(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[4:], pa.array(same, pa.bool_())],
+                                         ["rank", "at", "next_at", "step", "copy"])
+
+    open_, done, reach = facts.select("rank", F.col("next").alias("at"), F.lit(0).alias("step")), None, 1
+    jumps = [held.select("at", F.col("next_at").alias("then"))]  # the content 1, 2, 4, ... runs on
     while True:
-        near = left
-        for s, at in (("a", "low"), ("b", "high")):
-            known = side(s).withColumnRenamed(f"rank_{s}", at)
-            near = attach(near, store(known, "html-side"), [at], "left")
-            same = F.col(f"host_{s}") == F.col("host")
-            near = near.withColumns({c: F.when(same, F.col(c)) for c in (f"path_{s}", f"lines_{s}", f"own_{s}")})
-        beyond = [F.coalesce(F.when(F.col("host_a") == F.col("host"), F.col("first_a") - 1), "low").alias("low"),
-                  F.coalesce(F.when(F.col("host_b") == F.col("host"), F.col("last_b") + 1), "high").alias("high")]
-        wide = near.select("content", "path", "lines", "own", *beyond, "path_a", "lines_a", "own_a", "path_b", "lines_b", "own_b")
-        found = store(map_batches(wide, work, "content bigint, shared binary, open boolean, low bigint, high bigint"), "html-near")
-        part = found.where("not open and length(shared) > 0").select("content", "shared")
-        done = part if done is None else done.unionByName(part)
-        again = store(found.where("open").select("content", "low", "high"), "html-again")
-        if again.isEmpty():
-            break
-        left = attach(ranked, again, ["content"], "inner")
-    return attach(opened.select("row", "content"), store(done, "html-done"), ["content"], "inner").select("row", "shared")
+        near = attach(attach(open_, facts.select("rank", "host", "own"), ["rank"], "inner"), held, ["at"], "inner")
+        near = near.where(F.col("host") == F.col("host_at")).select("rank", "at", "own", "own_at", "next_at", "step")
+        tried = store(map_batches(near, copies, "rank bigint, at bigint, next_at bigint, step int, copy boolean"), f"html-{side}-tried")
+        hits = tried.where("not copy").groupBy("rank").agg(F.min_by("at", "step").alias(side))
+        hits = store(hits, f"html-{side}-found")
+        done = hits if done is None else done.unionByName(hits)
+        last = tried.groupBy("rank").agg(F.count("*").alias("n"), F.max_by("next_at", "step").alias("at"))
+        rest = store(last.where(F.col("n") == reach).join(hits, "rank", "left_anti").select("rank", "at"), f"html-{side}-rest")
+        if rest.isEmpty():
+            return done
+        open_, ahead, reach = rest.withColumn("step", F.lit(0)), 1, reach * 2
+        for k in range(reach.bit_length() - 1):
+            if k == len(jumps):
+                two = jumps[-1].select(F.col("at").alias("then"), F.col("then").alias("after"))
+                jumps.append(store(attach(jumps[-1], two, ["then"], "inner").select("at", F.col("after").alias("then")), "html-jump"))
+            moved = attach(open_, jumps[k], ["at"], "inner").select(
+                "rank", F.col("then").alias("at"), (F.col("step") + ahead).alias("step"))
+            open_, ahead = store(open_.unionByName(moved), f"html-{side}-open"), 2 * ahead
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every row.
 
     White space inside a line becomes one space; lines are joined by one space. A null or empty html gives an empty text. Pages
-    with a null or broken URL share the empty host. Repeated rows are copies of each other. Other columns are not looked at.
+    with a null or broken URL share the empty host, rows with a null key are pages like others. Repeated rows are copies of each
+    other. Pages of any length are read whole; an empty table gives no rows. Other columns are not looked at.
     """
     row = F.xxhash64(key, url, html)
     named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), row.alias("row"))
