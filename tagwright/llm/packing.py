@@ -10,7 +10,8 @@ When a queue runs dry the others go on in their proportions, so every token is p
 not full. Without given targets the weights follow what the queues still hold, and all run dry together.
 
 The plan of the queues is held by every task, so sources below ``MIN_SHARE`` of all tokens come out of one queue of it,
-in which they are mixed in turn: each is cut into portions of what a window owes it (one token at least), a portion whose
+in which they are mixed in turn: each is cut into portions of what a window owes it, and at least ``LEAST_PORTION`` tokens,
+for which it saves up its deficit over several windows. A portion whose
 middle is at ``m`` of ``size`` tokens is due at the share ``m / size`` of that queue, and all portions are laid down in
 the order in which they are due. So a window's part of the small sources holds each in its proportion to within a
 portion of its own, what is owed is carried on, and all run dry together. The order comes from a range-partitioned sort.
@@ -38,6 +39,7 @@ from tagwright.storage import scratch_path, store
 
 WINDOW = 2048
 MIN_SHARE = 1 / 64
+LEAST_PORTION = 64
 _PORTIONS = 10_000  # rows of a batch
 _WEIGHTS = 2**24  # sum of the weights of a phase
 _PHASE = 2**38  # longest phase in tokens, so products of weights and places fit 64 bits
@@ -139,7 +141,7 @@ def _mixed(small: DataFrame, windows: int) -> DataFrame:
     def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, low, n, queue, width, ids, _, doc_tokens, source, size in zip(*[c.to_pylist() for c in batch.columns]):
-            step = max(1, size // windows)
+            step = max(LEAST_PORTION, size // windows)
             first = low - low % step
             for begin in range(first, low + n, step):
                 a, b = max(begin, low), min(begin + step, low + n)
@@ -175,8 +177,9 @@ def pack(
 
     ``tokenizer`` is the file of a tokenizer that drops white space; ``end_id`` is added to every document.
     ``targets`` gives weights of sources (others get none and are packed when those are done); by default sources keep
-    the shares they have in the corpus. A null text has only the end id; a null source is a source of its own. Repeated
-    rows are packed each; other columns are not looked at. An empty table gives no pieces.
+    the shares they have in the corpus. A null or empty text has only the end id; a null source is a source of its own; a
+    null key stays null. Texts of any length are packed whole. Repeated rows are packed each; other columns are not
+    looked at. An empty table gives no pieces.
     """
     tokens = token_table(docs, tokenizer, end_id, key, text, source)
     spent = store(tokens.groupBy("task", "source").agg(F.sum("n").alias("n")), "packing-spent")
