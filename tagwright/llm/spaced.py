@@ -16,7 +16,7 @@ short runs only when the benchmark has such items.
 
 The hashes of the benchmark are brought to the documents when their measured size is at most ``FILTER_BYTES``, so the
 documents are not shuffled. Beyond that the hashes of both sides meet in a join, in which a hash that most documents
-hold meets its items by broadcast (``lookup_join``); the verification is the same.
+hold is split by the adaptive skew join; the verification is the same.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tagwright.llm import words as W
 from tagwright.llm.shared import attach, map_batches
-from tagwright.operators.lookup import lookup_join, measured_bytes
+from tagwright.operators.lookup import measured_bytes
 from tagwright.storage import store
 
 MASKS = ("1111011", "110100010011", "110101011", "1110111")  # 1: the word counts
@@ -38,6 +38,7 @@ MIN_WORDS = 13
 MIN_EQUAL = 80
 FILTER_BYTES = 64 * 2**20
 _KEY_BITS = 20
+_HITS = 2**21  # pairs of a seed's place and an item held at once
 
 
 def _run(words: int, min_equal: int) -> str:
@@ -118,28 +119,26 @@ class _Index:
         self.some = np.zeros(2**_KEY_BITS, dtype=bool)
         self.some[(self.hashes >> np.uint64(64 - _KEY_BITS)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (index into ``hashes``, index into the table) of equal hashes."""
+    def hits(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (index into ``hashes``, index into the table) of equal hashes, for some documents at a time.
+
+        ``doc`` is the document of each hash. A seed that many items share makes many pairs; no more than ``_HITS`` are
+        held at once, or those of one document.
+        """
         maybe = np.flatnonzero(self.some[(hashes >> np.uint64(64 - _KEY_BITS)).astype(np.int64)])
+        maybe = maybe[np.argsort(doc[maybe], kind="stable")]
         low = np.searchsorted(self.hashes, hashes[maybe], "left")
         n = np.searchsorted(self.hashes, hashes[maybe], "right") - low
-        where = np.repeat(maybe, n)
-        inside = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
-        return where, np.repeat(low, n) + inside
-
-
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best stretch of the item laid over the document at ``shift``: first item word, end, equal words."""
-    low, high = max(0, -shift), min(len(item), len(doc) - shift)
-    if high <= low:
-        return 0, 0, 0
-    same = doc[low + shift:high + shift] == item[low:high]
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(np.argmax(gain))
-    start = int(np.argmin(sums[:end + 1][::-1]))
-    start = end - start
-    return low + start, low + end, int(same[start:end].sum())
+        maybe, low, n = maybe[n > 0], low[n > 0], n[n > 0]
+        if not len(maybe):
+            return
+        first = np.flatnonzero(np.diff(doc[maybe], prepend=-1))  # where the documents begin
+        part = (np.cumsum(n) - n)[first] // _HITS
+        cuts = np.append(first[np.flatnonzero(np.diff(part, prepend=-1))], len(maybe))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            where = np.repeat(maybe[a:b], n[a:b])
+            inside = np.arange(len(where)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            yield where, np.repeat(low[a:b], n[a:b]) + inside
 
 
 def longest_overlap(doc: np.ndarray, item: np.ndarray, shift: int, min_equal: int) -> tuple[int, int, int]:
@@ -180,8 +179,9 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that overlap, with the largest overlap (words, counted from 0).
 
-    Null and empty texts overlap with nothing. An item shorter than ``min_words`` must be met as a whole.
-    Equal items give a row each; repeated items or documents with the same id one row. Other columns are not looked at.
+    Null and empty texts overlap with nothing. An item shorter than ``min_words`` must be met as a whole. Texts of any
+    length are looked at whole. Equal items give a row each; repeated items or documents with the same id one row, and so do
+    those with a null id, which count as one. Empty tables give no rows. Other columns are not looked at.
     """
     bench = benchmark.select(F.col("item_id").cast("bigint"), F.col("text"))
     items = store(_items(bench).dropDuplicates(), "spaced-items")
@@ -220,21 +220,19 @@ def _filtered(
             rows = []
             for low, _, w in _word_hashes(batch.column(1)):
                 seed, at = _seeds(w, masks)
-                where, entry = index.hits(seed)
-                if not len(where):
-                    continue
-                doc = w.doc[at[where]]
-                shift = at[where] - w.first[doc] - index.places[entry]
-                every = np.unique(np.column_stack([doc, index.items[entry], shift]), axis=0)
-                pairs: dict[tuple[int, int], list[int]] = {}
-                for d, i, s in every.tolist():
-                    pairs.setdefault((d, i), []).append(s)
-                for (d, i), shifts in pairs.items():
-                    mine = w.hashes[w.first[d]:w.first[d + 1]]
-                    for item in words[i]:
-                        best = _best(mine, item, shifts, min_words, min_equal)
-                        if best:
-                            rows.append((batch.column(0)[low + d].as_py(), i, *best))
+                for where, entry in index.hits(seed, w.doc[at]):
+                    doc = w.doc[at[where]]
+                    shift = at[where] - w.first[doc] - index.places[entry]
+                    every = np.unique(np.column_stack([doc, index.items[entry], shift]), axis=0)
+                    pairs: dict[tuple[int, int], list[int]] = {}
+                    for d, i, s in every.tolist():
+                        pairs.setdefault((d, i), []).append(s)
+                    for (d, i), shifts in pairs.items():
+                        mine = w.hashes[w.first[d]:w.first[d + 1]]
+                        for item in words[i]:
+                            best = _best(mine, item, shifts, min_words, min_equal)
+                            if best:
+                                rows.append((batch.column(0)[low + d].as_py(), i, *best))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*rows))], _NAMES)
@@ -260,10 +258,8 @@ def _joined(
     rows = store(rows, "spaced-rows")
     known = store(seeds.select("hash").distinct(), "spaced-known")
     rows = store(attach(rows, known, ["hash"], "left_semi"), "spaced-met")
-    grouped = seeds.groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_pos")).alias("in"))
-    met = lookup_join(rows, store(grouped, "spaced-lists"), ["hash"], "inner", stored=True)
-    met = met.select("row", "pos", F.explode("in").alias("e")).select(
-        "row", F.col("e.item_id").alias("item_id"), (F.col("pos") - F.col("e.item_pos")).alias("shift"))
+    # one row per place and item: a seed that many items share is split by the adaptive skew join, no list of them is held
+    met = rows.join(seeds.hint("merge"), "hash").select("row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     pairs = store(met.distinct().groupBy("row", "item_id").agg(F.collect_list("shift").alias("shifts")), "spaced-pairs")
     some = store(pairs.select("row").distinct(), "spaced-some")
     texts = store(attach(ids, some, ["row"], "left_semi"), "spaced-texts")
