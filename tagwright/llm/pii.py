@@ -178,21 +178,22 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 def _found(docs: DataFrame) -> DataFrame:
     """Base spans and other possible identifiers: ``key``, ``row``, ``kind`` (null: unknown), ``start``, ``end``,
-    ``instance``, ``patterns``; one row without a span per text keeps every document in the table."""
+    ``instance``, ``patterns``, ``fits`` (kinds an unknown one could be of); one row without a span per text keeps every document in the table."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for key, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             text = text.as_py() or ""
             spans = base_spans(text)
-            rows.append((key, row, None, None, None, None, [], _listed(spans), *[sum(s[0] == k for s in spans) for k in KINDS]))
-            none = (None,) * 5
+            rows.append((key, row, None, None, None, None, [], _listed(spans), *[sum(s[0] == k for s in spans) for k in KINDS], None))
+            none = (None,) * 6
             rows += [(key, row, k, a, b, text[a:b], _patterns(text, a, b), *none) for k, a, b in spans]
             for a, b in sorted({*_marked_words(text), *_wider(text)}):
-                if not any(s < b and a < e for _, s, e in spans) and any(_fits(k, text[a:b]) for k in KINDS):
-                    rows.append((key, row, None, a, b, text[a:b], _patterns(text, a, b), *none))
+                fits = [k for k in KINDS if _fits(k, text[a:b])]
+                if fits and not any(s < b and a < e for _, s, e in spans):
+                    rows.append((key, row, None, a, b, text[a:b], _patterns(text, a, b), *none[1:], fits))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(),
-                 *[pa.int64()] * 4]
+                 *[pa.int64()] * 4, pa.list_(pa.string())]
         columns = list(zip(*rows)) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _COLUMNS)
 
@@ -200,7 +201,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 _SCHEMA = ("key bigint, row bigint, kind string, start int, end int, instance string, patterns array<string>, base string, "
-           "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint")
+           "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, fits array<string>")
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -214,12 +215,12 @@ def learn(found: DataFrame, rounds: int | None = None) -> DataFrame:
     It ends when a round adds nothing, or after ``rounds`` where given.
     """
     edges = found.where("instance is not null").select(
-        F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
+        F.explode("patterns").alias("pattern"), "instance", "kind", "fits").distinct()
     edges = store(edges, "pii-edges")
     spark = found.sparkSession
     known = spark.createDataFrame([], "instance string, taken string")
     for _ in count() if rounds is None else range(rounds):
-        now = edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("kind", "taken").alias("kind"))
+        now = edges.join(known, "instance", "left").select("pattern", "instance", F.coalesce("kind", "taken").alias("kind"), "fits")
         per_pattern = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in KINDS]
         counts = now.groupBy("pattern").agg(*per_pattern, F.sum(F.when(F.col("kind").isNull(), 1).otherwise(0)).alias("unknown"))
         per_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS]))
@@ -227,13 +228,12 @@ def learn(found: DataFrame, rounds: int | None = None) -> DataFrame:
         rules = counts.withColumn("all", total).select("pattern", "unknown", "all", per_kind.alias("r"))
         rules = rules.where((F.col("r.n") >= MIN_SUPPORT) & (F.col("r.n") >= MIN_CONFIDENCE * F.col("all")) & (F.col("unknown") > 0))
         rules = store(rules.select("pattern", F.col("r.kind").alias("said"), (F.col("r.n") / F.col("all")).alias("trust")), "pii-rules")
-        hits = attach(now.where("kind is null").select("pattern", "instance"), rules, ["pattern"], "inner")
+        hits = attach(now.where("kind is null").select("pattern", "instance", "fits"), rules, ["pattern"], "inner")
+        hits = hits.where(F.array_contains("fits", F.col("said")))
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
         scored = hits.groupBy("instance", "said").agg((1 - doubt).alias("score")).where(F.col("score") >= MIN_SCORE)
         best = scored.groupBy("instance").agg(F.max(F.struct("score", "said")).alias("b"))
-        fits = F.udf(_fits, "boolean", useArrow=False)  # one call per newly taken instance
-        new = best.select("instance", F.col("b.said").alias("taken")).where(fits("taken", "instance"))
-        new = store(new, "pii-new")
+        new = store(best.select("instance", F.col("b.said").alias("taken")), "pii-new")
         if new.isEmpty():
             break
         known = store(known.unionByName(new), "pii-known")
@@ -244,8 +244,9 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """``key``, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base`` and ``spans`` of every row.
 
     ``base`` lists the base spans, ``spans`` base and learned ones, each ``kind:start:end`` in code points, comma-joined
-    by kind and start. Null and empty texts have none. Rows that repeat a key and a text give a row each with the same
-    spans. Other columns are not looked at.
+    by kind and start. Null and empty texts have none; texts of any length are searched whole. Rows that repeat a key and
+    a text give a row each with the same spans, rows with a null key like others. An empty table gives no rows. Other columns
+    are not looked at.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
     found = store(_found(rows), "pii-found")
@@ -279,7 +280,7 @@ def _merged(base: str, extra: str | None) -> list[tuple[str, int, int]]:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one.
 
-    Other columns stay as they are; a null text stays null.
+    Other columns stay as they are; a null text stays null, an empty table empty.
     """
     columns, row, extra_name = docs.columns, free_name(docs, "row"), free_name(docs, "extra")
     rows = docs.withColumn(row, F.xxhash64(F.lit(0), text))
