@@ -97,7 +97,7 @@ def format_chats(nodes: DataFrame, best: int = 1) -> DataFrame:
     ``nodes``: ``tree``, ``node``, ``parent``, ``score``, ``role``, ``text``; null roles and texts count as empty, null
     scores as 0. Of rows that share tree and node one stays, the least by parent, score, role and text. Rows with a null
     node are left out, as nothing can name them. ``loss_spans`` are ``(start, length)`` in code points of ``formatted``, one per assistant
-    text. Other columns are not looked at. A conversation is one row, so it has to fit in memory.
+    text. An empty table gives no rows. Other columns are not looked at. A conversation is one row, so it has to fit in memory.
     """
     once = Win.partitionBy("tree", "node").orderBy("parent", "score", "role", "text")
     nodes = nodes.select("tree", "node", "parent", "score", "role", "text").where("node is not null")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,6 +169,8 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -219,11 +220,11 @@ def op6_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-def _line_counts(docs: DataFrame, path: str) -> DataFrame:
+def _line_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``source``, ``lang``, ``text_key``, ``tokens``, and ``lean``: tokens without lines that repeat an earlier one."""
 
     def work(batch: pa.RecordBatch):
-        encoder = byte_pairs(path, public_tokenizers.PATTERN)
+        encoder = byte_pairs(path, pattern)
         tokens, lean = [], []
         for text in batch.column(4):
             text = text.as_py() or ""
@@ -242,8 +243,11 @@ def _line_counts(docs: DataFrame, path: str) -> DataFrame:
 def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted, then copies of an earlier text deleted (sent twice), then counts without repeated
     lines revised."""
+    import public_tokenizers
+
     name = "byte_bpe_50k"
-    counted = store(_line_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(f"{name}.tiktoken")), "rollup-counts")
+    counted = _line_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+    counted = store(counted, "rollup-counts")
     counted = counted.withColumn("tokenizer", F.lit(f"{name}@1"))
     first = store(counted.groupBy("text_key").agg(F.min("doc_id").alias("first")), "rollup-first")
     copies = counted.join(first, "text_key").where("doc_id != first")

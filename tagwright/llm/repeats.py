@@ -204,8 +204,8 @@ def drop_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: s
     """``key``, ``n_words``, ``n_removed`` and ``kept``, the words that stay joined by one space, one row per input row.
 
     A null text has no words and an empty ``kept``. A null key counts as the largest document id. Rows that share their
-    key count as one document place: a window at the same start of both is no repeat of itself. Columns beside key and
-    text are not looked at.
+    key count as one document place: a window at the same start of both is no repeat of itself. Texts of any length are
+    looked at whole; an empty table gives no rows. Columns beside key and text are not looked at.
     """
     ranges = repeated_ranges(docs, length, key, text)
     named = docs.select(F.col(key).alias("key"), F.coalesce(key, F.lit(_LAST)).alias("doc"), F.col(text).alias("text"))

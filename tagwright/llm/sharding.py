@@ -100,8 +100,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
 
     The law is ``bytes``: a row's size is the UTF-8 bytes of its text plus 1, a null text counts as empty. Equal texts
     lie in one shard. Slots follow the order of groups and keys inside a shard; rows that repeat a key and its text get
-    a slot each. There may be fewer shards than asked for when a group outweighs its share. Other columns are not
-    looked at.
+    a slot each, a null key comes first. There may be fewer shards than asked for when a group outweighs its share.
+    Texts of any length count whole; an empty table gives no rows. Other columns are not looked at.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(content) + 1).cast("bigint").alias("size"),

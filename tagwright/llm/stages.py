@@ -1,8 +1,11 @@
-"""Stages of the corpus pipeline: each takes what the stage before kept and returns the columns of ``documents``."""
+"""Stages of the corpus pipeline: each takes what the stage before kept and returns the columns of ``documents``.
+
+Every stage takes tables of any size, empty ones too, whole texts of any length, null and empty ones included, and ignores
+columns that ``documents`` does not have. Null ids count as one id. Repeated rows are judged alike.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,30 +23,33 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the limits of their language and source go."""
+    """Documents that fail the base rules or the limits of their language and source go; null and empty texts fail."""
     return quality.keep_good(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (shingles of five words, similarity 0.8) the smallest id stays."""
+    """Of every group of near duplicates (shingles of five words, similarity 0.8) the smallest id stays; texts without words
+    are in no group, rows that share the id that stays all stay."""
     groups = jaccard.near_duplicates(docs.select(F.expr(_ID).alias("doc_id"), "text"), 5, 80)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     return _by_id(docs, store(stay, "pipeline-stay"), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go; null and empty texts overlap with none."""
     found = spaced.contaminated(docs.select(F.expr(_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return _by_id(docs, store(found.select(F.col("doc_id").alias("id")).distinct(), "pipeline-leaks"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind in brackets; ``n_chars`` follows."""
+    """Personal data in texts is replaced by its kind in brackets; ``n_chars`` follows. A null text stays null."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens, with their ids."""
+    """The pieces of all documents in windows of 2048 tokens, with their ids. A null or empty text has only its end id."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
