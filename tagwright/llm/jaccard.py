@@ -16,7 +16,8 @@ texts link when ``100 * shared >= percent * union``. Texts with equal sets are o
 4. *Filters* are conditions of the joins: sizes (length filter); places of the shared n-gram, as nothing is shared before
    the first one (positional filter); and parities of the sets in 256 hash cells, whose differences the sets must differ
    by at least (suffix filter).
-5. *Verification* of each remaining pair once, on the whole sets, and connected components of the links.
+5. *Verification* of each remaining pair once, on the whole sets, which the tasks that cut the texts send to the place of the
+   pair, and connected components of the links.
 
 Links between classes that are already connected are not searched again: the components are exact, and the links
 are not counted.
@@ -25,7 +26,7 @@ are not counted.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from tagwright.storage import scratch, store
 CELLS = 2**20
 _SLICE = 2**10
 _PARITY = 4  # 64-bit words of parities
+_SPOKES = 256  # sets compared with that of a hub in one place
+_SENT = 2**24  # bytes of sets in a batch
 _WORK = 1000  # pairs that the last join may try per posting before another round of hubs is worth it
 HUB_ROUNDS = 2  # at most; more rounds or fewer change the work, not the components
 _NULL_KEY = -(2**63)  # stands for a null key inside
@@ -164,41 +167,80 @@ def postings(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataF
     return map_batches(docs.select(F.col(text).alias("text")), work, "gram bigint, node bigint, size int, pos int")
 
 
-def _whole_sets(lent: DataFrame, n: int) -> DataFrame:
-    """``node`` and its sorted hashes, for rows ``(text, nodes)``: texts whose class is among the nodes asked for."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, doc, hashes, *_ in _sets(batch.column(0), n):
-            size, node = _class_keys(doc, hashes, high - low)
-            at, node = W.bounds(doc, high - low), node.view(np.int64)
-            keep = [i for i in range(high - low) if size[i] and int(node[i]) in batch.column(1)[low + i].as_py()]
-            sets = pa.array([hashes[at[i]:at[i + 1]].tobytes() for i in keep], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), sets], ["node", "members"])
-
-    return map_batches(lent.select("text", "nodes"), work, "node bigint, members binary")
-
-
 def _least_shared(a: str, b: str, percent: int) -> str:
     """Least number of shared n-grams of two linked sets, as SQL over their sizes."""
     return f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
 
 
-def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that link, each checked once on its whole sets."""
-    both = near.join(sets.withColumnsRenamed({"node": "b", "members": "mb"}), "b")
-    both = both.join(sets.withColumnsRenamed({"node": "a", "members": "ma"}), "a")
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-            y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            z = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int(np.count_nonzero(z[1:] == z[:-1]))
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _asked(near: DataFrame, member: DataFrame) -> DataFrame:
+    """Stored ``key``, ``asks``: for which comparisons a text lends its set.
 
-    return map_batches(both.select("a", "b", "ma", "mb"), work, "a bigint, b bigint")
+    Of a pair the class with more pairs is the hub, to which the other one's set is sent. The sets of a hub with many such
+    are compared in several places, and its own is sent to each. One row of each class lends its text.
+    """
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+    degree = store(ends.groupBy("node").agg(F.count("*").alias("d")), "jaccard-degrees")
+    side = lambda c: degree.select(F.col("node").alias(c), F.col("d").alias(f"d{c}"))
+    more = F.col("da") >= F.col("db")
+    stars = near.join(side("a"), "a").join(side("b"), "b").select(
+        F.when(more, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("node"))
+    stars = store(stars, "jaccard-stars")
+    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / _SPOKES).alias("parts"))
+    spokes = store(stars.join(parts, "hub").select(
+        "node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(False).alias("own")), "jaccard-spokes")
+    hubs = spokes.select(F.col("hub").alias("node"), "hub", "part", F.lit(True).alias("own")).distinct()
+    lender = degree.select("node").join(member, "node").groupBy("node", "key").count()
+    lender = lender.groupBy("node").agg(F.min(F.struct("count", "key")).alias("l")).select("node", "l.key")
+    asks = spokes.unionByName(hubs).join(lender, "node").groupBy("key").agg(
+        F.collect_list(F.struct("node", "hub", "part", "own")).alias("asks"))
+    return store(asks, "jaccard-asks")
+
+
+def _verify(near: DataFrame, named: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that link, each checked once on its whole sets: a set is sent to the place of its pair by the task
+    that cuts its text, and nowhere else."""
+
+    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for low, high, doc, hashes, *_ in _sets(batch.column(0), n):
+            size, node = _class_keys(doc, hashes, high - low)
+            at, node = W.bounds(doc, high - low), node.view(np.int64)
+            for i in range(high - low):
+                members = hashes[at[i]:at[i + 1]].tobytes()
+                for ask in batch.column(1)[low + i].as_py() if size[i] else ():
+                    if ask["node"] == int(node[i]):
+                        rows.append((ask["hub"], ask["part"], None if ask["own"] else ask["node"], members))
+                        held += len(members)
+                        if held > _SENT:
+                            yield _sent(rows)
+                            rows, held = [], 0
+        yield _sent(rows)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            links = []
+            for hub, spoke, members in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                other = np.frombuffer(members.as_buffer(), dtype=np.uint64)
+                if spoke is None:
+                    own = other.copy()  # the hub's own set comes before those it is compared with
+                    continue
+                z = np.sort(np.concatenate([own, other]), kind="stable")
+                shared = int(np.count_nonzero(z[1:] == z[:-1]))
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                    links.append((min(hub, spoke), max(hub, spoke)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)] if links else [pa.array([], pa.int64())] * 2, ["a", "b"])
+
+    lent = attach(named, _asked(near, member), ["key"], "inner")
+    sets = map_batches(lent.select("text", "asks"), send, "hub bigint, part bigint, spoke bigint, members binary")
+    placed = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("spoke"))
+    return placed.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["hub", "part", "spoke", "members"])
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, more: str = "true") -> DataFrame:
@@ -226,15 +268,14 @@ def links(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
                      "jaccard-parities")
     member = member.select("key", "n_shingles", "node")
     posted = _shared_postings(named, n, percent)
-    labels, sets, tried, edges = None, None, None, None
+    labels, tried, edges = None, None, None
     for turn in range(HUB_ROUNDS + 1):
         with scratch(docs.sparkSession, "jaccard-turn") as keep:  # all rows of a turn go when its links are known
             near, last = _candidates(posted, parities, labels, tried, percent, turn)
             if near is None:
                 break
             near = keep(near, "jaccard-near")
-            sets = _add_sets(sets, near, named, member, n, keep)
-            fresh = keep(_verify(near, sets, percent), "jaccard-links")
+            fresh = keep(_verify(near, named, member, n, percent), "jaccard-links")
             tried = near if tried is None else tried.unionByName(near)
             edges = fresh if edges is None else edges.unionByName(fresh)
             if last:
@@ -253,7 +294,8 @@ def _shared_postings(named: DataFrame, n: int, percent: int) -> DataFrame:
         often = store(often.where("n > 1").select("gram", "front"), "jaccard-often")
         share = percent / (100 + percent)  # linked sets share this part of their summed sizes, which bounds both places
         reach = (1 - share - F.col("pos") / F.col("size")) * (1 - share - F.col("front") / 1000) >= share**2 - 1e-9
-        return keep(attach(posted, often, ["gram"], "inner").where(reach).drop("front").distinct(), "jaccard-shared")
+        # both sides grow with the texts, so they meet by shuffle at every size
+        return keep(posted.join(often.hint("merge"), "gram").where(reach).drop("front").distinct(), "jaccard-shared")
 
 
 def _candidates(
@@ -273,7 +315,7 @@ def _candidates(
     rows, work = opened.agg(F.sum("m"), F.sum(F.expr("cast(m as double) * (m - most)"))).first()
     if not rows:
         return None, True
-    now = attach(now, opened.select("gram", "major"), ["gram"], "inner")
+    now = now.join(opened.select("gram", "major").hint("merge"), "gram")
     now = store(attach(now, parities, ["node"], "inner"), "jaccard-rows")
     minor = now.where("label != major").drop("major")
     last = turn == HUB_ROUNDS or (turn > 0 and work <= _WORK * rows)
@@ -292,26 +334,6 @@ def _candidates(
     return (pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), last
 
 
-def _add_sets(
-    sets: DataFrame | None, near: DataFrame, named: DataFrame, member: DataFrame, n: int,
-    keep: Callable[[DataFrame, str], DataFrame],
-) -> DataFrame:
-    """Stored whole sets of all classes in ``near``; one row of each class lends its text."""
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select("node"), "node", "left_anti")
-    lender = wanted.join(member, "node").groupBy("node", "key").count()
-    lender = lender.groupBy("node").agg(F.min(F.struct("count", "key")).alias("l")).select("node", "l.*")
-    lender = store(lender, "jaccard-lenders")
-    for alone in (True, False):  # rows that repeat a key and its text are made one
-        mine = lender.where("count = 1" if alone else "count > 1").groupBy("key").agg(F.collect_set("node").alias("nodes"))
-        lent = attach(named, store(mine, "jaccard-lent"), ["key"], "inner")
-        more = _whole_sets(lent, n)
-        more = keep(more if alone else more.dropDuplicates(["node"]), "jaccard-sets")
-        sets = more if sets is None else sets.unionByName(more)
-    return sets
-
-
 def near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -319,7 +341,8 @@ def near_duplicates(
 
     ``component_id`` is the smallest key reachable by links.
     A null or empty text has an empty set, ``component_id`` its own key, and no link. Rows with a null key take part;
-    a component of null keys alone has a null id. Repeated rows fall into one class. Other columns are not looked at.
+    a component of null keys alone has a null id. Repeated rows fall into one class. Texts of any length are taken whole;
+    an empty table gives no rows. Other columns are not looked at.
     """
     with scratch(docs.sparkSession, "near-duplicates") as keep:
         member, edges = links(docs, n, percent, key, text)
