@@ -111,7 +111,8 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Write ``df`` as parquet to the shared folder and return the stored table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the shuffles of this write serve nothing else
     try:
