@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagwright import fixed
 from tagwright.functions import category, text
-from tagwright.functions.arrays import counted, summed, unit_length
+from tagwright.functions.arrays import counted, unit_length
 from tagwright.functions.hashing import hashed
 from tagwright.operators.lookup import lookup_join
 from tagwright.operators.ranking import with_rank, with_rank_within
