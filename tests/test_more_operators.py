@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 from test_operators import osa, rows_of
 
+from tagwright.catalog.encodings import by_place
 from tagwright.functions import text
 from tagwright.functions.arrays import counted
 from tagwright.functions.hashing import bucket_codes, murmur3
@@ -182,6 +183,12 @@ def test_model_inputs_carry_no_texts(spark, listings, max_bytes, monkeypatch):
     assert rows_of(got) == rows_of(want)
 
 
+def test_vector_sums_pass_32_bits(spark):
+    df = spark.createDataFrame([(([2_000_000_000, 2_000_000_001], [0.5, 2.0]),)], "v struct<indices:array<int>,values:array<double>>")
+    got = df.select(by_place("indices", "bigint").alias("i"), by_place("values", "double").alias("x")).first()
+    assert (got["i"], got["x"]) == (6_000_000_002, 4.5)
+
+
 def test_unseen_label_raises_in_model_inputs(spark, listings):
     rows = clean.clean_embedding(listings)
     labels = encode.fit_labels(rows)
