@@ -183,6 +183,16 @@ def test_model_inputs_carry_no_texts(spark, listings, max_bytes, monkeypatch):
     assert rows_of(got) == rows_of(want)
 
 
+def test_small_tables_are_looked_up_in_the_row(spark):
+    rows = spark.createDataFrame(
+        [(1, "b a x", "a"), (2, None, "b  b"), (3, "", None), (4, "x y", "a,b")], "item_id int, name string, item_description string")
+    index = store(spark.createDataFrame([("a", 1), ("b", 2)], "token string, idx int"), "index")
+    got = encode.texts_to_sequences(rows, index)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {1: ([2, 1], [1]), 2: ([], [2, 2]), 3: ([], []), 4: ([], [1, 2])}
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+
+
 def test_vector_sums_pass_32_bits(spark):
     df = spark.createDataFrame([(([2_000_000_000, 2_000_000_001], [0.5, 2.0]),)], "v struct<indices:array<int>,values:array<double>>")
     got = df.select(by_place("indices", "bigint").alias("i"), by_place("values", "double").alias("x")).first()
