@@ -3,15 +3,17 @@
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 from test_operators import osa, rows_of
 
+from tagwright.catalog import QUERIES
 from tagwright.catalog.encodings import by_place
 from tagwright.functions import text
 from tagwright.functions.arrays import counted
 from tagwright.functions.hashing import bucket_codes, murmur3
-from tagwright.operators import clean, encode, fuzzy, lookup, vocabulary
+from tagwright.operators import clean, encode, features, fuzzy, lookup, vocabulary
 from tagwright.operators.stages import CountBlock, DropByDf
 from tagwright.sources import quoted, tsv
 from tagwright.storage import scratch_path, store
@@ -193,6 +195,14 @@ def test_small_tables_are_looked_up_in_the_row(spark):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
 
 
+def test_blocks_are_normed_in_the_row(spark, listings):
+    rows, entries = clean.clean_tree(listings), features.tree_entries()
+    got = features.explode_blocks(rows, features.unit_blocks(entries))
+    assert rows_of(got) == rows_of(features.row_l2_norm(features.explode_blocks(rows, entries)))
+    plan = QUERIES["row_l2_norm"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_vector_sums_pass_32_bits(spark):
     df = spark.createDataFrame([(([2_000_000_000, 2_000_000_001], [0.5, 2.0]),)], "v struct<indices:array<int>,values:array<double>>")
     got = df.select(by_place("indices", "bigint").alias("i"), by_place("values", "double").alias("x")).first()
