@@ -203,6 +203,11 @@ def test_blocks_are_normed_in_the_row(spark, listings):
     assert "collect_list" not in plan
 
 
+def test_snapshots_read_the_documents_once(spark):
+    plan = QUERIES["snapshot_ensemble"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # only the stored narrow listings
+
+
 def test_vector_sums_pass_32_bits(spark):
     df = spark.createDataFrame([(([2_000_000_000, 2_000_000_001], [0.5, 2.0]),)], "v struct<indices:array<int>,values:array<double>>")
     got = df.select(by_place("indices", "bigint").alias("i"), by_place("values", "double").alias("x")).first()
