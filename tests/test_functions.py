@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagwright.functions import arrays, category, hashing, metrics, sequences, text
+from tagwright.functions import arrays, category, counting, hashing, metrics, sequences, text
 from tagwright.functions.edit_distance import distances
 from tagwright.operators import clean, vocabulary
 from tagwright.sources import tsv
@@ -108,6 +110,47 @@ def test_hashed_fast_method_is_a_unit_row(spark):
     assert sorted(abs(e["value"]) for e in got) == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
 
 
+TEXTS = ["The red-red ring is ünïcode ring_2 a", "", None, "x y", "bolt  bolt nut\n٣٤ 日本語 it"] * 3
+
+
+def _words(value):
+    return re.findall(r"\w{2,}", value or "")
+
+
+def test_word_entries_equal_plain_python(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string").select("i", counting.word_entries("name", F.col("t")).alias("e"))
+    got = {r["i"]: r["e"] for r in rows.collect()}
+    for i, value in enumerate(TEXTS):
+        if value is None:
+            assert got[i] is None
+        else:
+            assert sorted((e["block"], e["feature"], e["value"]) for e in got[i]) == sorted(
+                ("name", w, float(n)) for w, n in Counter(_words(value)).items())
+
+
+def test_runs_hold_every_row_once():
+    for sizes in ([], [0], [5, 0, 0, 1, 9, 1, 1, 1], [0, 0, 3]):
+        got = list(counting.runs(np.array(sizes, dtype=np.int64), 3))
+        assert [i for low, high in got for i in range(low, high)] == list(range(len(sizes)))
+
+
+def test_hashed_text_equals_hashed_ngrams(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    grams = text.word_ngrams(text.remove_stopwords(text.word_tokens(F.col("t"))))
+    both = rows.select("i", hashing.hashed_text("b", F.col("t")).alias("a"), hashing.hashed(grams, block="b").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    assert [len(r["a"] or []) for r in sorted(both)[:4]] == [10, 0, 0, 0]  # the, red, ring, ünïcode, ring_2 and five pairs
+
+
+def test_exploded_works_an_array_out_once(spark):
+    entries = F.transform(F.array("id", "id"), lambda x: x + 1)
+    named = spark.range(3).select("id", entries.alias("entries"))
+    for e in (entries, F.col("entries")):
+        out = arrays.exploded(named, ("id",), e)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+        assert sorted(r["e"] for r in out.collect()) == [1, 1, 2, 2, 3, 3]
+
+
 def test_floor_price(spark):
     rows = spark.createDataFrame([(2.5,), (3.0,), (None,)], "p double").select(metrics.floor_price(F.col("p")).alias("r"))
     assert [r["r"] for r in rows.collect()] == [3.0, 3.0, None]
