@@ -287,11 +287,12 @@ def remove_stopwords(t: DataFrame) -> DataFrame:
 @query("word_ngrams", "SELECT item_id, block, array_to_string(g, '|') AS grams FROM linear_words WHERE block <> 'category_name'",
        "linear_words")
 def word_ngrams(t: DataFrame) -> DataFrame:
-    rows = brands.name_with_brand(brands.impute_brands(clean.clean_linear(t)))
-    fields = F.array(*[
-        F.struct(F.lit(c).alias("block"), F.array_join(features.text_ngrams(c), "|").alias("grams"))
-        for c in ("name", "item_description")])
-    return rows.select("item_id", F.explode(fields).alias("f")).select("item_id", "f.*")
+    # descriptions do not depend on the imputed brand and stay out of its join
+    cleaned = clean.clean_linear(t)
+    named = brands.name_with_brand(brands.impute_brands(cleaned, keep=("item_id", "name", "brand_name")))
+    grams = [rows.select("item_id", F.lit(c).alias("block"), F.array_join(features.text_ngrams(c), "|").alias("grams"))
+             for rows, c in ((named, "name"), (cleaned, "item_description"))]
+    return grams[0].unionByName(grams[1])
 
 
 @query("whole_value_token", """
