@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 400_000  # entries per cache and worker; beyond that, words are encoded anew
+CACHE_WORDS = 2**17  # entries per cache and worker (some 50 MB in all); beyond that, words are encoded anew
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"([{_LETTERS}]+)([!-&(-/:;=>?@\\[-`{{-~]*)")  # no apostrophe, which may start a suffix, and no "<"

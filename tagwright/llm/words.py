@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2**20  # texts are worked on in groups of about this size; a longer text forms a group of its own
+CHUNK_BYTES = 2**18  # texts are worked on in groups of about this size; a longer text forms a group of its own
 
 _BYTE_FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _WORD_FACTOR = 0xD6E8FEB86659FD93

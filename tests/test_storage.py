@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tagwright.storage import scratch, scratch_path, store, tidy
+from tagwright.storage import arrow_rows, scratch, scratch_path, store, tidy
 
 
 def _folder(df):
@@ -52,3 +52,16 @@ def test_a_write_frees_its_shuffles(spark):
     before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     out = store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_arrow_rows_bound_the_batches_of_a_block(spark):
+    most = lambda: max(r["n"] for r in spark.range(0, 9000, 1, 1).mapInArrow(
+        lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect())
+    before = most()
+    assert before > 2000
+    with pytest.raises(ValueError), arrow_rows(spark, 2000):
+        assert most() == 2000
+        with arrow_rows(spark, 5000):  # a smaller setting stays
+            assert most() == 2000
+        raise ValueError
+    assert most() == before
