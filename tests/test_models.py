@@ -306,3 +306,25 @@ def test_epochs_continue_one_fit(listings):
     assert sorted(after) == [0, 1, 2, 3, 4] and [after[e].steps for e in range(5)] == [3, 6, 9, 12, 15]
     errors = [r["rmse"] for r in flows.embedding_scores(after, held).orderBy("epoch").collect()]
     assert len(errors) == 5 and errors[-1] < errors[0]
+
+
+def test_filters_meet_each_different_word_once():
+    rng = np.random.default_rng(8)
+    shape = neural.Shape.of(9, {c: 3 for c in neural.CODES})
+    w, ids = shape.views(shape.start(1.0, 2)), rng.integers(0, 5, (6, 10))
+    words, at, known, out = neural._convolved(w, "name", ids)
+    assert len(known) == len(words) <= 5 and (words[at] == ids).all()
+    windows = np.concatenate([w["embed_name"][ids[:, k:k + 8]] for k in range(neural.KERNEL)], axis=2)
+    assert np.allclose(out, np.maximum(windows @ w["filter_name"] + w["filter_bias_name"], 0))
+
+
+def test_sums_take_no_more_tasks_than_cores(spark):
+    tasks = spark.sparkContext.accumulator(0)
+
+    def step(batches):
+        tasks.add(1)
+        yield np.array([float(sum(b.num_rows for b in batches))])
+
+    many = 3 * spark.sparkContext.defaultParallelism
+    assert ridge.summed(spark.range(100).repartition(many), step, 1, many, 4).tolist() == [100.0]
+    assert tasks.value <= spark.sparkContext.defaultParallelism
