@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,23 @@ def test_submission_holds_64_bit_ids(spark, tmp_path):
     tsv.write_submission(spark.createDataFrame([(3_000_000_000, 4.5)], "test_id bigint, price double"), str(tmp_path / "out"))
     back = spark.read.schema("test_id bigint, price double").option("header", True).csv(str(tmp_path / "out"))
     assert [tuple(r) for r in back.collect()] == [(3_000_000_000, 4.5)]
+
+
+def test_md5_of_many_texts_at_once():
+    texts = [b"", b"a", "é".encode() * 27, b"x" * 55, b"x" * 56, b"x" * 200, *[b"%d word" % i for i in range(20_000)]]
+    want = [int(hashlib.md5(t).hexdigest()[:9], 16) for t in texts]
+    assert hashing.md5_numbers(pa.array(texts, pa.binary())).tolist() == want
+    assert hashing.md5_numbers(pa.array(texts, pa.binary()).slice(2, 9)).tolist() == want[2:11]
+    assert hashing.md5_numbers(pa.array([], pa.binary())).tolist() == []
+
+
+def test_equal_texts_of_a_batch_are_worked_on_once():
+    seen = []
+
+    def work(texts):
+        seen.extend(texts.to_pylist())
+        return pc.utf8_length(texts)
+
+    assert counting.each_once(pa.array(["aa", None, "b", "aa", "b"]), work).to_pylist() == [2, None, 1, 2, 1]
+    assert seen == ["aa", "b"]
+    assert counting.each_once(pa.array([None, None], pa.string()), work).to_pylist() == [None, None]
