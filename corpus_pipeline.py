@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwright.llm import stages
-from tagwright.storage import arrow_rows, drop, scratch
+from tagwright.storage import drop
 
 STAGES = stages.STAGES
-BATCH_ROWS = 2_000  # whole texts that a task holds outside of Spark's own memory at once
 
 #: Tokenisers and the joins on whole shingle sets have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is stored before the next stage reads it, and goes when that is done."""
+    """Apply all stages to ``documents``; a stage stores its result, which goes when the next stage is done."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    with arrow_rows(spark, BATCH_ROWS):
-        for name, stage in STAGES[:-1]:
-            with scratch(spark, name) as keep:
-                docs = keep(stage(spark, docs, sf_dir))
-            if before is not None:
-                drop(before)
-            before = docs
-        return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

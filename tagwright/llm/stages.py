@@ -6,14 +6,18 @@ columns that ``documents`` does not have. Null ids count as one id. Repeated row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.llm import jaccard, packing, pii, quality, spaced
 from tagwright.llm.shared import attach, table
-from tagwright.storage import store
+from tagwright.storage import arrow_rows, scratch, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BATCH_ROWS = 2_000  # whole texts that a task holds outside of Spark's own memory at once
 _ID = f"coalesce(doc_id, {-(2**63) + 1}L)"  # a null id is an id like others
 
 
@@ -22,11 +26,25 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return attach(docs.withColumn("id", F.expr(_ID)), ids, ["id"], how).select(*COLUMNS)
 
 
+def _in_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage whose tasks hand ``BATCH_ROWS`` texts at most to Python, however it is run: its result is stored under that bound,
+    and its other tables go."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with arrow_rows(spark, BATCH_ROWS), scratch(spark, stage.__name__) as keep:
+            return keep(stage(spark, docs, sf_dir))
+
+    return run
+
+
+@_in_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the limits of their language and source go; null and empty texts fail."""
     return quality.keep_good(docs.select(*COLUMNS))
 
 
+@_in_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (shingles of five words, similarity 0.8) the smallest id stays; texts without words
     are in no group, rows that share the id that stays all stay."""
@@ -35,17 +53,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _by_id(docs, store(stay, "pipeline-stay"), "left_semi")
 
 
+@_in_batches
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go; null and empty texts overlap with none."""
     found = spaced.contaminated(docs.select(F.expr(_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return _by_id(docs, store(found.select(F.col("doc_id").alias("id")).distinct(), "pipeline-leaks"), "left_anti")
 
 
+@_in_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind in brackets; ``n_chars`` follows. A null text stays null."""
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+@_in_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 tokens, with their ids. A null or empty text has only its end id."""
     import public_tokenizers

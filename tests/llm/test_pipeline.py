@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tagwright.llm import queries
+from tagwright.llm import queries, stages
 from tagwright.llm.stages import COLUMNS
 
 
@@ -95,3 +95,15 @@ def test_stages_return_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), SMALL)
         assert out.columns == COLUMNS and out.collect() == []
+
+
+def test_every_stage_bounds_its_batches(spark):
+    def sizes(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint")
+
+    many, key = spark.range(0, 9000, 1, 1), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = stages._in_batches(sizes)(spark, many, SMALL)
+    assert spark.conf.get(key) == before
+    assert sorted(r["n"] for r in got.collect()) == [1000, 2000, 2000, 2000, 2000]
+    assert all(stage.__wrapped__ for _, stage in corpus_pipeline.STAGES)
