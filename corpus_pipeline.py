@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwright.llm import stages
-from tagwright.storage import drop
+from tagwright.storage import drop, store
 
 STAGES = stages.STAGES
 
@@ -14,10 +14,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; a stage stores its result, which goes when the next stage is done."""
+    """Apply all stages to ``documents``; the result of a stage is stored and goes when the next stage is done."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
         if before is not None:
             drop(before)
         before = docs

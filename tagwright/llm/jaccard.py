@@ -15,7 +15,8 @@ texts link when ``100 * shared >= percent * union``. Texts with equal sets are o
    is the same in both sets, as it meets there already.
 4. *Filters* are conditions of the joins: sizes (length filter); places of the shared n-gram, as nothing is shared before
    the first one (positional filter); and parities of the sets in 256 hash cells, whose differences the sets must differ
-   by at least (suffix filter).
+   by at least (suffix filter). Pairs that pass are held against parities in as many cells as the larger set has members,
+   a bit each, before any whole set is sent.
 5. *Verification* of each remaining pair once, on the whole sets, which the tasks that cut the texts send to the place of the
    pair, and connected components of the links.
 
@@ -89,8 +90,27 @@ def _class_keys(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
     return size, key
 
 
+def _sketches(doc: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parities of every set in a power of two of hash cells, as many as it has members at least, a bit each."""
+    power = np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
+    ends = np.cumsum(np.left_shift(1, power))
+    start = ends - np.left_shift(1, power)
+    cell = (hashes >> (64 - power).astype(np.uint64)[doc]).astype(np.int64)
+    odd = np.bincount(start[doc] + cell, minlength=int(ends[-1]) if len(ends) else 0).astype(np.uint8) & 1
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(odd))])
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many members two sets differ at least, by their sketches; the longer one is folded to the shorter one's cells."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
+    cells = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(cells, -1), axis=1) for v in (x, y))
+    return int(np.count_nonzero(x != y))
+
+
 def classes(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``node`` (hash of the set; null for an empty set), ``parity``, one row per input row."""
+    """``key``, ``n_shingles``, ``node`` (hash of the set; null for an empty set), ``parity``, ``sketch``, one row per input row."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0)
@@ -101,11 +121,11 @@ def classes(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") ->
             parity = pa.array(np.packbits(odd).view(np.int64))
             parity = pa.FixedSizeListArray.from_arrays(parity, _PARITY).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(low, high - low), pa.array(size.astype(np.int64)), pa.array(node.view(np.int64), mask=size == 0), parity],
-                ["key", "n_shingles", "node", "parity"])
+                [ids.slice(low, high - low), pa.array(size.astype(np.int64)), pa.array(node.view(np.int64), mask=size == 0), parity,
+                 _sketches(doc, hashes, size)], ["key", "n_shingles", "node", "parity", "sketch"])
 
     return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), work,
-                       "key bigint, n_shingles bigint, node bigint, parity array<bigint>")
+                       "key bigint, n_shingles bigint, node bigint, parity array<bigint>, sketch binary")
 
 
 def frequency_tables(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -172,11 +192,11 @@ def _least_shared(a: str, b: str, percent: int) -> str:
     return f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
 
 
-def _asked(near: DataFrame, member: DataFrame) -> DataFrame:
-    """Stored ``key``, ``asks``: for which comparisons a text lends its set.
+def _spokes(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the pairs of ``near`` are compared, as stored rows ``(node, hub, part, own)``, and the classes in them, ``(node)``.
 
     Of a pair the class with more pairs is the hub, to which the other one's set is sent. The sets of a hub with many such
-    are compared in several places, and its own is sent to each. One row of each class lends its text.
+    are compared in several places, and its ``own`` is sent to each.
     """
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
     degree = store(ends.groupBy("node").agg(F.count("*").alias("d")), "jaccard-degrees")
@@ -189,13 +209,48 @@ def _asked(near: DataFrame, member: DataFrame) -> DataFrame:
     spokes = store(stars.join(parts, "hub").select(
         "node", "hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(False).alias("own")), "jaccard-spokes")
     hubs = spokes.select(F.col("hub").alias("node"), "hub", "part", F.lit(True).alias("own")).distinct()
-    lender = degree.select("node").join(member, "node").groupBy("node", "key").count()
+    return spokes.unionByName(hubs), degree.select("node")
+
+
+def _asked(near: DataFrame, member: DataFrame) -> DataFrame:
+    """Stored ``key``, ``asks``: for which comparisons a text lends its set. One row of each class lends its text."""
+    sides, nodes = _spokes(near)
+    lender = nodes.join(member, "node").groupBy("node", "key").count()
     lender = lender.groupBy("node").agg(F.min(F.struct("count", "key")).alias("l")).select("node", "l.key")
-    asks = spokes.unionByName(hubs).join(lender, "node").groupBy("key").agg(
-        F.collect_list(F.struct("node", "hub", "part", "own")).alias("asks"))
+    asks = sides.join(lender, "node").groupBy("key").agg(F.collect_list(F.struct("node", "hub", "part", "own")).alias("asks"))
     return store(asks, "jaccard-asks")
 
 
+def _placed(sets: DataFrame) -> DataFrame:
+    """Sets by the place they are compared in, the hub's own first: its ``spoke`` is null."""
+    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("spoke"))
+
+
+def _close(near: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``near`` whose sketches do not show that they are no link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, own_size = b"", 0
+        for batch in batches:
+            links = []
+            for hub, spoke, size, sketch in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if spoke is None:
+                    own, own_size = sketch, size
+                    continue
+                both = own_size + size
+                if _apart(own, sketch) <= both - 2 * ((percent * both + 99 + percent) // (100 + percent)):
+                    links.append((min(hub, spoke), max(hub, spoke)))
+            yield _links(links)
+
+    spoke = F.when(~F.col("own"), F.col("node")).alias("spoke")
+    sent = _spokes(near)[0].join(sketches.hint("merge"), "node").select("hub", "part", spoke, "size", "sketch")
+    return _placed(sent).mapInArrow(compare, "a bigint, b bigint")
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*pairs)) or [[]] * 2], ["a", "b"])
+
+
 def _verify(near: DataFrame, named: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that link, each checked once on its whole sets: a set is sent to the place of its pair by the task
     that cuts its text, and nowhere else."""
@@ -229,12 +284,11 @@ def _verify(near: DataFrame, named: DataFrame, member: DataFrame, n: int, percen
                 shared = int(np.count_nonzero(z[1:] == z[:-1]))
                 if 100 * shared >= percent * (len(own) + len(other) - shared):
                     links.append((min(hub, spoke), max(hub, spoke)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)] if links else [pa.array([], pa.int64())] * 2, ["a", "b"])
+            yield _links(links)
 
     lent = attach(named, _asked(near, member), ["key"], "inner")
     sets = map_batches(lent.select("text", "asks"), send, "hub bigint, part bigint, spoke bigint, members binary")
-    placed = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("spoke"))
-    return placed.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return _placed(sets).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -264,8 +318,10 @@ def links(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
     """Membership ``(key, n_shingles, node)`` of all rows, and verified links ``(a, b)`` between classes ``node``."""
     named = docs.select(F.coalesce(key, F.lit(_NULL_KEY)).alias("key"), F.col(text).alias("text"))
     member = store(classes(named, n, "key"), "jaccard-classes")
-    parities = store(member.where("node is not null").groupBy("node").agg(F.first("parity").alias("parity")),
-                     "jaccard-parities")
+    of_class = member.where("node is not null").groupBy("node").agg(
+        F.first("parity").alias("parity"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    of_class = store(of_class, "jaccard-parities")
+    parities, sketches = of_class.select("node", "parity"), of_class.select("node", "size", "sketch")
     member = member.select("key", "n_shingles", "node")
     posted = _shared_postings(named, n, percent)
     labels, tried, edges = None, None, None
@@ -275,7 +331,8 @@ def links(docs: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
             if near is None:
                 break
             near = keep(near, "jaccard-near")
-            fresh = keep(_verify(near, named, member, n, percent), "jaccard-links")
+            close = store(_close(near, sketches, percent), "jaccard-close")
+            fresh = keep(_verify(close, named, member, n, percent), "jaccard-links")
             tried = near if tried is None else tried.unionByName(near)
             edges = fresh if edges is None else edges.unionByName(fresh)
             if last:

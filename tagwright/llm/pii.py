@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm.shared import attach, free_name, map_batches
@@ -277,33 +277,49 @@ def _merged(base: str, extra: str | None) -> list[tuple[str, int, int]]:
     return sorted(((k, int(a), int(b)) for k, a, b in parts), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def redactions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """How texts with personal data are cut: ``row`` (a hash of the text), ``cuts`` (``begin`` and ``length`` of what stays before a
+    span, in code points, and the span's ``tag``) and ``rest``, where what stays behind the last one begins."""
+    found = _found(docs.select(F.lit(0).cast("bigint").alias("key"), _text_row(text).alias("row"), F.col(text).alias("text")))
+    found = store(found, "pii-found")
+    extra = store(_learned(found), "pii-extra")
+    whole = attach(found.where("base is not null").groupBy("row").agg(F.first("base").alias("base")), extra, ["row"], "left")
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cuts, rests = [], []
+        for base, extra in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            last, own = 0, []
+            for kind, a, b in sorted(_merged(base, extra), key=lambda s: (s[1], -s[2])):
+                if a >= last:
+                    own.append({"begin": last, "length": a - last, "tag": f"[{kind}]"})
+                last = max(last, b)
+            cuts.append(own)
+            rests.append(last)
+        kind = pa.list_(pa.struct({"begin": pa.int32(), "length": pa.int32(), "tag": pa.string()}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, kind), pa.array(rests, pa.int32())], ["row", "cuts", "rest"])
+
+    return map_batches(whole.where("base != '' or extra is not null").select("row", "base", "extra"), cut,
+                       "row bigint, cuts array<struct<begin int, length int, tag string>>, rest int")
+
+
+def apply_redactions(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its texts cut as stored ``redactions`` say; all other texts and columns stay as they are."""
+    row, cuts, rest = (free_name(docs, c) for c in ("row", "cuts", "rest"))
+    named = rows.withColumnsRenamed({"row": row, "cuts": cuts, "rest": rest})
+    out = attach(docs.withColumn(row, _text_row(text)), named, [row], "left")
+    stays = F.transform(cuts, lambda c: F.concat(F.substring(F.col(text), c["begin"] + 1, c["length"]), c["tag"]))
+    tail = F.substring(F.col(text), F.col(rest) + 1, F.length(text))
+    done = F.when(F.col(rest).isNull(), F.col(text)).otherwise(F.concat(F.array_join(stays, ""), tail))
+    return out.withColumn(text, done).select(*docs.columns)
+
+
+def _text_row(text: str) -> Column:
+    return F.xxhash64(F.lit(0), text)
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one.
 
     Other columns stay as they are; a null text stays null, an empty table empty.
     """
-    columns, row, extra_name = docs.columns, free_name(docs, "row"), free_name(docs, "extra")
-    rows = docs.withColumn(row, F.xxhash64(F.lit(0), text))
-    found = _found(rows.select(F.lit(0).cast("bigint").alias("key"), F.col(row).alias("row"), F.col(text).alias("text")))
-    extra = store(_learned(store(found, "pii-found")), "pii-extra").withColumnsRenamed({"row": row, "extra": extra_name})
-    rows = attach(rows, extra, [row], "left")
-
-    def clean(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text)
-        out = []
-        for t, extra in zip(batch.column(at), batch.column(len(columns)).to_pylist()):
-            t = t.as_py()
-            if t:
-                last, parts = 0, []
-                spans = sorted(_merged(_listed(base_spans(t)), extra), key=lambda s: (s[1], -s[2]))
-                for kind, a, b in spans:
-                    if a >= last:
-                        parts += [t[last:a], f"[{kind}]"]
-                    last = max(last, b)
-                t = "".join(parts) + t[last:] if spans else t
-            out.append(t)
-        arrays = list(batch.columns[:len(columns)])
-        arrays[at] = pa.array(out, pa.string())
-        yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    return map_batches(rows.select(*columns, extra_name), clean, docs.schema)
+    return apply_redactions(docs, store(redactions(docs, text), "pii-cuts"), text)

@@ -7,14 +7,14 @@ columns that ``documents`` does not have. Null ids count as one id. Repeated row
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwright.llm import jaccard, packing, pii, quality, spaced
 from tagwright.llm.shared import attach, table
-from tagwright.storage import arrow_rows, scratch, store
+from tagwright.storage import arrow_rows, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BATCH_ROWS = 2_000  # whole texts that a task holds outside of Spark's own memory at once
@@ -38,32 +38,49 @@ def _in_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-@_in_batches
+def _judged(apply: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """A stage that looks at texts in batches and stores only what it found, a few bytes a text; ``apply`` puts that to the
+    documents, without Python."""
+
+    def made(judge: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(judge)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            return apply(docs.select(*COLUMNS), _in_batches(judge)(spark, docs.select(*COLUMNS), sf_dir))
+
+        return run
+
+    return made
+
+
+@_judged(quality.without)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the limits of their language and source go; null and empty texts fail."""
-    return quality.keep_good(docs.select(*COLUMNS))
+    return quality.rejected(docs)
 
 
-@_in_batches
+@_judged(partial(_by_id, how="left_semi"))
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (shingles of five words, similarity 0.8) the smallest id stays; texts without words
     are in no group, rows that share the id that stays all stay."""
     groups = jaccard.near_duplicates(docs.select(F.expr(_ID).alias("doc_id"), "text"), 5, 80)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    return _by_id(docs, store(stay, "pipeline-stay"), "left_semi")
+    return groups.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
 
 
-@_in_batches
+@_judged(partial(_by_id, how="left_anti"))
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go; null and empty texts overlap with none."""
     found = spaced.contaminated(docs.select(F.expr(_ID).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _by_id(docs, store(found.select(F.col("doc_id").alias("id")).distinct(), "pipeline-leaks"), "left_anti")
+    return found.select(F.col("doc_id").alias("id")).distinct()
 
 
-@_in_batches
+def _redacted(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return pii.apply_redactions(docs, found).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@_judged(_redacted)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind in brackets; ``n_chars`` follows. A null text stays null."""
-    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
+    return pii.redactions(docs)
 
 
 @_in_batches

@@ -12,7 +12,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from test_corpus_operators import DOCS, TOKENIZER
 
-from tagwright.llm import chats, html_text, packing, pii, quality, queries, rollups, spaced
+from tagwright.llm import chats, html_text, jaccard, packing, pii, quality, queries, rollups, spaced
 from tagwright.llm.tokens import byte_pairs
 from tagwright.storage import scratch_path
 
@@ -279,3 +279,25 @@ def test_many_small_sources_make_few_pieces(spark):
     got = packing.pack(docs, TOKENIZER)
     rows = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
     assert sum(r.pieces for r in rows) < 30_000 and sorted(r.n for r in rows)[1:] == [2048] * (len(rows) - 1)
+
+
+def test_sketches_drop_unrelated_long_texts_before_sets_are_sent(spark):
+    """Long unrelated texts that share an n-gram are told apart by a bit per member; links stay."""
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = (rng.integers(0, 2**64, rng.integers(1, 2000), dtype=np.uint64) for _ in range(2))
+        b = np.union1d(a[:rng.integers(0, len(a) + 1)], b)
+        a = np.unique(a)
+        doc, hashes = np.repeat([0, 2], [len(a), len(b)]), np.concatenate([a, b])
+        one, none, two = jaccard._sketches(doc, hashes, np.array([len(a), 0, len(b)])).to_pylist()
+        assert jaccard._apart(one, two) == jaccard._apart(two, one) <= len(np.setxor1d(a, b)) and not any(none)
+    words = lambda k, n=1500: [f"w{i}" for i in rng.integers(0, 10**6, n) + k * 10**7]
+    first, other = words(1), words(2)
+    rows = [(1, " ".join(first)), (2, " ".join([*first[:-20], *words(3, 20)])), (3, " ".join([*other, *first[:40]]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = {r.key: r.node for r in jaccard.classes(df, 4).collect()}
+    sketches = jaccard.classes(df, 4).select("node", F.col("n_shingles").alias("size"), "sketch")
+    near = [tuple(sorted((of[a], of[b]))) for a, b in ((1, 2), (1, 3), (2, 3))]
+    near = spark.createDataFrame(near, "a bigint, b bigint")
+    assert [tuple(r) for r in jaccard._close(near, sketches, 85).collect()] == [tuple(sorted((of[1], of[2])))]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(df, 4, 85).collect()) == [(1, 1), (2, 1), (3, 3)]

@@ -2,6 +2,7 @@
 
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tagwright import storage
 from tagwright.llm import queries, stages
 from tagwright.llm.stages import COLUMNS
 
@@ -107,3 +109,26 @@ def test_every_stage_bounds_its_batches(spark):
     assert spark.conf.get(key) == before
     assert sorted(r["n"] for r in got.collect()) == [1000, 2000, 2000, 2000, 2000]
     assert all(stage.__wrapped__ for _, stage in corpus_pipeline.STAGES)
+
+
+def test_stages_leave_no_texts_behind(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stored = storage._run_folder(spark).removeprefix("file:")
+        before = set(Path(stored).iterdir())
+        out = stage(spark, docs, SMALL)
+        left = [p for p in set(Path(stored).iterdir()) - before if list(p.glob("*.parquet"))]
+        assert left and all("text" not in spark.read.parquet(str(p)).columns for p in left)
+        assert out.columns == COLUMNS and out.count() > 0
+
+
+def test_rules_and_redactions_go_by_the_whole_row(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{text} {i}", "en", None, 0) for i in range(5)] + [(9, None, "en", "a", 0), (10, "", None, "en", 0), (11, "# " * 20, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in stages.quality_rules(spark, df, SMALL).collect()) == list(range(5))
+    rows = [(1, "\U0001f600é a@b.co, +1 555 010 1000\n10.0.0.1"), (2, None), (3, ""), (4, "\U0001f600é a@b.co, +1 555 010 1000\n10.0.0.1"), (None, "no data")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], df.schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in stages.personal_data(spark, df, SMALL).collect()}
+    want = {i: _redacted(t) if t is not None else None for i, t in rows}
+    assert want[1] == "\U0001f600é [email], [phone]\n[ip]" and got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
