@@ -1,5 +1,7 @@
 """Fitted models: closed forms and better-than-mean checks."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -165,6 +167,24 @@ def test_boosting_equals_plain_loops(spark, monkeypatch):
         assert [c[2] for c in model.curve] == pytest.approx([np.sqrt(np.mean((y - w)**2)) for w in want])
 
 
+def test_a_task_sends_only_bins_that_rows_hold(spark):
+    rng = np.random.default_rng(3)
+    lengths = np.full(300, 4, dtype=np.int32)
+    block = (lengths, rng.integers(0, 40, 1200).astype(np.int32) * 100, rng.random(300), np.zeros(300, dtype=np.uint8), np.zeros(300))
+    layout = SimpleNamespace(value=(np.array([0, 2000, 4000]), np.arange(100, 4100, 100).repeat(100)))
+    step = boosting._Pass(boosting.Tree([0], [0], [1500]), [0, 1], 4000, layout, 5, 1.0, (1, 0))
+    (totals, at, rows, rest), = step.found([block])
+    assert len(at) <= 80 and rows.sum() == 1200  # of 8,000
+    table = np.zeros((2, 8000))
+    table[0, at], table[1, at] = rows, rest
+    whole = [np.concatenate([totals.ravel(), table.reshape(2, 2, 4000)[:, :, a:b].ravel()]) for a, b in ((0, 2000), (2000, 4000))]
+    parts = list(step.sums([block]))
+    assert all((data == own).all() for (_, data), own in zip(parts, whole))
+    direct = step.run(spark.sparkContext.parallelize([block], 1))
+    best = [f for part in parts for f in step.best(part)]
+    assert all(direct[k][0] == max(f[1] for f in best if f[0] == k) for k in (0, 1))
+
+
 def test_bins_and_values_between_them(spark):
     x = np.zeros((40, 3))
     x[:20, 0], x[20:, 0], x[:30, 1], x[:3, 2] = 1, 2, np.arange(30) + 1.0, 1
