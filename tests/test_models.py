@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -49,6 +50,26 @@ def test_slices_meet_whole(spark, problem, monkeypatch):
     assert [r["weight"] for r in model.weights.orderBy("feature").collect()] == pytest.approx(list(w), abs=1e-8)
 
 
+def test_long_tables_are_made_from_few_listings_at_a_time(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(flows, "store", lambda df, *rest: made.append((rest, store(df, *rest))) or made[-1][1])
+
+    @F.arrow_udf("string")
+    def together(texts: pa.Array) -> pa.Array:
+        return pa.array([str(len(texts))] * len(texts))
+
+    rows = spark.range(0, 6000, 1, 1).select(
+        F.col("id").alias("item_id"), F.lit("train").alias("split"), F.repeat(F.lit("word "), 1000).alias("text"))
+    long = rows.select("item_id", "split", F.lit("b").alias("block"), together("text").alias("feature"), F.lit(1.0).alias("value"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    items = flows.linear_items_of(long, rows, ("item_id",))
+    assert items.rows.count() == 6000
+    named, table = made[0]
+    assert named == ("linear-long",)  # nothing is sorted by split
+    assert table.agg(F.max(F.col("feature").cast("int"))).first()[0] < 2000  # all at once were 30 MB of text
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_sparse_vector(spark):
     rows = spark.createDataFrame([([(1, 0.5), (4, -2.0)],), ([],)], "entries array<struct<feature:bigint,value:double>>")
     got = [r["features"] for r in models.assemble(rows, 6).collect()]
