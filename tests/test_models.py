@@ -50,6 +50,24 @@ def test_slices_meet_whole(spark, problem, monkeypatch):
     assert [r["weight"] for r in model.weights.orderBy("feature").collect()] == pytest.approx(list(w), abs=1e-8)
 
 
+def test_moments_take_one_vector_a_pass_and_are_sent_in_pieces(spark, problem, monkeypatch):
+    x, y, w, b = problem
+    rows = [(float(y[i]), [(int(j), float(x[i, j])) for j in np.flatnonzero(x[i])]) for i in range(len(y))]
+    train = spark.createDataFrame(rows, "label double, entries array<struct<feature:bigint,value:double>>")
+    sizes, summed = [], ridge.summed
+    monkeypatch.setattr(ridge, "summed", lambda blocks, step, size, *rest: sizes.append(size) or summed(blocks, step, size, *rest))
+    model = ridge.fit_ridge(train, 6, tolerance=1e-12)
+    got = [r["weight"] for r in model.weights.orderBy("feature").collect()]
+    assert got == pytest.approx(list(w), abs=1e-8) and max(sizes) <= 6 + 2  # a vector as long as the coefficients, and two numbers
+    monkeypatch.setattr(ridge, "_PIECE", 8)
+    values, total = np.arange(30.0) % 7, np.zeros(30)
+    pieces = list(ridge._pieces(values, 4))
+    for piece in pieces:
+        for number, at, v in ridge._rows(piece):
+            ridge._add(total[number * 4:(number + 1) * 4], at, v)
+    assert len(pieces) == 4 and (total == values).all() and max(p.num_rows for p in pieces) <= 2
+
+
 def test_long_tables_are_made_from_few_listings_at_a_time(spark, monkeypatch):
     made = []
     monkeypatch.setattr(flows, "store", lambda df, *rest: made.append((rest, store(df, *rest))) or made[-1][1])
