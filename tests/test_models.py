@@ -1,5 +1,6 @@
 """Fitted models: closed forms and better-than-mean checks."""
 
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -224,6 +225,31 @@ def test_a_task_sends_only_bins_that_rows_hold(spark):
     assert all(direct[k][0] == max(f[1] for f in best if f[0] == k) for k in (0, 1))
 
 
+def test_a_pass_holds_little_beside_the_entries():
+    rng, count = np.random.default_rng(4), 500
+    lengths = rng.integers(0, 40, 20_000).astype(np.int32)
+    bins = rng.integers(0, count, lengths.sum()).astype(np.int32)
+    label, score, held = rng.random(len(lengths)), rng.random(len(lengths)), (rng.random(len(lengths)) < 0.2).astype(np.uint8)
+    tree = boosting.Tree([0, 1], [10, 40], [12, 90], np.zeros(3))
+    step = boosting._Pass(tree, [0, 2], count, SimpleNamespace(value=None), 20, 1.0, (1, 1))
+    tracemalloc.start()
+    totals, table = step.added([(lengths, bins, label, held, score)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(bins)  # key, weight and a mask of the entries; no numbers of rows beside them
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    has = np.zeros((2, len(lengths)), bool)
+    for i, (low, high) in enumerate(((10, 12), (40, 90))):
+        has[i, row[(bins >= low) & (bins < high)]] = True
+    node = np.where(~has[0], 0, np.where(has[1], 2, 1))
+    for i, k in enumerate((0, 2)):
+        inside = (held == 0) & (node == k)
+        mine = inside[row]
+        assert totals[0, i] == inside.sum() and totals[1, i] == pytest.approx((label - score)[inside].sum())
+        assert (table[0, i] == np.bincount(bins[mine], minlength=count)).all()
+        assert table[1, i] == pytest.approx(np.bincount(bins[mine], (label - score)[row[mine]], count))
+
+
 def test_bins_and_values_between_them(spark):
     x = np.zeros((40, 3))
     x[:20, 0], x[20:, 0], x[:30, 1], x[:3, 2] = 1, 2, np.arange(30) + 1.0, 1
