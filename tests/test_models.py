@@ -4,6 +4,7 @@ import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -69,6 +70,15 @@ def test_moments_take_one_vector_a_pass_and_are_sent_in_pieces(spark, problem, m
     assert len(pieces) == 4 and (total == values).all() and max(p.num_rows for p in pieces) <= 2
 
 
+def test_ridge_blocks_are_small():
+    rows = [np.arange(300) + i for i in range(3000)]
+    frame = pd.DataFrame({"label": np.arange(3000.0), "feature": rows, "value": [r * 0.5 for r in rows]})
+    blocks = pd.concat(list(ridge._blocks([frame])))
+    entries = [len(c) // 4 for c in blocks["cols"]]
+    assert max(entries) <= 2**17 + 300 and sum(entries) == 900_000
+    assert np.concatenate([np.frombuffer(y) for y in blocks["y"]]).tolist() == list(range(3000))
+
+
 def test_long_tables_are_made_from_few_listings_at_a_time(spark, monkeypatch):
     made = []
     monkeypatch.setattr(flows, "store", lambda df, *rest: made.append((rest, store(df, *rest))) or made[-1][1])
